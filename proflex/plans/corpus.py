@@ -72,3 +72,39 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
                        if f.dataType.typeName() in ("double", "float") else F.col(f.name)
                        for f in df.schema.fields])
+
+
+# ---- error features (E*) ------------------------------------------------------------------
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 over the driver documents: (doc_id, sent_id, sentence)."""
+    from ..operators.segmentation import split_sentences
+    return split_sentences(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def correction_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Correction list (J4) and truecase model (J8) derived from the corpus words."""
+    from ..operators.correction import build_correction_list, build_truecase_model
+    from ..operators.tagging import tokenize
+    words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
+    return build_correction_list(words), build_truecase_model(words)
+
+
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.errors import sentence_error_stats
+    cl, tm = correction_dictionaries(spark, sf_dir)
+    return sentence_error_stats(sentences(spark, sf_dir), "doc_id", cl, tm)
+
+
+def document_error_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E11 for the driver documents: doc_id + nine error ratios."""
+    from ..operators.errors import error_feature_table
+    return error_feature_table(sentence_stats(spark, sf_dir), "doc_id")
+
+
+def merged_features(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """Feature table inner-joined with the error features on the document key.
+
+    `syllable_count` is published as `syll_count`, the name the classifiers read."""
+    feats = document_features(spark, sf_dir, names).withColumnRenamed("syllable_count", "syll_count")
+    return feats.join(document_error_features(spark, sf_dir), "doc_id", "inner")

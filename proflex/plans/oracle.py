@@ -247,3 +247,130 @@ FROM folded LEFT JOIN genres g ON prof_level = g.g_level AND exam_time = g.g_exa
 def tokens_sql() -> str:
     return f"""WITH {TOKENS_CTE}
 SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, idx, word, lemma, upos, xpos, feats FROM tok"""
+
+
+# ---- error features (E1-E11) -----------------------------------------------------------------
+
+_TOK = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+
+SENTENCES_CTE = r"""
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS sent_id
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+') AS p FROM documents)),
+sents AS (
+  SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, sentence FROM (
+    SELECT doc_id, sent_id, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM pieces)
+  WHERE sentence <> '')"""
+
+DICT_CTE = r""",
+corpus_words AS (
+  SELECT unnest(regexp_extract_all(text, '""" + _TOK + r"""')) AS word FROM documents),
+cl AS (
+  SELECT DISTINCT word AS wrong, word || 'q' AS "right" FROM corpus_words
+  WHERE regexp_matches(word, '[\p{L}\p{N}]') AND starts_with(md5(word), '00')),
+forms AS (
+  SELECT lower(word) AS key, word AS form, count(*) AS freq FROM corpus_words
+  WHERE regexp_matches(word, '[\p{L}\p{N}]') GROUP BY 1, 2),
+tm AS (
+  SELECT key, form AS word FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY freq DESC, form) AS rn FROM forms)
+  WHERE rn = 1)"""
+
+CORRECTED_CTE = r""",
+stok AS (
+  SELECT doc_id, sent_id, sentence, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos,
+         gaps
+  FROM (SELECT *, regexp_extract_all(sentence, '""" + _TOK + r"""') AS toks,
+               regexp_split_to_array(sentence, '""" + _TOK + r"""') AS gaps FROM sents)),
+jt AS (
+  SELECT s.doc_id, s.sent_id, s.sentence, s.pos, s.tok, s.gaps[s.pos + 1] AS gap,
+         cl."right" AS spell, tm.word AS case_word, regexp_matches(s.tok, '[\p{L}\p{N}]') AS is_word,
+         coalesce(sum(CASE WHEN regexp_matches(s.tok, '[\p{L}\p{N}]') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY s.doc_id, s.sent_id ORDER BY s.pos
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before,
+         lag(s.tok) OVER (PARTITION BY s.doc_id, s.sent_id ORDER BY s.pos) AS prev_tok
+  FROM stok s LEFT JOIN cl ON s.tok = cl.wrong LEFT JOIN tm ON lower(s.tok) = tm.key),
+corrected AS (
+  SELECT doc_id, sent_id, sentence,
+    string_agg(coalesce(spell, tok) || repeat(' ', length(coalesce(gap, ''))), '' ORDER BY pos) AS spell_target,
+    string_agg(CASE WHEN is_word AND case_word IS NOT NULL AND (words_before = 0
+                  OR (upper(tok) = tok AND lower(tok) <> tok) OR prev_tok IN ('.', ':', ';', '?', '!'))
+                THEN case_word ELSE tok END || coalesce(gap, ''), '' ORDER BY pos) AS case_target
+  FROM jt GROUP BY doc_id, sent_id, sentence)"""
+
+
+ERROR_STATS_CTE = CORRECTED_CTE + r""",
+toks AS (
+  SELECT *, regexp_extract_all(sentence, '\s+|\S+') AS s,
+            regexp_extract_all(spell_target, '\s+|\S+') AS t1,
+            regexp_extract_all(case_target, '\s+|\S+') AS t2
+  FROM corrected),
+changed AS (
+  SELECT *, list_filter(range(1, len(s) + 1), lambda i: s[i] <> t1[i]) AS cp1,
+            list_filter(range(1, len(s) + 1), lambda i: s[i] <> t2[i]) AS cp2
+  FROM toks),
+opened AS (
+  SELECT *, list_filter(range(1, len(cp1) + 1), lambda k: k = 1 OR cp1[k] - cp1[k - 1] > 3) AS st1,
+            list_filter(range(1, len(cp2) + 1), lambda k: k = 1 OR cp2[k] - cp2[k - 1] > 3) AS st2
+  FROM changed),
+bounds AS (
+  SELECT *, list_transform(range(1, len(st2) + 1), lambda j: {
+              'first': cp2[st2[j]],
+              'last': cp2[CASE WHEN j < len(st2) THEN st2[j + 1] - 1 ELSE len(cp2) END]}) AS g2
+  FROM opened),
+ctx AS (
+  SELECT *, list_transform(g2, lambda x: {
+              'lo': CASE WHEN x.first > 1 AND s[x.first - 1] <> ' ' THEN x.first - 1 ELSE x.first END,
+              'hi': CASE WHEN x.last < len(s) AND s[x.last + 1] <> ' ' THEN x.last + 1 ELSE x.last END}) AS lh2
+  FROM bounds),
+sstats AS (
+  SELECT doc_id, sent_id,
+    len(regexp_extract_all(sentence, '[\p{L}\p{N}]+')) AS words,
+    len(st1) AS spell_n, len(st2) AS grammar_n,
+    coalesce(list_sum(list_transform(lh2, lambda x:
+        len(list_filter(list_slice(s, x.lo, x.hi), lambda y: NOT regexp_matches(y, '^\s+$'))))), 0) AS grammar_words
+  FROM ctx),
+sratio AS (
+  SELECT *, CASE WHEN spell_n > 0 THEN spell_n / nullif(CAST(words AS DOUBLE), 0) ELSE 0.0 END AS spell_ratio,
+            CASE WHEN grammar_n > 0 THEN grammar_words / nullif(CAST(words AS DOUBLE), 0) ELSE 0.0 END AS error_ratio
+  FROM sstats)"""
+
+
+def error_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
+SELECT doc_id,
+  round(sum(spell_n) / nullif(CAST(sum(words) AS DOUBLE), 0), 6) AS spell_word_ratio,
+  round(count(*) FILTER (WHERE spell_n > 0) / CAST(count(*) AS DOUBLE), 6) AS spell_sent_ratio,
+  round(sum(spell_n) / CAST(count(*) AS DOUBLE), 6) AS spell_errors_per_sent,
+  round(avg(spell_ratio), 6) AS avg_spell_word_ratio,
+  round(sum(grammar_words) / nullif(CAST(sum(words) AS DOUBLE), 0), 6) AS error_word_ratio,
+  round(count(*) FILTER (WHERE grammar_n > 0) / CAST(count(*) AS DOUBLE), 6) AS error_sent_ratio,
+  round(sum(grammar_n) / nullif(CAST(sum(words) AS DOUBLE), 0), 6) AS errors_per_word,
+  round(sum(grammar_n) / CAST(count(*) AS DOUBLE), 6) AS errors_per_sent,
+  round(avg(error_ratio), 6) AS avg_error_word_ratio
+FROM sratio GROUP BY doc_id"""
+
+
+def sentence_stats_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
+SELECT doc_id, sent_id, CAST(words AS BIGINT) AS words, CAST(spell_n AS INTEGER) AS spell_n,
+       CAST(grammar_n AS INTEGER) AS grammar_n, CAST(grammar_words AS INTEGER) AS grammar_words,
+       round(spell_ratio, 6) AS spell_ratio, round(error_ratio, 6) AS error_ratio
+FROM sratio"""
+
+
+def sentences_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}
+SELECT doc_id, sent_id, sentence FROM sents"""
+
+
+def corrected_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{CORRECTED_CTE}
+SELECT doc_id, sent_id, sentence, spell_target, case_target FROM corrected"""
+
+
+def merged_sql(names: list[str] | None = None) -> str:
+    f = feature_sql(names)
+    return (f"SELECT * EXCLUDE (syllable_count), syllable_count AS syll_count FROM ({f}) f "
+            f"JOIN ({error_sql()}) e USING (doc_id)") if (names is None or "syllable_count" in names) \
+        else f"SELECT * FROM ({f}) f JOIN ({error_sql()}) e USING (doc_id)"

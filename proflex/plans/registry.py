@@ -73,3 +73,44 @@ def a31_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _name, _cols in FEATURE_FAMILIES.items():
     register(_name, oracle.feature_sql(_cols))(_features(_cols))
+
+
+# ---- segmentation, correction, error features -------------------------------------------------
+
+from .corpus import (correction_dictionaries, document_error_features, merged_features,  # noqa: E402
+                     sentence_stats, sentences)
+
+
+@register("t2_sentences", oracle.sentences_sql())
+def t2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence table of all documents (stripped, empty ones dropped)."""
+    return sentences(spark, sf_dir)
+
+
+@register("j4_j8_corrected", oracle.corrected_sql())
+def j4_j8_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + J8: every sentence with the correction-list and truecaser outputs."""
+    from ..operators.correction import dictionary_correct
+    cl, tm = correction_dictionaries(spark, sf_dir)
+    return dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence",
+                              correction_list=cl, truecase_model=tm)
+
+
+@register("e1_sentence_error_stats", oracle.sentence_stats_sql())
+def e1_sentence_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 (with T6 spans of both correctors): per-sentence counts and ratios."""
+    st = sentence_stats(spark, sf_dir)
+    return round_doubles(st.select("doc_id", "sent_id", st["words"].cast("bigint").alias("words"),
+                                   "spell_n", "grammar_n", "grammar_words", "spell_ratio", "error_ratio"))
+
+
+@register("e11_error_feature_table", oracle.error_sql())
+def e11_error_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine document-level error features."""
+    return round_doubles(document_error_features(spark, sf_dir))
+
+
+@register("j1_merged_features", oracle.merged_sql())
+def j1_merged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature table joined with error features (158 columns, syll_count name)."""
+    return round_doubles(merged_features(spark, sf_dir))
