@@ -119,7 +119,7 @@ def _cnt(cond: str) -> str:
     return f"count(*) FILTER (WHERE {cond})"
 
 
-def feature_sql(names: list[str] | None = None) -> str:
+def feature_sql(names: list[str] | None = None, rounded: bool = True) -> str:
     """Per-document features from `ftok`, one column per requested name."""
     n = names or feature_names()
     agg = {
@@ -227,8 +227,12 @@ def feature_sql(names: list[str] | None = None) -> str:
     select = []
     for name in n:
         e = fin[name]
-        select.append(f"CAST({e} AS BIGINT) AS \"{name}\"" if name in int_cols
-                      else f"round(CAST({e} AS DOUBLE), 6) AS \"{name}\"")
+        if name in int_cols:
+            select.append(f"CAST({e} AS BIGINT) AS \"{name}\"")
+        elif rounded:
+            select.append(f"round(CAST({e} AS DOUBLE), 6) AS \"{name}\"")
+        else:
+            select.append(f"CAST({e} AS DOUBLE) AS \"{name}\"")
     aggs = ",\n    ".join(f"{e} AS {k}" for k, e in agg.items())
     genre_rows = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in GENRE_BY_EXAM)
     return f"""WITH {TOKENS_CTE}{LOOKUP_CTE},

@@ -8,9 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.features import feature_names
-from ..session import tune_session
+from ..session import ensure_checkpoint_dir, tune_session
 from . import oracle
 from .corpus import document_features, round_doubles, tokens
 
@@ -24,6 +25,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tune_session(spark)
+            ensure_checkpoint_dir(spark)
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -114,3 +116,156 @@ def e11_error_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j1_merged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature table joined with error features (158 columns, syll_count name)."""
     return round_doubles(merged_features(spark, sf_dir))
+
+
+# ---- splits, selection, models and evaluation ----------------------------------------------------
+
+from . import ml, oracle_ml  # noqa: E402
+from ..operators import evaluation as ev  # noqa: E402
+from ..operators.selection import anova_f, select_k_best  # noqa: E402
+
+_KEYS = ["doc_id", "prof_level", "text_type"]
+
+
+@register("m1_m3_test_split", oracle_ml.test_split_sql())
+def m1_m3_test_split(spark, sf_dir):
+    """M1-M3: stratified test sample (30 per level; by text type except C1)."""
+    return ml.splits(spark, sf_dir)[1].select(*_KEYS)
+
+
+@register("j2_train_split", oracle_ml.train_split_sql())
+def j2_train_split(spark, sf_dir):
+    """Training rows = all labelled rows not in the test split (anti join)."""
+    return ml.splits(spark, sf_dir)[0].select(*_KEYS)
+
+
+@register("m4_shuffle", oracle_ml.shuffle_sql())
+def m4_shuffle(spark, sf_dir):
+    """M4: reproducible shuffle key of the training rows."""
+    from ..operators.sampling import shuffled
+    return shuffled(ml.splits(spark, sf_dir)[0]).select(*_KEYS, "shuffle_key")
+
+
+@register("m5_stratified_folds", oracle_ml.folds_sql())
+def m5_stratified_folds(spark, sf_dir):
+    """M5: class-balanced 10 folds of the training rows."""
+    from ..operators.sampling import stratified_folds
+    return stratified_folds(ml.splits(spark, sf_dir)[0]).select("doc_id", "prof_level", "fold")
+
+
+@register("m6_standardize", oracle_ml.standardized_sql())
+def m6_standardize(spark, sf_dir):
+    """M6: features standardised with train mean / population sd (train and test rows)."""
+    tr, te = ml.scaled_splits(spark, sf_dir)
+    cols = ["doc_id", *ml.MODEL_FEATURES]
+    out = tr.select(*cols).withColumn("split", F.lit("train")).unionByName(
+        te.select(*cols).withColumn("split", F.lit("test")))
+    return round_doubles(out.select("doc_id", "split", *ml.MODEL_FEATURES))
+
+
+@register("m7_anova_f", oracle_ml.anova_sql())
+def m7_anova_f(spark, sf_dir):
+    """M7: ANOVA F of each feature against the level on the standardised train rows."""
+    tr, _ = ml.scaled_splits(spark, sf_dir)
+    return round_doubles(anova_f(tr, ml.MODEL_FEATURES))
+
+
+@register("m8_select_k_best", oracle_ml.kbest_sql())
+def m8_select_k_best(spark, sf_dir):
+    """M8: the top-5 features by F."""
+    tr, _ = ml.scaled_splits(spark, sf_dir)
+    return round_doubles(select_k_best(anova_f(tr, ml.MODEL_FEATURES), ml.TOP_K)
+                         .withColumn("rank", F.col("rank").cast("int")))
+
+
+@register("m17_h1_predictions", oracle_ml.predictions_sql())
+def m17_h1_predictions(spark, sf_dir):
+    """M17 with helper H1: test-set predictions of the nearest-centroid model."""
+    return ml.test_predictions(spark, sf_dir)[0]
+
+
+@register("m24_accuracy", oracle_ml.accuracy_sql())
+def m24_accuracy(spark, sf_dir):
+    """Train and test accuracy."""
+    te, tr = ml.test_predictions(spark, sf_dir)
+    out = ev.accuracy(te).withColumn("split", F.lit("test")).unionByName(
+        ev.accuracy(tr).withColumn("split", F.lit("train")))
+    return round_doubles(out.select("split", "accuracy", "n"))
+
+
+@register("m25_recall_by_type", oracle_ml.recall_by_type_sql())
+def m25_recall_by_type(spark, sf_dir):
+    """Accuracy per (level, text type) of the test split."""
+    te = ml.test_predictions(spark, sf_dir)[0].withColumn("prof_level", F.col("label"))
+    return round_doubles(ev.recall_by_type(te))
+
+
+@register("m26_balanced_accuracy", oracle_ml.balanced_accuracy_sql())
+def m26_balanced_accuracy(spark, sf_dir):
+    """Balanced accuracy (mean class recall) on the test split."""
+    return round_doubles(ev.balanced_accuracy(ml.test_predictions(spark, sf_dir)[0]))
+
+
+@register("m27_confusion_matrix", oracle_ml.confusion_sql())
+def m27_confusion_matrix(spark, sf_dir):
+    """Confusion counts (true label x predicted label), long form."""
+    return ev.confusion_matrix(ml.test_predictions(spark, sf_dir)[0])
+
+
+@register("m23_classification_report", oracle_ml.report_sql())
+def m23_classification_report(spark, sf_dir):
+    """Per-class precision/recall/f1/support plus accuracy, macro and weighted rows."""
+    return round_doubles(ev.classification_report(ml.test_predictions(spark, sf_dir)[0]))
+
+
+@register("m22_oof_predictions", oracle_ml.oof_sql())
+def m22_oof_predictions(spark, sf_dir):
+    """Out-of-fold predictions of 10-fold CV (nearest centroid refitted per fold)."""
+    return ml.oof_predictions(spark, sf_dir).select("doc_id", "label", "prediction", "fold")
+
+
+@register("m20_cv_scores", oracle_ml.cv_scores_sql())
+def m20_cv_scores(spark, sf_dir):
+    """Mean and population sd of the per-fold accuracy."""
+    return round_doubles(ev.cv_scores(ml.oof_predictions(spark, sf_dir)))
+
+
+@register("m21_macro_prf", oracle_ml.macro_prf_sql())
+def m21_macro_prf(spark, sf_dir):
+    """Macro F1 / precision / recall per fold, mean and sd."""
+    return round_doubles(ev.macro_prf_per_fold(ml.oof_predictions(spark, sf_dir)))
+
+
+@register("m28_m29_permutation_importance", oracle_ml.importance_sql())
+def m28_m29_permutation_importance(spark, sf_dir):
+    """M28 + M29 + P6: permutation importance (10 repeats), ranked, with display names."""
+    out = ml.importance(spark, sf_dir)
+    return round_doubles(out.select("feature", "importance_mean", "importance_sd",
+                                    F.col("rank").cast("int").alias("rank"), "display_name"))
+
+
+def _model_query(name: str):
+    def q(spark, sf_dir):
+        return ml.test_predictions(spark, sf_dir, name)[0].select("doc_id", "label", "prediction")
+    q.__doc__ = f"Test-set predictions of the {name} classifier (rows-only check)."
+    return q
+
+
+for _rid, _model in (("m10_logistic_regression", "logistic_regression"),
+                     ("m11_logistic_regression_cv", "logistic_regression_cv"),
+                     ("m12_svc_rbf", "svc_rbf"), ("m13_random_forest", "random_forest"),
+                     ("m14_mlp", "mlp"), ("m15_lda", "lda"), ("m16_qda", "qda")):
+    register(_rid)(_model_query(_model))
+
+
+@register("m19_cv_grid")
+def m19_cv_grid(spark, sf_dir):
+    """M19 + M18: CV grid (scaling, top-k and model refitted per fold) for two models."""
+    return round_doubles(ml.cv_grid(spark, sf_dir, ["nearest_centroid", "lda"],
+                                    list(range(5, len(ml.MODEL_FEATURES) + 1))))
+
+
+@register("m9_forward_selection")
+def m9_forward_selection(spark, sf_dir):
+    """M9: sequential forward selection of 3 features by 5-fold CV accuracy."""
+    return round_doubles(ml.forward_selection(spark, sf_dir, 3))
