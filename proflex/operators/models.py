@@ -115,26 +115,35 @@ def random_fourier(df: DataFrame, features: list[str], dim: int = 200, gamma: fl
     return df.withColumn(out, array_to_vector(F.array(*comps)))
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str],
-                key: str = "doc_id", label: str = "prof_level", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Fit one classifier on (already standardised) train rows, predict test rows.
-    Returns (key, label, prediction, *keep) with string labels."""
+def fit(name: str, train: DataFrame, features: list[str], label: str = "prof_level"):
+    """Fit one classifier on (already standardised) train rows.
+
+    Returns `predict(df, key, keep) -> (key, label, prediction, *keep)` with string labels."""
     if name == "nearest_centroid":
-        return predict_centroid(test, fit_centroids(train, features, label), features, key, label, keep)
+        cents = fit_centroids(train, features, label)
+        return lambda df, key="doc_id", keep=(): predict_centroid(df, cents, features, key, label, keep)
     if name in ("lda", "qda"):
         model = fit_discriminant(train, features, label, quadratic=(name == "qda"))
-        return test.select(key, F.col(label).alias("label"), model.alias("prediction"), *keep)
+        return lambda df, key="doc_id", keep=(): df.select(key, F.col(label).alias("label"),
+                                                           model.alias("prediction"), *keep)
     n_train = train.count()
     idx = _indexer(label).fit(train)
-    stages = [idx, _assembler(features)]
-    if name == "svc_rbf":
-        train = random_fourier(train, features)
-        test = random_fourier(test, features)
-    stages.append(estimator(name, n_train, len(features)))
-    stages.append(IndexToString(inputCol="prediction", outputCol="pred_label", labels=idx.labels))
-    model: PipelineModel = Pipeline(stages=stages).fit(train)
-    out = model.transform(test)
-    return out.select(key, F.col(label).alias("label"), F.col("pred_label").alias("prediction"), *keep)
+    stages = [idx, _assembler(features),
+              estimator(name, n_train, len(features)),
+              IndexToString(inputCol="prediction", outputCol="pred_label", labels=idx.labels)]
+    prep = (lambda d: random_fourier(d, features)) if name == "svc_rbf" else (lambda d: d)
+    model: PipelineModel = Pipeline(stages=stages).fit(prep(train))
+
+    def predict(df: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+        out = model.transform(prep(df))
+        return out.select(key, F.col(label).alias("label"), F.col("pred_label").alias("prediction"), *keep)
+    return predict
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str],
+                key: str = "doc_id", label: str = "prof_level", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fit on train rows and predict test rows."""
+    return fit(name, train, features, label)(test, key, keep)
 
 
 # ---- M15 / M16: discriminant analysis from class moments ---------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators.models import fit_centroids, fit_predict, nearest_centroid, permutation_importance
+from ..operators.models import fit, fit_centroids, fit_predict, nearest_centroid, permutation_importance
 from ..operators.sampling import shuffled, stratified_folds, test_split, train_split
 from ..operators.selection import anova_f, fit_standardizer, select_k_best, standardize
 from ..session import ensure_checkpoint_dir
@@ -62,7 +62,8 @@ def test_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_cen
     tr, te = scaled_splits(spark, sf_dir)
     feats = selected(tr)
     keep = ("text_type",)
-    return (fit_predict(model, tr, te, feats, keep=keep), fit_predict(model, tr, tr, feats, keep=keep))
+    predict = fit(model, tr, feats)
+    return predict(te, keep=keep), predict(tr, keep=keep)
 
 
 def oof_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_centroid") -> DataFrame:
