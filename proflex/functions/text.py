@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LEVELS, LEXICON_LEMMA_STRIP, NOMINAL_XPOS, STOP_LEMMA_STRIP
+from ..constants import LEVELS, LEXICON_LEMMA_STRIP, MAX_REQUEST_CHARS, NOMINAL_XPOS, STOP_LEMMA_STRIP
 
 # ---- fixed values: syllable nuclei (vowel groups) for the syllable fallback ----
 VOWEL_GROUP = "[aeiouõäöüy]+"
@@ -70,7 +70,8 @@ def split_ws_tokens(s) -> Column:
 
 def detokenize_pieces(s) -> Column:
     """Sub-word pieces -> text: drop spaces, `▁` becomes a space, strip."""
-    return F.trim(F.replace(F.replace(_c(s), F.lit(" "), F.lit("")), F.lit("▁"), F.lit(" ")))
+    joined = F.replace(F.replace(_c(s), F.lit(" "), F.lit("")), F.lit("▁"), F.lit(" "))
+    return F.regexp_replace(joined, r"^\s+|\s+$", "")
 
 
 def capitalize_first(s) -> Column:
@@ -79,6 +80,16 @@ def capitalize_first(s) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), s.substr(F.lit(2), F.length(s)))
 
 
+def length_gate(text, max_chars: int = MAX_REQUEST_CHARS) -> Column:
+    """A request is accepted when its text has at most `max_chars` characters."""
+    return F.length(_c(text)) <= F.lit(max_chars)
+
+
+def label_index(label) -> Column:
+    """Numeric label in alphabetical order of the level names (A2=0, B1=1, ...)."""
+    return F.array_position(F.array(*[F.lit(v) for v in LEVELS]), _c(label)).cast("int") - 1
+
+
 def syllables(word) -> Column:
     """Syllable fallback: number of vowel groups, at least 1."""
     return F.greatest(F.lit(1), F.regexp_count(F.lower(_c(word)), F.lit(VOWEL_GROUP)))

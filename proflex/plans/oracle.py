@@ -378,3 +378,93 @@ def merged_sql(names: list[str] | None = None) -> str:
     return (f"SELECT * EXCLUDE (syllable_count), syllable_count AS syll_count FROM ({f}) f "
             f"JOIN ({error_sql()}) e USING (doc_id)") if (names is None or "syllable_count" in names) \
         else f"SELECT * FROM ({f}) f JOIN ({error_sql()}) e USING (doc_id)"
+
+
+# ---- lookups, scalar functions, predicates, segmentation ------------------------------------------
+
+def stopwords_sql() -> str:
+    return f"WITH {TOKENS_CTE}{LOOKUP_CTE}\nSELECT stoplemma AS \"Stoplemma\" FROM stopwords"
+
+
+def lexicon_sql() -> str:
+    return f"WITH {TOKENS_CTE}{LOOKUP_CTE}\nSELECT lemma, abstractness, frequency FROM lexicon"
+
+
+def genre_sql() -> str:
+    genre_rows = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in GENRE_BY_EXAM)
+    return f"""WITH {DOCS_CTE},
+genres(g_level, g_exam, g_type) AS (VALUES {genre_rows})
+SELECT doc_id, prof_level, exam_time,
+       CASE WHEN prof_level = 'C1' THEN 'argumentative writing' ELSE g.g_type END AS text_type
+FROM docs LEFT JOIN genres g ON prof_level = g.g_level AND exam_time = g.g_exam"""
+
+
+def lemma_functions_sql() -> str:
+    return f"""WITH {TOKENS_CTE}
+SELECT DISTINCT lemma, replace(replace(lemma, '_', ''), '=', '') AS stop_key,
+       regexp_replace(lemma, '[_=()"&'']', '', 'g') AS lexicon_key FROM tok"""
+
+
+def sentence_functions_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}
+SELECT doc_id, sent_id, len(regexp_extract_all(sentence, '\\s+|\\S+')) AS ws_tokens,
+       upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS capitalized,
+       regexp_replace(replace(replace(sentence, ' ', ''), '▁', ' '), '^\\s+|\\s+$', '', 'g') AS detokenized,
+       length(sentence) <= 10000 AS accepted,
+       CAST(list_position(['A2', 'B1', 'B2', 'C1'], ['A2', 'B1', 'B2', 'C1'][(doc_id % 4) + 1]) - 1 AS INTEGER)
+         AS label_index
+FROM sents"""
+
+
+def predicates_sql() -> str:
+    return f"""WITH {TOKENS_CTE}
+SELECT doc_id,
+  count(*) FILTER (WHERE xpos IS DISTINCT FROM 'Z') AS f1_not_punct,
+  count(*) FILTER (WHERE xpos IS DISTINCT FROM 'Z' AND upos IS DISTINCT FROM 'PROPN'
+                   AND upos IS DISTINCT FROM 'SYM' AND NOT coalesce(contains(feats, 'NumForm=Digit'), false))
+    AS f2_cleaned,
+  count(*) FILTER (WHERE upos = 'PROPN') AS f3_propn,
+  count(*) FILTER (WHERE xpos = 'S') AS f3_s,
+  count(*) FILTER (WHERE xpos IN ('S', 'A', 'P', 'N')) AS f4_nominal,
+  count(*) FILTER (WHERE upos IS DISTINCT FROM 'PUNCT') AS f5_sentence_words,
+  count(*) FILTER (WHERE coalesce(contains(feats, 'Case=Gen'), false)) AS f6_case_gen
+FROM tok GROUP BY doc_id"""
+
+
+def chunks_sql(max_pos: int = 40) -> str:
+    return f"""WITH {SENTENCES_CTE}
+SELECT doc_id, sent_id, CAST(k AS INTEGER) AS piece_no, substr(sentence, (k - 1) * {max_pos} + 1, {max_pos}) AS sentence
+FROM (SELECT *, unnest(range(1, CAST(greatest(ceil(length(sentence) / {max_pos}), 1) AS BIGINT) + 1)) AS k FROM sents)"""
+
+
+def offsets_sql() -> str:
+    return f"""WITH
+pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS sent_id
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+') AS p FROM documents)),
+pos AS (
+  SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sentence,
+         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY sent_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + length(regexp_extract(piece, '^\\s*')) AS start
+  FROM pieces)
+SELECT doc_id, sent_id, sentence, CAST(start AS INTEGER) AS start FROM pos WHERE sentence <> ''"""
+
+
+def speller_sql(rare_max: int = 1, min_count: int = 5) -> str:
+    return rf"""WITH
+words AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS word FROM documents),
+counts AS (SELECT lower(word) AS w, count(*) AS n FROM words WHERE regexp_matches(word, '^\p{{L}}+$') GROUP BY 1),
+variants AS (
+  SELECT w, n, unnest(list_distinct(list_concat([w],
+           list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1))))) AS key
+  FROM counts),
+pairs AS (
+  SELECT DISTINCT r.w AS wrong, t.w AS "right", t.n AS right_count
+  FROM variants r JOIN variants t ON r.key = t.key
+  WHERE r.n <= {rare_max} AND t.n >= {min_count} AND r.w <> t.w
+    AND (length(r.w) <> length(t.w)
+         OR len(list_filter(range(1, length(r.w) + 1), lambda i: substr(r.w, i, 1) <> substr(t.w, i, 1))) = 1))
+SELECT wrong, "right", right_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY right_count DESC, "right") AS rn FROM pairs)
+WHERE rn = 1"""

@@ -269,3 +269,81 @@ def m19_cv_grid(spark, sf_dir):
 def m9_forward_selection(spark, sf_dir):
     """M9: sequential forward selection of 3 features by 5-fold CV accuracy."""
     return round_doubles(ml.forward_selection(spark, sf_dir, 3))
+
+
+# ---- lookups, scalar functions, predicates and segmentation ----------------------------------------
+
+from ..functions import text as fx  # noqa: E402
+from ..operators import segmentation as seg  # noqa: E402
+from ..operators.lookups import build_lexicon, build_stopwords, genre_lookup  # noqa: E402
+from .corpus import documents  # noqa: E402
+
+
+@register("j3_stopwords", oracle.stopwords_sql())
+def j3_stopwords(spark, sf_dir):
+    """The stopword table (100 most frequent cleaned lemmas)."""
+    return build_stopwords(tokens(spark, sf_dir, with_meta=False))
+
+
+@register("j5_lexicon", oracle.lexicon_sql())
+def j5_lexicon(spark, sf_dir):
+    """The lexicon table (lemma key, abstractness, corpus frequency)."""
+    return build_lexicon(tokens(spark, sf_dir, with_meta=False))
+
+
+@register("j7_genre_lookup", oracle.genre_sql())
+def j7_genre_lookup(spark, sf_dir):
+    """J7 (with P1-style metadata): level, exam session and text type of every document."""
+    return genre_lookup(documents(spark, sf_dir).drop("text"))
+
+
+@register("p4_p5_lemma_keys", oracle.lemma_functions_sql())
+def p4_p5_lemma_keys(spark, sf_dir):
+    """Stopword and lexicon keys of every distinct lemma."""
+    t = tokens(spark, sf_dir, with_meta=False)
+    return t.select("lemma", fx.clean_lemma_stop("lemma").alias("stop_key"),
+                    fx.clean_lemma_lexicon("lemma").alias("lexicon_key")).distinct()
+
+
+@register("p7_p11_sentence_functions", oracle.sentence_functions_sql())
+def p7_p11_sentence_functions(spark, sf_dir):
+    """P7, P8, P9, P10, P11 applied to every sentence."""
+    s = sentences(spark, sf_dir)
+    return s.select("doc_id", "sent_id", F.size(fx.split_ws_tokens("sentence")).alias("ws_tokens"),
+                    fx.capitalize_first("sentence").alias("capitalized"),
+                    fx.detokenize_pieces("sentence").alias("detokenized"),
+                    fx.length_gate("sentence").alias("accepted"),
+                    fx.label_index(fx.level_from_id("doc_id")).alias("label_index"))
+
+
+@register("f1_f6_predicates", oracle.predicates_sql())
+def f1_f6_predicates(spark, sf_dir):
+    """Per-document counts of tokens passing each predicate."""
+    t = tokens(spark, sf_dir, with_meta=False)
+    return t.groupBy("doc_id").agg(
+        F.count_if(fx.not_punct()).alias("f1_not_punct"), F.count_if(fx.cleaned()).alias("f2_cleaned"),
+        F.count_if(fx.by_pos("PROPN")).alias("f3_propn"), F.count_if(fx.by_pos("S")).alias("f3_s"),
+        F.count_if(fx.nominal()).alias("f4_nominal"), F.count_if(fx.sentence_word()).alias("f5_sentence_words"),
+        F.count_if(fx.has_feat("Case=Gen")).alias("f6_case_gen"))
+
+
+@register("t3_chunks", oracle.chunks_sql(40))
+def t3_chunks(spark, sf_dir):
+    """Sentences cut into pieces of at most 40 characters."""
+    return seg.chunk(sentences(spark, sf_dir), 40).select("doc_id", "sent_id", "piece_no", "sentence")
+
+
+@register("t4_sentence_offsets", oracle.offsets_sql())
+def t4_sentence_offsets(spark, sf_dir):
+    """T4: character offset of every sentence in its document."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    return seg.sentence_offsets(d).select("doc_id", "sent_id", "sentence", F.col("start").cast("int"))
+
+
+@register("t10_speller_suggestions", oracle.speller_sql())
+def t10_speller_suggestions(spark, sf_dir):
+    """Best frequent word at edit distance 1 for every rare corpus word."""
+    from ..operators.speller import suggestions, word_counts
+    from ..operators.tagging import tokenize
+    words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
+    return suggestions(word_counts(words))
