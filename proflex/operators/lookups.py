@@ -18,25 +18,33 @@ from ..functions.text import clean_lemma_lexicon, clean_lemma_stop, not_punct, s
 STOPWORD_COUNT = 100
 
 
-def build_stopwords(tokens: DataFrame, n: int = STOPWORD_COUNT) -> DataFrame:
+def lemma_counts(tokens: DataFrame) -> DataFrame:
+    """(lemma, n): corpus count of every lemma of a word token.  Both lookup tables are
+    re-keyed sums of this one aggregate, so the corpus is tokenised once for both."""
+    return (tokens.where(not_punct() & F.col("lemma").isNotNull())
+            .groupBy("lemma").agg(F.count(F.lit(1)).alias("n")))
+
+
+def build_stopwords(tokens: DataFrame | None = None, n: int = STOPWORD_COUNT,
+                    counts: DataFrame | None = None) -> DataFrame:
     """Stopword table (Stoplemma): the n most frequent cleaned lemmas, ties by lemma.
 
     A top-n: Spark plans it as a per-partition top-n and one small merge."""
+    counts = counts if counts is not None else lemma_counts(tokens)
     key = clean_lemma_stop("lemma")
-    return (tokens.where(not_punct() & F.col("lemma").isNotNull())
-            .groupBy(key.alias("Stoplemma")).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.groupBy(key.alias("Stoplemma")).agg(F.sum("n").alias("n"))
             .orderBy(F.col("n").desc(), F.col("Stoplemma")).limit(n)
             .select("Stoplemma"))
 
 
-def build_lexicon(tokens: DataFrame) -> DataFrame:
+def build_lexicon(tokens: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Lexicon (lemma, abstractness, frequency) from corpus counts of lexicon keys.
 
     frequency = number of word tokens with the key; abstractness = 1 + ascii(first hex digit
     of md5(key)) mod 3 (a deterministic stand-in for a rated 1-3 scale)."""
+    counts = counts if counts is not None else lemma_counts(tokens)
     key = clean_lemma_lexicon("lemma")
-    counted = (tokens.where(not_punct() & F.col("lemma").isNotNull())
-               .groupBy(key.alias("lemma")).agg(F.count(F.lit(1)).alias("frequency"))
+    counted = (counts.groupBy(key.alias("lemma")).agg(F.sum("n").cast("bigint").alias("frequency"))
                .where(F.col("lemma") != ""))
     return counted.select(
         "lemma",

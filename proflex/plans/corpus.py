@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import level_from_id
 from ..operators.features import feature_names, feature_table, prepare_tokens
-from ..operators.lookups import build_lexicon, build_stopwords, exam_from_source, genre_lookup
+from ..operators.lookups import build_lexicon, build_stopwords, exam_from_source, genre_lookup, lemma_counts
 from ..operators.tagging import tag_text
 from ..session import table_path
 
@@ -29,9 +29,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     are never shuffled here; for small ones the per-document aggregate then reuses this
     partitioning and needs no exchange of its own."""
     spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
     return df
 
 
@@ -49,7 +49,10 @@ def tokens(spark: SparkSession, sf_dir: str, with_meta: bool = True) -> DataFram
 
 
 def lookup_tables(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return build_lexicon(toks), build_stopwords(toks)
+    """Lexicon and stopwords from ONE per-lemma count of the corpus (the shared exchange is
+    reused by both)."""
+    counts = lemma_counts(toks)
+    return build_lexicon(counts=counts), build_stopwords(counts=counts)
 
 
 def document_features(spark: SparkSession, sf_dir: str, names: list[str] | None = None,

@@ -7,6 +7,8 @@ the folds and every model read a short lineage.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,18 +91,24 @@ def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int
     fold, five metrics from the same out-of-fold predictions."""
     train, _ = splits(spark, sf_dir)
     folded = stratified_folds(train, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
-    rows = []
-    for k in range(FOLDS):
+
+    def one_fold(k: int) -> list[DataFrame]:
         fit_rows = folded.where(F.col("fold") != k)
         held = folded.where(F.col("fold") == k)
         params = fit_standardizer(fit_rows, MODEL_FEATURES)
         fit_s, held_s = standardize(fit_rows, params), standardize(held, params)
         ranking = [r["feature"] for r in select_k_best(anova_f(fit_s, MODEL_FEATURES), len(MODEL_FEATURES))
                    .orderBy("rank").collect()]
+        out = []
         for model in models:
             for size in sizes:
                 p = fit_predict(model, fit_s, held_s, ranking[:size], keep=("fold",))
-                rows.append(p.withColumn("model", F.lit(model)).withColumn("n_features", F.lit(size)))
+                out.append(p.withColumn("model", F.lit(model)).withColumn("n_features", F.lit(size)))
+        return out
+
+    # folds are independent: their (small) fitting jobs are submitted concurrently
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        rows = [p for part in pool.map(one_fold, range(FOLDS)) for p in part]
     allp = rows[0]
     for p in rows[1:]:
         allp = allp.unionByName(p)

@@ -38,9 +38,34 @@ RUNTIME_CONF = {
 def tune_session(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make `proflex` importable in Python workers (pandas UDFs, mapInPandas) wherever the
+    job was started: the package is zipped once per SparkContext and added with addPyFile,
+    which distributes it to every executor."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="proflex-pyfiles-"), "proflex.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "proflex") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
