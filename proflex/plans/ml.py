@@ -85,12 +85,19 @@ def oof_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_cent
     return out
 
 
-def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int]) -> DataFrame:
+def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int],
+            fast: bool = True) -> DataFrame:
     """For every (model, number of features): 10-fold CV where scaling, top-k selection
     and the model are refitted on the training folds of each fold (no leakage); one fit per
     fold, five metrics from the same out-of-fold predictions."""
     train, _ = splits(spark, sf_dir)
     folded = stratified_folds(train, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
+    moment_models = [m for m in models if fast and m in ("nearest_centroid", "lda")]
+    rows: list[DataFrame] = []
+    if moment_models:
+        from ..operators.cvmoments import cv_predictions
+        rows.append(cv_predictions(folded, MODEL_FEATURES, moment_models, sizes))
+    models = [m for m in models if m not in moment_models]
 
     def one_fold(k: int) -> list[DataFrame]:
         fit_rows = folded.where(F.col("fold") != k)
@@ -107,8 +114,9 @@ def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int
         return out
 
     # folds are independent: their (small) fitting jobs are submitted concurrently
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        rows = [p for part in pool.map(one_fold, range(FOLDS)) for p in part]
+    if models:
+        with ThreadPoolExecutor(max_workers=4) as pool:
+            rows += [p for part in pool.map(one_fold, range(FOLDS)) for p in part]
     allp = rows[0]
     for p in rows[1:]:
         allp = allp.unionByName(p)
