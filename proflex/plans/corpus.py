@@ -87,10 +87,11 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def correction_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Correction list (J4) and truecase model (J8) derived from the corpus words."""
-    from ..operators.correction import build_correction_list, build_truecase_model
+    from ..operators.correction import build_correction_list, build_truecase_model, word_form_counts
     from ..operators.tagging import tokenize
     words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
-    return build_correction_list(words), build_truecase_model(words)
+    counts = word_form_counts(words)
+    return build_correction_list(counts=counts), build_truecase_model(counts=counts)
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
