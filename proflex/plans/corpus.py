@@ -51,7 +51,11 @@ def tokens(spark: SparkSession, sf_dir: str, with_meta: bool = True) -> DataFram
 def lookup_tables(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lexicon and stopwords from ONE per-lemma count of the corpus (the shared exchange is
     reused by both)."""
-    counts = lemma_counts(toks)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(toks.sparkSession)
+    # one corpus pass: the distinct-lemma counts are written to the checkpoint folder and
+    # both lookup tables read that small table
+    counts = lemma_counts(toks).checkpoint(eager=True)
     return build_lexicon(counts=counts), build_stopwords(counts=counts)
 
 
@@ -90,7 +94,9 @@ def correction_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     from ..operators.correction import build_correction_list, build_truecase_model, word_form_counts
     from ..operators.tagging import tokenize
     words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
-    counts = word_form_counts(words)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    counts = word_form_counts(words).checkpoint(eager=True)  # one corpus pass for both
     return build_correction_list(counts=counts), build_truecase_model(counts=counts)
 
 
