@@ -110,8 +110,28 @@ def cv_predictions(folded: DataFrame, features: list[str], models: list[str], si
                    key: str = "doc_id", label: str = "prof_level", fold: str = "fold") -> DataFrame:
     """Out-of-fold predictions (key, fold, label, prediction, model, n_features) of every
     (model, size) with one aggregate, one bounded broadcast table and one scoring pass."""
-    spark: SparkSession = folded.sparkSession
     rows = cv_models(fold_moments(folded, features, label, fold), features, models, sizes)
+    return score_models(folded, features, rows, key, label, fold)
+
+
+def centroid_rows(mom: dict, features: list[str], subsets: list[list[str]]) -> list[tuple]:
+    """Nearest-centroid model rows (unweighted distance over each feature subset) for every
+    fold, from the fold moments; `n_features` carries the subset index."""
+    rows = []
+    for k in sorted({f for (f, _) in mom}):
+        st = _train_stats(mom, k)
+        for i, sub in enumerate(subsets):
+            w = [1.0 if f in sub else 0.0 for f in features]
+            for c in sorted(st):
+                rows.append(("nearest_centroid", i, k, c, (st[c][1] / st[c][0]).tolist(), w, 0.0))
+    return rows
+
+
+def score_models(folded: DataFrame, features: list[str], rows: list[tuple], key: str = "doc_id",
+                 label: str = "prof_level", fold: str = "fold") -> DataFrame:
+    """Score every held-out row with each model row of its own fold (broadcast join of a
+    table bounded by folds x models x classes; no shuffle of the rows)."""
+    spark: SparkSession = folded.sparkSession
     from .lookups import literal_table
     table = literal_table(spark, rows, ["model", "n_features", "fold", "cls", "mu", "w", "b"])
     grouped = table.groupBy("model", "n_features", F.col("fold").alias("_mfold")).agg(

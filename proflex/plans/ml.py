@@ -146,25 +146,28 @@ def importance(spark: SparkSession, sf_dir: str, balanced: bool = False) -> Data
 
 
 def forward_selection(spark: SparkSession, sf_dir: str, m: int = 3) -> DataFrame:
-    """M9: greedy forward selection with 5-fold CV accuracy of the nearest-centroid model."""
-    from ..operators.selection import sequential_forward_select
+    """M9: greedy forward selection by 5-fold CV accuracy of the nearest-centroid model.
+
+    The fold statistics come from one moment aggregate; each greedy round scores every
+    candidate subset on every fold in ONE pass (not one job per candidate and fold)."""
+    from ..operators.cvmoments import centroid_rows, fold_moments, score_models
     tr, _ = scaled_splits(spark, sf_dir)
     folded = stratified_folds(tr, 5, "doc_id", "prof_level", SEED).checkpoint(eager=True)
-    scores: dict[tuple, float] = {}
-
-    def score(subset: list[str]) -> float:
-        accs = []
-        for k in range(5):
-            fit_rows, held = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
-            p = fit_predict("nearest_centroid", fit_rows, held, subset)
-            accs.append(p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0])
-        s = sum(accs) / len(accs)
-        scores[tuple(subset)] = s
-        return s
-
-    chosen = sequential_forward_select(MODEL_FEATURES, m, score)
-    rows = [(i + 1, f, scores.get(tuple(chosen[:i + 1]))) for i, f in enumerate(chosen)]
-    return _rows(spark, rows)
+    mom = fold_moments(folded, MODEL_FEATURES)
+    chosen: list[str] = []
+    steps = []
+    hit = (F.col("label") == F.col("prediction")).cast("double")
+    while len(chosen) < min(m, len(MODEL_FEATURES)):
+        cands = [f for f in MODEL_FEATURES if f not in chosen]
+        subsets = [chosen + [f] for f in cands]
+        pred = score_models(folded, MODEL_FEATURES, centroid_rows(mom, MODEL_FEATURES, subsets))
+        per_fold = pred.groupBy("n_features", "fold").agg(F.avg(hit).alias("acc"))
+        scores = {r["n_features"]: r["s"] for r in per_fold.groupBy("n_features")
+                  .agg(F.avg("acc").alias("s")).collect()}
+        best = max(range(len(cands)), key=lambda i: (scores[i], -MODEL_FEATURES.index(cands[i])))
+        chosen.append(cands[best])
+        steps.append((len(chosen), cands[best], float(scores[best])))
+    return _rows(spark, steps)
 
 
 def _rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
