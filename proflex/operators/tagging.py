@@ -19,6 +19,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---- fixed values: tokeniser and sentence-end patterns ----
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -128,10 +129,11 @@ def tag_text(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def tag_with_pandas(tokens: DataFrame, tagger: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Plug-in point for an external tagger: `tagger` gets an Arrow batch of token rows and
     returns the same rows with lemma/upos/xpos/feats filled; runs per partition."""
-    schema = tokens.schema
+    fields = list(tokens.schema.fields)
     for name in ("lemma", "upos", "xpos", "feats"):
-        if name not in schema.fieldNames():
-            schema = schema.add(name, "string")
+        if name not in tokens.columns:
+            fields.append(T.StructField(name, T.StringType()))
+    schema = T.StructType(fields)
 
     def run(batches):
         for pdf in batches:
