@@ -24,6 +24,8 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    # remove checkpoint files once nothing references them (they live in the shared folder)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 # Runtime SQL settings the operators rely on for speed; `tune_session` applies them to a
