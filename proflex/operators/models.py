@@ -135,8 +135,14 @@ def fit(name: str, train: DataFrame, features: list[str], label: str = "prof_lev
         model = fit_discriminant(train, features, label, quadratic=(name == "qda"))
         return lambda df, key="doc_id", keep=(): df.select(key, F.col(label).alias("label"),
                                                            model.alias("prediction"), *keep)
-    train = train.persist()  # iterative solvers re-read it every iteration
     n_train = train.count()
+    # iterative solvers run one job per iteration: size the partitions to the data (about a
+    # million rows each) so small training sets do not pay per-task overhead, then keep it
+    rows_per_part = 1_000_000
+    parts = max(1, -(-n_train // rows_per_part))
+    if parts < train.rdd.getNumPartitions():
+        train = train.coalesce(parts)
+    train = train.persist()
     idx = _indexer(label).fit(train)
     stages = [idx, _assembler(features),
               estimator(name, n_train, len(features)),
