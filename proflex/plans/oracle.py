@@ -407,7 +407,7 @@ SELECT DISTINCT lemma, replace(replace(lemma, '_', ''), '=', '') AS stop_key,
 
 def sentence_functions_sql() -> str:
     return f"""WITH {SENTENCES_CTE}
-SELECT doc_id, sent_id, len(regexp_extract_all(sentence, '\\s+|\\S+')) AS ws_tokens,
+SELECT doc_id, sent_id, CAST(len(regexp_extract_all(sentence, '\\s+|\\S+')) AS INTEGER) AS ws_tokens,
        upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS capitalized,
        regexp_replace(replace(replace(sentence, ' ', ''), '▁', ' '), '^\\s+|\\s+$', '', 'g') AS detokenized,
        length(sentence) <= 10000 AS accepted,
