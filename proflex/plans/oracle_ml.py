@@ -64,7 +64,7 @@ sel AS (SELECT * FROM ranked WHERE rank <= {TOP_K})"""
 
 
 def _centroid_predict(train: str, rows: str, out: str, part: str | None = None,
-                      selected: bool = True) -> str:
+                      selected: bool = True, row_key: str = "doc_id") -> str:
     """Nearest centroid: centroids from `train` (per `part` value if given), distances over
     the selected features (or all), arg-min with ties to the smaller label."""
     w = (lambda f: f"(SELECT count(*) FROM sel WHERE feature = '{f}')") if selected else (lambda f: "1")
@@ -73,11 +73,11 @@ def _centroid_predict(train: str, rows: str, out: str, part: str | None = None,
     if part is None:
         cents = f"SELECT prof_level AS cls, {mus} FROM {train} GROUP BY prof_level"
         join = f"FROM {rows} r, ({cents}) c"
-        pk = "r.doc_id"
+        pk = f"r.{row_key}"
     else:
         cents = f"SELECT {part} AS cpart, prof_level AS cls, {mus} FROM {train} GROUP BY {part}, prof_level"
         join = f"FROM {rows} r JOIN ({cents}) c ON r.{part} = c.cpart"
-        pk = "r.doc_id"
+        pk = f"r.{row_key}"
     return f""",
 {out} AS (
   SELECT * EXCLUDE (rn) FROM (
@@ -237,7 +237,7 @@ swapped AS (
   FROM grid g JOIN donors d ON g.feature = d.feature AND g.rep = d.rep AND g.rn = d.prn),
 perm_rows AS (SELECT doc_id || ':' || pf || ':' || CAST(rep AS VARCHAR) AS doc_key, * FROM swapped)
 {_centroid_predict("train_s", "test_s", "pbase", selected=False)}
-{_centroid_predict("train_s", "perm_rows", "pperm", selected=False).replace("PARTITION BY r.doc_id", "PARTITION BY r.doc_key")},
+{_centroid_predict("train_s", "perm_rows", "pperm", selected=False, row_key="doc_key")},
 base_score AS (SELECT avg(CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END) AS b FROM pbase),
 scores AS (SELECT pf AS feature, rep, avg(CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END) AS s
            FROM pperm GROUP BY pf, rep),
