@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators.models import fit, fit_centroids, fit_predict, nearest_centroid, permutation_importance
-from ..operators.sampling import shuffled, stratified_folds, test_split, train_split
+from ..operators.sampling import stratified_folds, test_split, train_split
 from ..operators.selection import anova_f, fit_standardizer, select_k_best, standardize
 from ..session import ensure_checkpoint_dir
 from .corpus import document_features
