@@ -468,3 +468,8 @@ pairs AS (
 SELECT wrong, "right", right_count FROM (
   SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY right_count DESC, "right") AS rn FROM pairs)
 WHERE rn = 1"""
+
+
+def reassembled_sql() -> str:
+    return r"""SELECT doc_id, regexp_replace(text, '\s+$', '') AS text FROM documents
+WHERE regexp_matches(text, '\S')"""

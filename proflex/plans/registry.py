@@ -347,3 +347,41 @@ def t10_speller_suggestions(spark, sf_dir):
     from ..operators.tagging import tokenize
     words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
     return suggestions(word_counts(words))
+
+
+@register("t5_reassembled_text", oracle.reassembled_sql())
+def t5_reassembled_text(spark, sf_dir):
+    """T4 + T5: delimiters from sentence offsets, then sentences and delimiters interleaved
+    back into one text per document (equals the right-stripped document)."""
+    from pyspark.sql import Window
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    off = seg.sentence_offsets(d)
+    w = Window.partitionBy("doc_id").orderBy("sent_id")
+    prev_end = F.coalesce(F.lag(F.col("start") + F.length("sentence")).over(w), F.lit(0))
+    with_delim = off.join(d, "doc_id").select(
+        "doc_id", "sent_id", "sentence",
+        F.col("text").substr(prev_end + 1, F.col("start") - prev_end).alias("delim"))
+    return seg.reassemble(with_delim, ["doc_id"], "sent_id", "sentence", "delim")
+
+
+@register("t9_s12_responses")
+def t9_s12_responses(spark, sf_dir):
+    """T9 + S12: the correction-list response of every sentence as JSON (rows-only)."""
+    from ..operators.correction import add_response, dictionary_correct
+    from ..sources.files import encode_response
+    cl, _ = correction_dictionaries(spark, sf_dir)
+    fixed = dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence", correction_list=cl)
+    return encode_response(add_response(fixed, "sentence", "spell_target"), "response") \
+        .select("doc_id", "sent_id", "json")
+
+
+def _capitalise_batch(batch: list[str]) -> list[str]:
+    return [s[:1].upper() + s[1:] for s in batch]
+
+
+@register("t11_batch_infer")
+def t11_batch_infer(spark, sf_dir):
+    """A per-batch sentence model (here: capitalise the first letter) run on Arrow
+    batches of <= 10 sentences / <= 1,000 tokens, outputs in input order (rows-only)."""
+    from ..operators.correction import batch_infer
+    return batch_infer(sentences(spark, sf_dir), _capitalise_batch)
