@@ -70,19 +70,23 @@ def test_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_cen
 
 def oof_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_centroid") -> DataFrame:
     """M22 registered form: 10 class-balanced folds of the standardised train split, top-k
-    features chosen on the train split, the model refitted per fold."""
+    features chosen on the train split, the nearest-centroid model refitted per fold.
+
+    All ten fits come from one per-(fold, class) moment aggregate; rows are scored against
+    their own fold's centroids in one pass."""
+    from ..operators.cvmoments import centroid_rows, fold_moments, score_models
     tr, _ = scaled_splits(spark, sf_dir)
     feats = selected(tr)
     folded = stratified_folds(tr, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
-    parts = []
-    for k in range(FOLDS):
-        fit_rows = folded.where(F.col("fold") != k)
-        held = folded.where(F.col("fold") == k)
-        parts.append(fit_predict(model, fit_rows, held, feats, keep=("fold",)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if model != "nearest_centroid":
+        parts = [fit_predict(model, folded.where(F.col("fold") != k), folded.where(F.col("fold") == k),
+                             feats, keep=("fold",)) for k in range(FOLDS)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    rows = centroid_rows(fold_moments(folded, MODEL_FEATURES), MODEL_FEATURES, [feats])
+    return score_models(folded, MODEL_FEATURES, rows).select("doc_id", "label", "prediction", "fold")
 
 
 def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int],
