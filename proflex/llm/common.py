@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -21,6 +22,21 @@ def prepare(spark: SparkSession) -> None:
     tune_session(spark)
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # a persisted table keeps its hash partitioning, so joins on its key do not shuffle it again
+    spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "false")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write `df` into a new folder below spark.checkpoint.dir, which all machines share, and
+    read it back: lineage ends there, lost executors do not matter, and the plan runs once
+    (checkpoint() runs it twice).  The folder goes when the application ends."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
