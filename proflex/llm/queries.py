@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, html_text, line_dedup, order_minhash, secret_scan, unigram
 from .common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,46 @@ def split_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def gpt_50k() -> str:
+    return public_tokenizer("byte_bpe_50k.tiktoken")
+
+
+def unigram_scores() -> dict[str, int]:
+    return unigram.zipf_scores(unigram.sentencepiece_pieces(public_tokenizer("piece_bpe_32k.model")))
+
+
+@register("op1_decontaminate")
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_order_minhash")
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@register("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"),
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register("op6_secrets")
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"), gpt_50k, split_pattern())
+
+
+@register("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), unigram_scores)
+
+
+@register("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), multi_50k, split_pattern())
