@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, line_dedup, order_minhash, secret_scan, unigram
+from . import bpe, decontaminate, html_text, langid, line_dedup, ngram_join, order_minhash, secret_scan, suffix_dedup, unigram
 from .common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@register("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op6_secrets")
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"), gpt_50k, split_pattern())
@@ -79,6 +89,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), unigram_scores)
 
 
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
 @register("op9_html_text")
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
