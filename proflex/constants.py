@@ -105,3 +105,7 @@ DISPLAY_NAMES = {'lemma_count': 'lemma count', 'S_abstr': 'noun abstr.',
 MAX_REQUEST_CHARS = 10000
 BATCH_MAX_SENTENCES = 10
 BATCH_MAX_TOKENS = 1000
+
+# White space in the Unicode sense (`\s` of the JVM and of DuckDB is ASCII only): the inside of
+# a character class that both engines read alike.
+WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LEVELS, LEXICON_LEMMA_STRIP, MAX_REQUEST_CHARS, NOMINAL_XPOS, STOP_LEMMA_STRIP
+from ..constants import LEVELS, LEXICON_LEMMA_STRIP, MAX_REQUEST_CHARS, NOMINAL_XPOS, STOP_LEMMA_STRIP, WS
 
 # ---- fixed values: syllable nuclei (vowel groups) for the syllable fallback ----
 VOWEL_GROUP = "[aeiouõäöüy]+"
 # ---- fixed values: whitespace-run split that keeps the runs as tokens ----
-WS_TOKEN_SPLIT = r"(?<=\s)(?=\S)|(?<=\S)(?=\s)"
+WS_TOKEN_SPLIT = rf"(?<=[{WS}])(?=[^{WS}])|(?<=[^{WS}])(?=[{WS}])"
 
 
 def _c(x) -> Column:
@@ -71,7 +71,7 @@ def split_ws_tokens(s) -> Column:
 def detokenize_pieces(s) -> Column:
     """Sub-word pieces -> text: drop spaces, `▁` becomes a space, strip."""
     joined = F.replace(F.replace(_c(s), F.lit(" "), F.lit("")), F.lit("▁"), F.lit(" "))
-    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+    return F.regexp_replace(joined, rf"^[{WS}]+|[{WS}]+$", "")
 
 
 def capitalize_first(s) -> Column:

@@ -32,11 +32,6 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
     return pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix_wide(pred: DataFrame, labels: list[str]) -> DataFrame:
-    """M27 (matrix form): one row per true label, one column per predicted label."""
-    return pred.groupBy("label").pivot("prediction", labels).agg(F.count(F.lit(1))).na.fill(0)
-
-
 def per_class(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp / fp / fn / support per class (and group); a class seen only as a prediction
     still gets a row (support 0)."""

@@ -21,7 +21,7 @@ STOPWORD_COUNT = 100
 def lemma_counts(tokens: DataFrame) -> DataFrame:
     """(lemma, n): corpus count of every lemma of a word token.  Both lookup tables are
     re-keyed sums of this one aggregate, so the corpus is tokenised once for both."""
-    return (tokens.where(not_punct() & F.col("lemma").isNotNull())
+    return (tokens.where(F.col("word").isNotNull() & not_punct() & F.col("lemma").isNotNull())
             .groupBy("lemma").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -33,10 +33,6 @@ from pyspark.sql import types as T
 
 from ..constants import LEVELS
 
-MODEL_NAMES = ["logistic_regression", "logistic_regression_cv", "svc_rbf", "random_forest",
-               "mlp", "lda", "qda", "nearest_centroid"]
-
-
 # ---- H1: nearest centroid ------------------------------------------------------------------
 
 def fit_centroids(train: DataFrame, features: list[str], label: str = "prof_level") -> dict:

@@ -47,6 +47,8 @@ def test_split(df: DataFrame, n: int = 30, key: str = "doc_id", seed: int = 0,
     order = [hash_order(seed, key), F.col(key)]
     strat = df.where(F.col(label).isin(list(stratified_levels)) & F.col(stratum).isNotNull())
     strat = strat.withColumn("_rn", F.row_number().over(Window.partitionBy(label, stratum).orderBy(*order)))
+    # no quota exceeds n; a constant bound lets Spark cut each group before the shuffle
+    strat = strat.where(F.col("_rn") <= n)
     strat = strat.join(quota, label).where(F.col("_rn") <= F.col("_per")).drop("_rn", "_per")
     simple = df.where(F.col(label).isin(list(simple_levels)))
     simple = simple.withColumn("_rn", F.row_number().over(Window.partitionBy(label).orderBy(*order))) \

@@ -1,52 +1,63 @@
-"""Sentence split, chunking, delimiters and reassembly, as column expressions.
+"""Sentence split, chunking, delimiters and reassembly.
 
-Sentences are the pieces of the text cut after every `.`, `!`, `?` (the same cut the
-tagger uses, so sentence k is `sent_id` k), each stripped of surrounding whitespace.
-Offsets come from the pieces themselves: the pieces tile the text, so the delimiter before
-a sentence is the whitespace stripped from the end of the previous piece plus the start of
-its own piece.  No window and no shuffle is needed.
+A sentence ends at a run of `.`, `!`, `?` that white space or the end of the text follows, so
+"3.14" and "Nii..." stay whole.  The pieces tile the text: a piece is the white space before a
+sentence and the sentence, and what is left behind the last one is the text's tail.  A document
+without any sentence has one empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tagging import SENTENCE_END_SPLIT
+from ..constants import WS
 
-STRIP_PATTERN = r"^\s+|\s+$"
+STRIP_PATTERN = rf"^[{WS}]+|(?<![{WS}])[{WS}]+$"
+LEAD_PATTERN = rf"^[{WS}]*"
+TAIL_PATTERN = rf"(?<![{WS}])[{WS}]+$"
+CUT_PATTERN = rf"(?<=[.!?])(?=[{WS}])"
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def strip_ws(c) -> Column:
-    """Python-style strip(): remove leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, STRIP_PATTERN, "")
+    """Python-style strip(): remove leading and trailing white space of any kind."""
+    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+
+
+def _rows(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataFrame:
+    """One row for each piece: sent_id, piece, sentence, tail (of the text)."""
+    whole = F.coalesce(_c(text), F.lit(""))
+    blank = whole.rlike(rf"^[{WS}]*$")
+    body = F.when(blank, F.lit("")).otherwise(F.regexp_replace(whole, TAIL_PATTERN, ""))
+    tail = F.when(blank, whole).otherwise(F.regexp_extract(whole, TAIL_PATTERN, 0))
+    pieces = docs.select(key, *carry, tail.alias("_tail"), F.posexplode(F.split(body, CUT_PATTERN)).alias("_p", "_piece"))
+    return pieces.select(key, *carry, (F.col("_p") + 1).cast("int").alias("sent_id"), "_piece", "_tail",
+                         F.regexp_replace("_piece", LEAD_PATTERN, "").alias("sentence"))
 
 
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, text) -> (key, *carry, sent_id, sentence); empty sentences dropped."""
-    pieces = docs.select(key, *carry, F.posexplode(F.split(F.col(text), SENTENCE_END_SPLIT))
-                         .alias("_p", "_piece"))
-    out = pieces.select(key, *carry, (F.col("_p") + 1).cast("int").alias("sent_id"),
-                        strip_ws("_piece").alias("sentence"), "_piece")
-    return out.where(F.col("sentence") != "").drop("_piece")
+    """(key, text) -> (key, *carry, sent_id, sentence); at least one row for each text."""
+    return _rows(docs, key, text, carry).select(key, *carry, "sent_id", "sentence")
+
+
+def delimiters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """T4 without offsets: (key, sent_id, sentence, delim, tail); `delim` is the white space
+    before the sentence, `tail` that at the end of the text.  A projection, no shuffle."""
+    return _rows(docs, key, text, ()).select(
+        key, "sent_id", "sentence", F.regexp_extract("_piece", LEAD_PATTERN, 0).alias("delim"), F.col("_tail").alias("tail"))
 
 
 def sentence_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """T4 for the regex split: (key, sent_id, sentence, start, delim_before, delim_after_last).
-
-    Computed per document with array functions over the pieces (bounded by one text)."""
-    pieces = F.split(F.col(text), SENTENCE_END_SPLIT)
-    lead = F.transform(pieces, lambda p: F.length(F.regexp_extract(p, r"^\s*", 0)))
-    plen = F.transform(pieces, lambda p: F.length(p))
-    d = docs.select(key, pieces.alias("_pieces"), lead.alias("_lead"), plen.alias("_plen"))
-    rows = d.select(key, F.posexplode("_pieces").alias("_p", "_piece"), "_lead", "_plen")
-    before = F.aggregate(F.slice("_plen", 1, F.col("_p")), F.lit(0), lambda a, x: a + x)
-    return rows.select(
-        key, (F.col("_p") + 1).cast("int").alias("sent_id"),
-        strip_ws("_piece").alias("sentence"),
-        (before + F.element_at("_lead", F.col("_p") + 1)).alias("start"),
-    ).where(F.col("sentence") != "")
+    """T4: (key, sent_id, sentence, start); the starts are one running sum over a document."""
+    rows = delimiters(docs, key, text)
+    before = Window.partitionBy(key).orderBy("sent_id").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.length("delim") + F.length("sentence")).over(before), F.lit(0))
+    return rows.select(key, "sent_id", "sentence", (passed + F.length("delim")).alias("start"))
 
 
 def chunk(sentences: DataFrame, max_pos: int, col: str = "sentence") -> DataFrame:
@@ -59,14 +70,13 @@ def chunk(sentences: DataFrame, max_pos: int, col: str = "sentence") -> DataFram
         F.substring(F.col(col), (F.col("_k") - 1) * max_pos + 1, max_pos).alias(col))
 
 
-def reassemble(pieces: DataFrame, keys: list[str], order: str, text: str,
-               delim: str) -> DataFrame:
-    """T5: join ordered (delimiter, piece) pairs back into one text per key.
-
-    Each row carries the delimiter that precedes its piece; `trailing` rows (piece null)
-    carry the text after the last piece."""
+def reassemble(pieces: DataFrame, keys: list[str], order: str, text: str, delim: str,
+               tail: str | None = None) -> DataFrame:
+    """T5: join ordered (delimiter, piece) rows back into one text per key; pieces are stripped.
+    `tail`, the same in all rows of a key, follows the last piece."""
     item = F.struct(F.col(order).alias("o"),
                     F.concat(F.coalesce(F.col(delim), F.lit("")),
                              F.coalesce(strip_ws(text), F.lit(""))).alias("s"))
-    return (pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-            .select(*keys, F.array_join(F.transform("_items", lambda x: x["s"]), "").alias("text")))
+    end = F.coalesce(F.max(tail), F.lit("")) if tail else F.lit("")
+    return (pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"), end.alias("_end"))
+            .select(*keys, F.concat(F.array_join(F.transform("_items", lambda x: x["s"]), ""), "_end").alias("text")))

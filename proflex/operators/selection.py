@@ -6,8 +6,6 @@ pass with map-side partial aggregation, whatever the size of any class.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +54,3 @@ def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """M8: the k features with the highest F (ties by name), with their rank."""
     w = Window.orderBy(F.col("f_score").desc_nulls_last(), F.col("feature"))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def sequential_forward_select(features: list[str], m: int,
-                              score: Callable[[list[str]], float]) -> list[str]:
-    """M9: greedy forward selection; `score(subset)` is a cross-validated accuracy computed
-    by Spark jobs (the loop over candidates runs on the driver, each score is distributed)."""
-    chosen: list[str] = []
-    if m >= len(features):
-        return list(features)
-    while len(chosen) < m:
-        best = max((f for f in features if f not in chosen),
-                   key=lambda f: (score(chosen + [f]), -features.index(f)))
-        chosen.append(best)
-    return chosen

@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..constants import WS
+
 # ---- fixed values: tokeniser and sentence-end patterns ----
-TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^" + WS + r"\p{L}\p{N}]"
 SENTENCE_END_SPLIT = r"(?<=[.!?])"
 PUNCT_PATTERN = r"^[^\p{L}\p{N}]$"
 NUMBER_PATTERN = r"^[0-9]+$"
@@ -56,15 +58,23 @@ def _arr(values: list) -> Column:
 
 def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text",
              carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *carry, text) -> (key, *carry, sent_id, idx, word); map-side only."""
-    pieces = docs.select(key, *carry,
-                         F.posexplode(F.split(F.col(text), SENTENCE_END_SPLIT)).alias("s", "piece"))
+    """(key, *carry, text) -> (key, *carry, sent_id, idx, word); map-side only.
+
+    A piece without a token keeps one row with a null word, so no document disappears from a
+    later grouping; `drop_empty` removes these rows where only tokens are wanted."""
+    pieces = docs.select(key, *carry, F.posexplode(
+        F.split(F.coalesce(F.col(text), F.lit("")), SENTENCE_END_SPLIT)).alias("s", "piece"))
     toks = pieces.select(key, *carry, (F.col("s") + 1).cast("int").alias("sent_id"),
-                         F.posexplode(F.regexp_extract_all("piece", F.lit(TOKEN_PATTERN), 0))
+                         F.posexplode_outer(F.regexp_extract_all("piece", F.lit(TOKEN_PATTERN), 0))
                          .alias("p", "word"))
     return toks.select(key, *carry, "sent_id", (F.col("p") + 1).cast("int").alias("idx"), "word")
 
 
+def drop_empty(tokens: DataFrame) -> DataFrame:
+    """The rows that are tokens."""
+    return tokens.where(F.col("word").isNotNull())
+
+
 def _tag_stages(tokens: DataFrame) -> DataFrame:
     """Rule tagger in three projections so every per-token value is computed once.
 

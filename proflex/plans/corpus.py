@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.text import level_from_id
 from ..operators.features import feature_names, feature_table, prepare_tokens
 from ..operators.lookups import build_lexicon, build_stopwords, exam_from_source, genre_lookup, lemma_counts
-from ..operators.tagging import tag_text
+from ..operators.tagging import drop_empty, tag_text
 from ..session import table_path
 
+#: Session setting: deal the documents into so many partitions first, for inputs stored as one
+#: row group that no split size can cut.  Unset (the default) the reader's splits stay.
+INPUT_PARTITIONS = "proflex.input.partitions"
 META = ["prof_level", "exam_time"]
 
 
@@ -23,21 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition `df` by `key` only when the scan has fewer splits than the cluster
-    has cores (small inputs stored as one row group).  Large inputs keep their splits and
-    are never shuffled here; for small ones the per-document aggregate then reuses this
-    partitioning and needs no exchange of its own."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text and the derived level / exam session (a projection, no shuffle)."""
-    docs = spread(read_table(spark, sf_dir, "documents"), "doc_id")
+    docs = read_table(spark, sf_dir, "documents")
+    n = spark.conf.get(INPUT_PARTITIONS, None)
+    if n:       # the caller asks for it, whatever the size
+        docs = docs.repartition(int(n), "doc_id")
     return docs.select("doc_id", "text",
                        level_from_id("doc_id").alias("prof_level"),
                        exam_from_source("source").alias("exam_time"))
@@ -48,6 +42,11 @@ def tokens(spark: SparkSession, sf_dir: str, with_meta: bool = True) -> DataFram
     return tag_text(documents(spark, sf_dir), carry=carry)
 
 
+def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 rows only, without the placeholders of pieces that hold no token."""
+    return drop_empty(tokens(spark, sf_dir, with_meta=False))
+
+
 def lookup_tables(toks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lexicon and stopwords from ONE per-lemma count of the corpus (the shared exchange is
     reused by both)."""
@@ -93,7 +92,7 @@ def correction_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     """Correction list (J4) and truecase model (J8) derived from the corpus words."""
     from ..operators.correction import build_correction_list, build_truecase_model, word_form_counts
     from ..operators.tagging import tokenize
-    words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
+    words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     counts = word_form_counts(words).checkpoint(eager=True)  # one corpus pass for both

@@ -9,7 +9,7 @@ rounded to 6 places on both sides; integer sums are cast to BIGINT.
 from __future__ import annotations
 
 from ..constants import (ADJ_DEGREE_TAGS, EXAM_SESSIONS, GENRE_BY_EXAM, LEVELS, NOMINAL_TAGS,
-                         POS_TAGS, RARE_BOUNDS, VERB_TAGS)
+                         POS_TAGS, RARE_BOUNDS, VERB_TAGS, WS)
 from ..operators.features import PRONOUN_TAGS, _suffix, _verb_name, feature_names
 from ..operators.tagging import (CASE_BY_DIGIT, PRONTYPE_BY_DIGIT, UPOS_BY_DIGIT, XPOS_BY_DIGIT)
 
@@ -22,6 +22,8 @@ def lst(values) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
 
 
+TOKEN = r"[\p{L}\p{N}]+|[^" + WS + r"\p{L}\p{N}]"
+
 HEX = "'0123456789abcdef'"
 
 DOCS_CTE = f"""
@@ -34,7 +36,7 @@ docs AS (
 TOKENS_CTE = DOCS_CTE + r""",
 raw_tok AS (
   SELECT doc_id, prof_level, exam_time, unnest(toks) AS word, unnest(generate_series(1, len(toks))) AS i
-  FROM (SELECT *, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]') AS toks FROM docs)),
+  FROM (SELECT *, regexp_extract_all(text, '""" + TOKEN + r"""') AS toks FROM docs)),
 sent_tok AS (
   SELECT *, 1 + coalesce(sum(CASE WHEN word IN ('.', '!', '?') THEN 1 ELSE 0 END)
             OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -136,7 +138,7 @@ def feature_sql(names: list[str] | None = None, rounded: bool = True) -> str:
         "abs_n": _cnt("w AND xpos = 'S' AND abstractness <> 0"),
         "comp": _cnt("w AND contains(lemma, '_')"), "nomn": _cnt("nom"),
         "ncases": "count(DISTINCT split_part(feats, '|', 1)) FILTER (WHERE nom AND contains(feats, 'Case='))",
-        "mtld_words": "list(lower(word) ORDER BY sent_id, idx) FILTER (WHERE c)",
+        "mtld_words": "coalesce(list(lower(word) ORDER BY sent_id, idx) FILTER (WHERE c), [])",
     }
     for t in POS_TAGS:
         agg[f"pos_{t}"] = _cnt(f"w AND xpos = '{t}'")
@@ -239,7 +241,9 @@ def feature_sql(names: list[str] | None = None, rounded: bool = True) -> str:
 per_doc AS (
   SELECT doc_id, prof_level, exam_time,
     {aggs}
-  FROM ftok GROUP BY doc_id, prof_level, exam_time),
+  FROM (SELECT d.doc_id, d.prof_level, d.exam_time, f.* EXCLUDE (doc_id, prof_level, exam_time)
+        FROM docs d LEFT JOIN ftok f ON d.doc_id = f.doc_id)
+  GROUP BY doc_id, prof_level, exam_time),
 genres(g_level, g_exam, g_type) AS (VALUES {genre_rows}),
 folded AS (SELECT *, {mtld} AS m FROM per_doc)
 SELECT doc_id, prof_level, exam_time,
@@ -255,23 +259,30 @@ SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, idx, word, lemma, upos, xpos
 
 # ---- error features (E1-E11) -----------------------------------------------------------------
 
-_TOK = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+_TOK = TOKEN
 
 SENTENCES_CTE = r"""
+bodies AS (
+  SELECT doc_id, coalesce(text, '') AS whole, NOT regexp_matches(coalesce(text, ''), '[^WS]') AS blank,
+         CASE WHEN blank THEN '' ELSE regexp_replace(whole, '[WS]+$', '') END AS body
+  FROM documents),
 pieces AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS sent_id
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+') AS p FROM documents)),
+  SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS sent_id, substr(whole, length(body) + 1) AS tail
+  FROM (SELECT *, string_split(regexp_replace(body, '([.!?])([WS])', '\1' || chr(65535) || '\2', 'g'), chr(65535)) AS p FROM bodies)),
 sents AS (
-  SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, sentence FROM (
-    SELECT doc_id, sent_id, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM pieces)
-  WHERE sentence <> '')"""
+  SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, regexp_replace(piece, '^[WS]+', '') AS sentence, piece, tail
+  FROM pieces)""".replace("[WS]", "[" + WS + "]").replace("[^WS]", "[^" + WS + "]")
 
 DICT_CTE = r""",
 corpus_words AS (
   SELECT unnest(regexp_extract_all(text, '""" + _TOK + r"""')) AS word FROM documents),
 cl AS (
-  SELECT DISTINCT word AS wrong, word || 'q' AS "right" FROM corpus_words
-  WHERE regexp_matches(word, '[\p{L}\p{N}]') AND starts_with(md5(word), '00')),
+  SELECT DISTINCT word AS wrong,
+    CASE substr(md5(word), 1, 2) WHEN '00' THEN word || 'q' WHEN '02' THEN ''
+      ELSE substr(word, 1, length(word) // 2) || ' ' || substr(word, length(word) // 2 + 1) END AS "right"
+  FROM corpus_words
+  WHERE regexp_matches(word, '[\p{L}\p{N}]')
+    AND (substr(md5(word), 1, 2) IN ('00', '02') OR (starts_with(md5(word), '01') AND length(word) > 1))),
 forms AS (
   SELECT lower(word) AS key, word AS form, count(*) AS freq FROM corpus_words
   WHERE regexp_matches(word, '[\p{L}\p{N}]') GROUP BY 1, 2),
@@ -294,46 +305,67 @@ jt AS (
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before,
          lag(s.tok) OVER (PARTITION BY s.doc_id, s.sent_id ORDER BY s.pos) AS prev_tok
   FROM stok s LEFT JOIN cl ON s.tok = cl.wrong LEFT JOIN tm ON lower(s.tok) = tm.key),
-corrected AS (
-  SELECT doc_id, sent_id, sentence,
-    string_agg(coalesce(spell, tok) || repeat(' ', length(coalesce(gap, ''))), '' ORDER BY pos) AS spell_target,
-    string_agg(CASE WHEN is_word AND case_word IS NOT NULL AND (words_before = 0
+outs AS (
+  SELECT *, coalesce(spell, tok) AS spell_out,
+    CASE WHEN is_word AND case_word IS NOT NULL AND (words_before = 0
                   OR (upper(tok) = tok AND lower(tok) <> tok) OR prev_tok IN ('.', ':', ';', '?', '!'))
-                THEN case_word ELSE tok END || coalesce(gap, ''), '' ORDER BY pos) AS case_target
-  FROM jt GROUP BY doc_id, sent_id, sentence)"""
-
-
-ERROR_STATS_CTE = CORRECTED_CTE + r""",
-toks AS (
-  SELECT *, regexp_extract_all(sentence, '\s+|\S+') AS s,
-            regexp_extract_all(spell_target, '\s+|\S+') AS t1,
-            regexp_extract_all(case_target, '\s+|\S+') AS t2
-  FROM corrected),
-changed AS (
-  SELECT *, list_filter(range(1, len(s) + 1), lambda i: s[i] <> t1[i]) AS cp1,
-            list_filter(range(1, len(s) + 1), lambda i: s[i] <> t2[i]) AS cp2
-  FROM toks),
-opened AS (
-  SELECT *, list_filter(range(1, len(cp1) + 1), lambda k: k = 1 OR cp1[k] - cp1[k - 1] > 3) AS st1,
-            list_filter(range(1, len(cp2) + 1), lambda k: k = 1 OR cp2[k] - cp2[k - 1] > 3) AS st2
-  FROM changed),
-bounds AS (
-  SELECT *, list_transform(range(1, len(st2) + 1), lambda j: {
-              'first': cp2[st2[j]],
-              'last': cp2[CASE WHEN j < len(st2) THEN st2[j + 1] - 1 ELSE len(cp2) END]}) AS g2
-  FROM opened),
-ctx AS (
-  SELECT *, list_transform(g2, lambda x: {
-              'lo': CASE WHEN x.first > 1 AND s[x.first - 1] <> ' ' THEN x.first - 1 ELSE x.first END,
-              'hi': CASE WHEN x.last < len(s) AND s[x.last + 1] <> ' ' THEN x.last + 1 ELSE x.last END}) AS lh2
-  FROM bounds),
+                THEN case_word ELSE tok END AS case_out
+  FROM jt),
+corrected AS (
+  SELECT s.doc_id, s.sent_id, s.sentence, coalesce(o.spell_target, '') AS spell_target, coalesce(o.case_target, '') AS case_target
+  FROM sents s LEFT JOIN (
+    SELECT doc_id, sent_id,
+      string_agg(spell_out || repeat(' ', length(coalesce(gap, ''))), '' ORDER BY pos) AS spell_target,
+      string_agg(case_out || coalesce(gap, ''), '' ORDER BY pos) AS case_target
+    FROM outs GROUP BY doc_id, sent_id) o ON s.doc_id = o.doc_id AND s.sent_id = o.sent_id)"""
+
+
+# Spans as gaps and islands over one row for each white-space-kept token (`place`).
+SPANS_CTE = CORRECTED_CTE + r""",
+placed AS (
+  SELECT *, 1 + 2 * coalesce(sum(CASE WHEN length(gap) > 0 THEN 1 ELSE 0 END)
+           OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM outs),
+kept AS (
+  SELECT doc_id, sent_id, place, string_agg(tok, '' ORDER BY pos) AS src,
+         string_agg(spell_out, '' ORDER BY pos) AS spell, string_agg(case_out, '' ORDER BY pos) AS "case"
+  FROM placed GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, sent_id, place + 1, gap, repeat(' ', length(gap)), gap FROM placed WHERE length(gap) > 0),
+both_kinds AS (
+  SELECT doc_id, sent_id, place, src, 'spell' AS kind, spell AS new FROM kept
+  UNION ALL SELECT doc_id, sent_id, place, src, 'case', "case" FROM kept),
+islands AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR place - before > 3 THEN 1 ELSE 0 END)
+           OVER (PARTITION BY doc_id, sent_id, kind ORDER BY place) AS island
+  FROM (SELECT *, lag(place) OVER (PARTITION BY doc_id, sent_id, kind ORDER BY place) AS before
+        FROM both_kinds WHERE src <> new)),
+ends AS (
+  SELECT doc_id, sent_id, kind, island, min(place) AS a, max(place) AS b FROM islands GROUP BY ALL),
+wide AS (
+  SELECT e.doc_id, e.sent_id, e.kind, e.island, a - CASE WHEN l.src <> ' ' THEN 1 ELSE 0 END AS lo,
+         b + CASE WHEN r.src <> ' ' THEN 1 ELSE 0 END AS hi
+  FROM ends e
+  LEFT JOIN kept l ON l.doc_id = e.doc_id AND l.sent_id = e.sent_id AND l.place = a - 1
+  LEFT JOIN kept r ON r.doc_id = e.doc_id AND r.sent_id = e.sent_id AND r.place = b + 1),
+spans AS (
+  SELECT w.doc_id, w.sent_id, w.kind,
+         CAST(coalesce(sum(length(k.src)) FILTER (WHERE k.place < lo), 0) AS INTEGER) AS "start",
+         CAST(sum(length(k.src)) FILTER (WHERE k.place <= hi) AS INTEGER) AS "end",
+         string_agg(k.src, '' ORDER BY k.place) FILTER (WHERE k.place BETWEEN lo AND hi) AS "value",
+         nullif(string_agg(k.new, '' ORDER BY k.place) FILTER (WHERE k.place BETWEEN lo AND hi), '') AS replacement
+  FROM wide w JOIN both_kinds k ON k.doc_id = w.doc_id AND k.sent_id = w.sent_id AND k.kind = w.kind
+  GROUP BY w.doc_id, w.sent_id, w.kind, w.island)"""
+
+ERROR_STATS_CTE = SPANS_CTE + r""",
+counted AS (
+  SELECT doc_id, sent_id, count(*) FILTER (WHERE kind = 'spell') AS spell_n, count(*) FILTER (WHERE kind = 'case') AS grammar_n,
+         coalesce(sum(len(regexp_extract_all("value", '[^""" + WS + r"""]+'))) FILTER (WHERE kind = 'case'), 0) AS grammar_words
+  FROM spans GROUP BY doc_id, sent_id),
 sstats AS (
-  SELECT doc_id, sent_id,
-    len(regexp_extract_all(sentence, '[\p{L}\p{N}]+')) AS words,
-    len(st1) AS spell_n, len(st2) AS grammar_n,
-    coalesce(list_sum(list_transform(lh2, lambda x:
-        len(list_filter(list_slice(s, x.lo, x.hi), lambda y: NOT regexp_matches(y, '^\s+$'))))), 0) AS grammar_words
-  FROM ctx),
+  SELECT s.doc_id, s.sent_id, len(regexp_extract_all(s.sentence, '[\p{L}\p{N}]+')) AS words,
+         coalesce(spell_n, 0) AS spell_n, coalesce(grammar_n, 0) AS grammar_n, coalesce(grammar_words, 0) AS grammar_words
+  FROM sents s LEFT JOIN counted c ON s.doc_id = c.doc_id AND s.sent_id = c.sent_id),
 sratio AS (
   SELECT *, CASE WHEN spell_n > 0 THEN spell_n / nullif(CAST(words AS DOUBLE), 0) ELSE 0.0 END AS spell_ratio,
             CASE WHEN grammar_n > 0 THEN grammar_words / nullif(CAST(words AS DOUBLE), 0) ELSE 0.0 END AS error_ratio
@@ -363,6 +395,52 @@ SELECT doc_id, sent_id, CAST(words AS BIGINT) AS words, CAST(spell_n AS INTEGER)
 FROM sratio"""
 
 
+def spans_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{SPANS_CTE}
+SELECT doc_id, sent_id, kind, "start", "end", "value", replacement FROM spans"""
+
+
+def applied_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{CORRECTED_CTE}
+SELECT doc_id, sent_id, spell_target AS spell_applied, case_target AS case_applied FROM corrected"""
+
+
+def feats_table_sql() -> str:
+    return f"""WITH {TOKENS_CTE}
+SELECT doc_id, feats, count(*) AS n FROM tok WHERE xpos IS DISTINCT FROM 'Z' AND feats IS NOT NULL GROUP BY doc_id, feats"""
+
+
+def chain_sql() -> str:
+    """J4, then the speller's suggestions, on the stripped result of the first."""
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{CORRECTED_CTE},
+once AS (
+  SELECT doc_id, sent_id, regexp_replace(spell_target, '^[{WS}]+|[{WS}]+$', '', 'g') AS sentence FROM corrected),
+again AS (
+  SELECT doc_id, sent_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos, gaps
+  FROM (SELECT *, regexp_extract_all(sentence, '{TOKEN}') AS toks, regexp_split_to_array(sentence, '{TOKEN}') AS gaps FROM once)),
+suggested AS ({speller_sql()})
+SELECT o.doc_id, o.sent_id, coalesce(t.target, '') AS target
+FROM once o LEFT JOIN (
+  SELECT doc_id, sent_id, string_agg(coalesce(g."right", tok) || repeat(' ', length(gaps[pos + 1])), '' ORDER BY pos) AS target
+  FROM again a LEFT JOIN suggested g ON a.tok = g.wrong GROUP BY doc_id, sent_id) t
+  ON o.doc_id = t.doc_id AND o.sent_id = t.sent_id"""
+
+
+def metadata_sql() -> str:
+    return f"""WITH {DOCS_CTE},
+named AS (SELECT doc_id, prof_level || '_' || exam_time || '_' || doc_id || '.txt' AS name,
+                 '/' || prof_level || CASE WHEN prof_level = 'B2' AND doc_id % 8 = 2 THEN '_arg_writings'
+                   WHEN prof_level = 'B2' THEN '_semiformal_letters' ELSE '' END AS dir FROM docs)
+SELECT doc_id, substr(name, 1, 2) AS name_level, split_part(name, '_', 2) AS name_exam, substr(dir, 2, 2) AS dir_level,
+  CASE WHEN substr(dir, 2, 2) IN ('A2', 'B1') THEN 'description/narration'
+       WHEN dir LIKE '%arg_writings' OR substr(dir, 2, 2) = 'C1' THEN 'argumentative writing'
+       ELSE 'semiformal letter' END AS dir_type FROM named"""
+
+
+def level_type_sql(level: str, text_type: str) -> str:
+    return f"SELECT * FROM ({genre_sql()}) WHERE prof_level = {q(level)} AND text_type = {q(text_type)}"
+
+
 def sentences_sql() -> str:
     return f"""WITH {SENTENCES_CTE}
 SELECT doc_id, sent_id, sentence FROM sents"""
@@ -407,9 +485,9 @@ SELECT DISTINCT lemma, replace(replace(lemma, '_', ''), '=', '') AS stop_key,
 
 def sentence_functions_sql() -> str:
     return f"""WITH {SENTENCES_CTE}
-SELECT doc_id, sent_id, CAST(len(regexp_extract_all(sentence, '\\s+|\\S+')) AS INTEGER) AS ws_tokens,
+SELECT doc_id, sent_id, CAST(len(regexp_extract_all(sentence, '[{WS}]+|[^{WS}]+')) AS INTEGER) AS ws_tokens,
        upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS capitalized,
-       regexp_replace(replace(replace(sentence, ' ', ''), '▁', ' '), '^\\s+|\\s+$', '', 'g') AS detokenized,
+       regexp_replace(replace(replace(sentence, ' ', ''), '▁', ' '), '^[{WS}]+|[{WS}]+$', '', 'g') AS detokenized,
        length(sentence) <= 10000 AS accepted,
        CAST(list_position(['A2', 'B1', 'B2', 'C1'], ['A2', 'B1', 'B2', 'C1'][(doc_id % 4) + 1]) - 1 AS INTEGER)
          AS label_index
@@ -419,16 +497,17 @@ FROM sents"""
 def predicates_sql() -> str:
     return f"""WITH {TOKENS_CTE}
 SELECT doc_id,
-  count(*) FILTER (WHERE xpos IS DISTINCT FROM 'Z') AS f1_not_punct,
-  count(*) FILTER (WHERE xpos IS DISTINCT FROM 'Z' AND upos IS DISTINCT FROM 'PROPN'
+  count(*) FILTER (WHERE word IS NOT NULL AND xpos IS DISTINCT FROM 'Z') AS f1_not_punct,
+  count(*) FILTER (WHERE word IS NOT NULL AND xpos IS DISTINCT FROM 'Z' AND upos IS DISTINCT FROM 'PROPN'
                    AND upos IS DISTINCT FROM 'SYM' AND NOT coalesce(contains(feats, 'NumForm=Digit'), false))
     AS f2_cleaned,
   count(*) FILTER (WHERE upos = 'PROPN') AS f3_propn,
   count(*) FILTER (WHERE xpos = 'S') AS f3_s,
   count(*) FILTER (WHERE xpos IN ('S', 'A', 'P', 'N')) AS f4_nominal,
-  count(*) FILTER (WHERE upos IS DISTINCT FROM 'PUNCT') AS f5_sentence_words,
+  count(*) FILTER (WHERE word IS NOT NULL AND upos IS DISTINCT FROM 'PUNCT') AS f5_sentence_words,
   count(*) FILTER (WHERE coalesce(contains(feats, 'Case=Gen'), false)) AS f6_case_gen
-FROM tok GROUP BY doc_id"""
+FROM (SELECT d.doc_id, t.* EXCLUDE (doc_id) FROM documents d LEFT JOIN tok t ON d.doc_id = t.doc_id)
+GROUP BY doc_id"""
 
 
 def chunks_sql(max_pos: int = 40) -> str:
@@ -438,22 +517,15 @@ FROM (SELECT *, unnest(range(1, CAST(greatest(ceil(length(sentence) / {max_pos})
 
 
 def offsets_sql() -> str:
-    return f"""WITH
-pieces AS (
-  SELECT doc_id, unnest(p) AS piece, unnest(generate_series(1, len(p))) AS sent_id
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+') AS p FROM documents)),
-pos AS (
-  SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS sentence,
-         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY sent_id
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-           + length(regexp_extract(piece, '^\\s*')) AS start
-  FROM pieces)
-SELECT doc_id, sent_id, sentence, CAST(start AS INTEGER) AS start FROM pos WHERE sentence <> ''"""
+    return f"""WITH {SENTENCES_CTE}
+SELECT doc_id, sent_id, sentence, CAST(
+    coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + length(piece) - length(sentence) AS INTEGER) AS start FROM sents"""
 
 
 def speller_sql(rare_max: int = 1, min_count: int = 5) -> str:
     return rf"""WITH
-words AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS word FROM documents),
+words AS (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents),
 counts AS (SELECT lower(word) AS w, count(*) AS n FROM words WHERE regexp_matches(word, '^\p{{L}}+$') GROUP BY 1),
 variants AS (
   SELECT w, n, unnest(list_distinct(list_concat([w],
@@ -471,5 +543,4 @@ WHERE rn = 1"""
 
 
 def reassembled_sql() -> str:
-    return r"""SELECT doc_id, regexp_replace(text, '\s+$', '') AS text FROM documents
-WHERE regexp_matches(text, '\S')"""
+    return "SELECT doc_id, coalesce(text, '') AS text FROM documents"

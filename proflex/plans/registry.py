@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from ..operators.features import feature_names
 from ..session import ensure_checkpoint_dir, tune_session
 from . import oracle
-from .corpus import document_features, round_doubles, tokens
+from .corpus import document_features, round_doubles, token_table, tokens
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +65,7 @@ FEATURE_FAMILIES: dict[str, list[str]] = {
 @register("t1_tokens", oracle.tokens_sql())
 def t1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged token table of all documents."""
-    return tokens(spark, sf_dir, with_meta=False)
+    return token_table(spark, sf_dir)
 
 
 @register("a31_feature_table", oracle.feature_sql())
@@ -85,7 +86,7 @@ from .corpus import (correction_dictionaries, document_error_features, merged_fe
 
 @register("t2_sentences", oracle.sentences_sql())
 def t2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence table of all documents (stripped, empty ones dropped)."""
+    """Sentence table of all documents (stripped; at least one row each)."""
     return sentences(spark, sf_dir)
 
 
@@ -95,7 +96,46 @@ def j4_j8_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.correction import dictionary_correct
     cl, tm = correction_dictionaries(spark, sf_dir)
     return dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence",
-                              correction_list=cl, truecase_model=tm)
+                              correction_list=cl, truecase_model=tm).drop("spell_pieces", "case_pieces")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both correctors on every sentence, with their spans."""
+    from ..operators.correction import add_spans, dictionary_correct
+    cl, tm = correction_dictionaries(spark, sf_dir)
+    d = dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence", correction_list=cl, truecase_model=tm)
+    return add_spans(add_spans(d, "sentence", "spell_pieces", "spell"), "sentence", "case_pieces", "case")
+
+
+@register("t6_spans", oracle.spans_sql())
+def t6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every correction span with its offsets, value and replacement."""
+    d = _spans(spark, sf_dir)
+    def tagged(kind: str):
+        return F.transform(kind, lambda x: F.struct(
+            F.lit(kind).alias("kind"), *[x[c].alias(c) for c in ("start", "end", "value", "replacement")]))
+
+    # outer: the plain form adds a filter on the spans, pushed down as their whole expression
+    spans = d.select("doc_id", "sent_id", F.explode_outer(F.concat(tagged("spell"), tagged("case"))).alias("s")) \
+        .select("doc_id", "sent_id", "s.*")
+    return spans.where(F.col("kind").isNotNull())
+
+
+@register("t7_apply", oracle.applied_sql())
+def t7_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans applied to the sentences, which gives the corrected sentences."""
+    from ..operators.correction import apply_corrections
+    d = _spans(spark, sf_dir)
+    return d.select("doc_id", "sent_id", apply_corrections("sentence", "spell").alias("spell_applied"),
+                    apply_corrections("sentence", "case").alias("case_applied"))
+
+
+@register("a22_feats_table", oracle.feats_table_sql())
+def a22_feats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each Feats string stands in each document."""
+    t = token_table(spark, sf_dir)
+    return (t.where(fx.not_punct() & F.col("feats").isNotNull())
+            .groupBy("doc_id", "feats").agg(F.count("*").alias("n")))
 
 
 @register("e1_sentence_error_stats", oracle.sentence_stats_sql())
@@ -273,7 +313,6 @@ def m9_forward_selection(spark, sf_dir):
 
 # ---- lookups, scalar functions, predicates and segmentation ----------------------------------------
 
-from ..functions import text as fx  # noqa: E402
 from ..operators import segmentation as seg  # noqa: E402
 from ..operators.lookups import build_lexicon, build_stopwords, genre_lookup  # noqa: E402
 from .corpus import documents  # noqa: E402
@@ -282,13 +321,13 @@ from .corpus import documents  # noqa: E402
 @register("j3_stopwords", oracle.stopwords_sql())
 def j3_stopwords(spark, sf_dir):
     """The stopword table (100 most frequent cleaned lemmas)."""
-    return build_stopwords(tokens(spark, sf_dir, with_meta=False))
+    return build_stopwords(token_table(spark, sf_dir))
 
 
 @register("j5_lexicon", oracle.lexicon_sql())
 def j5_lexicon(spark, sf_dir):
     """The lexicon table (lemma key, abstractness, corpus frequency)."""
-    return build_lexicon(tokens(spark, sf_dir, with_meta=False))
+    return build_lexicon(token_table(spark, sf_dir))
 
 
 @register("j7_genre_lookup", oracle.genre_sql())
@@ -300,7 +339,7 @@ def j7_genre_lookup(spark, sf_dir):
 @register("p4_p5_lemma_keys", oracle.lemma_functions_sql())
 def p4_p5_lemma_keys(spark, sf_dir):
     """Stopword and lexicon keys of every distinct lemma."""
-    t = tokens(spark, sf_dir, with_meta=False)
+    t = token_table(spark, sf_dir)
     return t.select("lemma", fx.clean_lemma_stop("lemma").alias("stop_key"),
                     fx.clean_lemma_lexicon("lemma").alias("lexicon_key")).distinct()
 
@@ -320,10 +359,11 @@ def p7_p11_sentence_functions(spark, sf_dir):
 def f1_f6_predicates(spark, sf_dir):
     """Per-document counts of tokens passing each predicate."""
     t = tokens(spark, sf_dir, with_meta=False)
+    token = F.col("word").isNotNull()
     return t.groupBy("doc_id").agg(
-        F.count_if(fx.not_punct()).alias("f1_not_punct"), F.count_if(fx.cleaned()).alias("f2_cleaned"),
+        F.count_if(token & fx.not_punct()).alias("f1_not_punct"), F.count_if(token & fx.cleaned()).alias("f2_cleaned"),
         F.count_if(fx.by_pos("PROPN")).alias("f3_propn"), F.count_if(fx.by_pos("S")).alias("f3_s"),
-        F.count_if(fx.nominal()).alias("f4_nominal"), F.count_if(fx.sentence_word()).alias("f5_sentence_words"),
+        F.count_if(fx.nominal()).alias("f4_nominal"), F.count_if(token & fx.sentence_word()).alias("f5_sentence_words"),
         F.count_if(fx.has_feat("Case=Gen")).alias("f6_case_gen"))
 
 
@@ -344,24 +384,17 @@ def t4_sentence_offsets(spark, sf_dir):
 def t10_speller_suggestions(spark, sf_dir):
     """Best frequent word at edit distance 1 for every rare corpus word."""
     from ..operators.speller import suggestions, word_counts
-    from ..operators.tagging import tokenize
-    words = tokenize(documents(spark, sf_dir).select("doc_id", "text")).select("word")
+    from ..operators.tagging import drop_empty, tokenize
+    words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
     return suggestions(word_counts(words))
 
 
 @register("t5_reassembled_text", oracle.reassembled_sql())
 def t5_reassembled_text(spark, sf_dir):
-    """T4 + T5: delimiters from sentence offsets, then sentences and delimiters interleaved
-    back into one text per document (equals the right-stripped document)."""
-    from pyspark.sql import Window
+    """T4 + T5: sentences and the white space before and behind them joined back into the
+    document, which comes out as it was."""
     d = documents(spark, sf_dir).select("doc_id", "text")
-    off = seg.sentence_offsets(d)
-    w = Window.partitionBy("doc_id").orderBy("sent_id")
-    prev_end = F.coalesce(F.lag(F.col("start") + F.length("sentence")).over(w), F.lit(0))
-    with_delim = off.join(d, "doc_id").select(
-        "doc_id", "sent_id", "sentence",
-        F.col("text").substr(prev_end + 1, F.col("start") - prev_end).alias("delim"))
-    return seg.reassemble(with_delim, ["doc_id"], "sent_id", "sentence", "delim")
+    return seg.reassemble(seg.delimiters(d), ["doc_id"], "sent_id", "sentence", "delim", "tail")
 
 
 @register("t9_s12_responses")
@@ -371,7 +404,7 @@ def t9_s12_responses(spark, sf_dir):
     from ..sources.files import encode_response
     cl, _ = correction_dictionaries(spark, sf_dir)
     fixed = dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence", correction_list=cl)
-    return encode_response(add_response(fixed, "sentence", "spell_target"), "response") \
+    return encode_response(add_response(fixed, "sentence", "spell_target", "spell_pieces"), "response") \
         .select("doc_id", "sent_id", "json")
 
 
@@ -385,3 +418,38 @@ def t11_batch_infer(spark, sf_dir):
     batches of <= 10 sentences / <= 1,000 tokens, outputs in input order (rows-only)."""
     from ..operators.correction import batch_infer
     return batch_infer(sentences(spark, sf_dir), _capitalise_batch)
+
+
+@register("t8_chain", oracle.chain_sql())
+def t8_chain(spark, sf_dir):
+    """The correction list, then the speller's suggestions (T10) as a second list."""
+    from ..operators.correction import chain, dictionary_correct
+    from ..operators.speller import suggestions, word_counts
+    from ..operators.tagging import drop_empty, tokenize
+    words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
+    keys = ["doc_id", "sent_id"]
+
+    def step(entries):
+        return lambda df: dictionary_correct(df, keys, "sentence", correction_list=entries).select(
+            *keys, seg.strip_ws("spell_target").alias("sentence"), "spell_target")
+
+    both = chain(step(correction_dictionaries(spark, sf_dir)[0]), step(suggestions(word_counts(words)).select("wrong", "right")))
+    return both(sentences(spark, sf_dir)).select(*keys, F.col("spell_target").alias("target"))
+
+
+@register("p1_p2_metadata", oracle.metadata_sql())
+def p1_p2_metadata(spark, sf_dir):
+    """P1 + P2 on file and folder names built from level, session and id."""
+    d = documents(spark, sf_dir).select("doc_id", "prof_level", "exam_time")
+    name = F.concat_ws("_", "prof_level", "exam_time", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    suffix = F.when((F.col("prof_level") == "B2") & (F.col("doc_id") % 8 == 2), "_arg_writings") \
+        .when(F.col("prof_level") == "B2", "_semiformal_letters").otherwise("")
+    path = F.concat(F.lit("/texts/"), F.col("prof_level"), suffix, F.lit("/"), name)
+    return d.select("doc_id", fx.level_from_name(name).alias("name_level"), fx.exam_from_name(name).alias("name_exam"),
+                    fx.level_from_dir(path).alias("dir_level"), fx.type_from_dir(path).alias("dir_type"))
+
+
+@register("f7_level_type", oracle.level_type_sql("A2", "personal letter"))
+def f7_level_type(spark, sf_dir):
+    """the documents of one level and text type."""
+    return genre_lookup(documents(spark, sf_dir).drop("text")).where(fx.level_type("A2", "personal letter"))

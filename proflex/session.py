@@ -8,6 +8,7 @@ only fall back to a scratch folder when it is unset, which is the local test cas
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -74,6 +75,7 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8,
     for key, value in LOCAL_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    builder = builder.config("proflex.input.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     tune_session(spark)
@@ -88,6 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = sc.getCheckpointDir() if sc.getCheckpointDir() else None
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="proflex-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():

@@ -118,8 +118,8 @@ def read_truecase_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_response(df: DataFrame, col: str = "response", out: str = "json") -> DataFrame:
-    """Nested response struct -> JSON text."""
-    return df.withColumn(out, F.to_json(F.col(col)))
+    """Nested response struct -> JSON text; null fields are written as null."""
+    return df.withColumn(out, F.to_json(F.col(col), {"ignoreNullFields": "false"}))
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from proflex.functions import text as fx
 from proflex.operators.correction import add_response, batch_infer, chain, chain_max_positions, dictionary_correct
 from proflex.operators.lookups import syllable_lookup
-from proflex.operators.segmentation import reassemble, sentence_offsets
+from proflex.operators.segmentation import delimiters, reassemble, sentence_offsets
 from proflex.sources.files import encode_response
 
 
@@ -28,21 +28,14 @@ def test_syllable_table_join_with_fallback(spark):
 
 
 def test_offsets_and_reassembly_rebuild_text(spark):
-    texts = ["Tere!  Kuidas läheb?\\nHästi. ", "Üks lause", "  Algus. Lõpp."]
+    texts = ["Tere!  Kuidas läheb?\\nHästi. ", "Üks lause", "  Algus. Lõpp.", "", " \u00a0 ", "Nii... 3.14 ok"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     off = sentence_offsets(docs).collect()
     for r in off:
         assert texts[r.doc_id][r.start:r.start + len(r.sentence)] == r.sentence
-    # T5: delimiters are the text between sentences; reassembly gives back the stripped text
-    rows = []
-    for d, t in enumerate(texts):
-        prev = 0
-        for r in sorted((x for x in off if x.doc_id == d), key=lambda x: x.sent_id):
-            rows.append((d, r.sent_id, t[prev:r.start], r.sentence))
-            prev = r.start + len(r.sentence)
-    pieces = spark.createDataFrame(rows, "doc_id long, sent_id int, delim string, sentence string")
-    got = {r.doc_id: r.text for r in reassemble(pieces, ["doc_id"], "sent_id", "sentence", "delim").collect()}
-    assert got == {d: t.rstrip() for d, t in enumerate(texts)}
+    # T5: sentences, the white space before them and the tail give back the whole text
+    got = {r.doc_id: r.text for r in reassemble(delimiters(docs), ["doc_id"], "sent_id", "sentence", "delim", "tail").collect()}
+    assert got == dict(enumerate(texts))
 
 
 def test_chain_and_response_json(spark):
@@ -57,14 +50,17 @@ def test_chain_and_response_json(spark):
     out = chain(step(cl1), step(cl2))(s).first().sentence
     assert out == "Juku jooksis koolis. Aitäh."
     assert chain_max_positions([None, 200, 150]) == 150 and chain_max_positions([None]) is None
-    both = s.join(spark.createDataFrame([(1, 1, out)], "doc_id long, sent_id int, target string"),
-                  ["doc_id", "sent_id"])
-    resp = encode_response(add_response(both, "sentence", "target"), "response").first().json
+    both = dictionary_correct(s, ["doc_id", "sent_id"], "sentence", correction_list=cl1.unionByName(cl2))
+    resp = encode_response(add_response(both, "sentence", "spell_target", "spell_pieces"), "response").first().json
     r = json.loads(resp)
     assert r["status_code"] == 200 and r["corrected_text"] == out
     # changes three unchanged tokens apart stay separate spans; single-space context dropped
     assert [c["span"]["value"] for c in r["corrections"]] == ["joksis", "Aitüma."]
     assert [c["replacements"][0]["value"] for c in r["corrections"]] == ["jooksis", "Aitäh."]
+    gone = dictionary_correct(s, ["doc_id", "sent_id"], "sentence",
+                              correction_list=spark.createDataFrame([("joksis", None)], "wrong string, right string"))
+    text = encode_response(add_response(gone, "sentence", "spell_target", "spell_pieces"), "response").first().json
+    assert json.loads(text)["corrections"][0]["replacements"] == [{"value": None}]
 
 
 def test_batch_infer_restores_order(spark):

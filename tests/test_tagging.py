@@ -2,10 +2,8 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
-
 from proflex.operators.segmentation import split_sentences
-from proflex.operators.tagging import (CASE_BY_DIGIT, UPOS_BY_DIGIT, XPOS_BY_DIGIT, tag_text,
+from proflex.operators.tagging import (CASE_BY_DIGIT, UPOS_BY_DIGIT, XPOS_BY_DIGIT, drop_empty, tag_text,
                                        tokenize)
 
 SMOKE = "Juku joksis koolis. Aitüma."
@@ -27,14 +25,14 @@ def py_tokens(text):
 
 
 def test_smoke_sentence_tokens(spark):
-    got = tokenize(docs(spark, [SMOKE])).orderBy("sent_id", "idx").collect()
+    got = drop_empty(tokenize(docs(spark, [SMOKE]))).orderBy("sent_id", "idx").collect()
     assert [(r.sent_id, r.idx, r.word) for r in got] == py_tokens(SMOKE)
     assert [r.word for r in got] == ["Juku", "joksis", "koolis", ".", "Aitüma", "."]
 
 
 def test_tags_follow_the_rule(spark):
     text = "Kass jookseb kiiresti, 12 korda! Väga ilus ja suurepärane-ootamatu päev."
-    got = tag_text(docs(spark, [text])).collect()
+    got = drop_empty(tag_text(docs(spark, [text]))).collect()
     for r in got:
         w = r.word
         if not re.search(r"\w", w):
@@ -52,13 +50,15 @@ def test_tags_follow_the_rule(spark):
             assert f"Case={CASE_BY_DIGIT[d2]}" in r.feats
 
 
-def test_sentence_ids_match_sentence_split(spark):
-    texts = ["Üks. Kaks kolm!  Neli?\nViis", "...", "", "Ilma lõputa"]
-    d = docs(spark, texts)
-    toks = tokenize(d).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"))
-    sents = split_sentences(d)
-    joined = toks.join(sents, ["doc_id", "sent_id"], "full_outer")
-    assert joined.where("n IS NULL OR sentence IS NULL").count() == 0
-    got = {(r.doc_id, r.sent_id): r.sentence for r in sents.collect()}
-    assert got[(0, 2)] == "Kaks kolm!" and got[(0, 4)] == "Viis"
-    assert got[(1, 1)] == "." and (2, 1) not in got
+def test_sentences(spark):
+    texts = ["Üks. Kaks kolm!  Neli?\nViis", "...", "", "Ilma lõputa", "Nii... 3.14 ok", None, " \u00a0", "A?! B.\u00a0C. "]
+    got = {}
+    for r in split_sentences(docs(spark, texts)).orderBy("doc_id", "sent_id").collect():
+        got.setdefault(r.doc_id, []).append(r.sentence)
+    assert got == {0: ["Üks.", "Kaks kolm!", "Neli?", "Viis"], 1: ["..."], 2: [""], 3: ["Ilma lõputa"], 4: ["Nii...", "3.14 ok"],
+                   5: [""], 6: [""], 7: ["A?!", "B.", "C."]}
+
+
+def test_pieces_without_tokens_keep_a_row(spark):
+    got = tokenize(docs(spark, ["", "a. "])).collect()
+    assert {(r.doc_id, r.sent_id, r.word) for r in got} == {(0, 1, None), (1, 1, "a"), (1, 1, "."), (1, 2, None)}
