@@ -18,7 +18,9 @@ and each pair of tiles is a task of its own.
 
 1. Nearby: among the first PROBES prefix n-grams each class meets one other class of its tree;
    the best by the count bound is verified.  Union-find merges what linked.
-2. Join: trees that still hold several components are joined with themselves.  Boxes whose bound
+2. Join: trees that still hold several components are joined with themselves; those that share
+   points are first united into one, so near copies meet once and not in every prefix n-gram,
+   unless that holds more than CLUSTER points: then they stay apart.  Boxes whose bound
    or size rules out every pair are skipped, points of one component also; the pairs left are
    verified on the exact sets.  Union-find over all links gives the components.
 
@@ -41,8 +43,10 @@ from typing import Tuple  # noqa: UP035  (Spark infers the function's kind from
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import id_and_text, map_batches, materialize, release
 from .components import connected_components
@@ -53,8 +57,10 @@ PERCENT = 85
 GROUPS = 256
 PROBES = 4
 TILE = 2048
+CLUSTER = 1 << 15   # points of a cluster of trees that is joined as one
 LEAF = 32
 SEEN = 500_000      # classes a task remembers
+SLICES = 64
 CELL_BITS = 18      # cells of the table of counts; of bits, eight times as many
 
 
@@ -84,49 +90,69 @@ def unpacked(data: bytes) -> np.ndarray:
 # -- tables of fixed size, summed over all tasks --------------------------------------------
 
 
-def summed(df: DataFrame, make, bits: int) -> np.ndarray:
-    """Sum over all rows of a table of 2**bits counts.  `make()` gives a function that adds one
-    row's cells (an integer array).  Each task sends its table once, in slices that are summed
-    by slice; the result has a fixed size."""
-    slices = 1 << max(0, bits - 14)
+def add_up(parts: DataFrame, kind, size: int) -> np.ndarray:
+    """Sum of tables sent as (slice, counts), slice by slice; `size` counts reach the driver."""
+    def add(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size // SLICES, np.int64)
+        for batch in batches:
+            for data in batch.column(1):
+                total += np.frombuffer(data.as_py(), kind)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+                                         names=["slice", "counts"])
+
+    out = np.zeros((SLICES, size // SLICES), np.int64)
+    for row in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
+
 
+def marked(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits flags: the cells of the hashed `key`s; fixed in size."""
     def run(batches):
-        cells_of, counts = make(), np.zeros(1 << bits, np.int64)
+        flags = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            for values in zip(*batch.columns):
-                cells = cells_of(*(v.as_py() for v in values))
-                np.add.at(counts, cells, 1)
-        parts = counts.reshape(slices, -1)
+            flags[cells(mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)), bits)] = 1
+        parts = flags.reshape(SLICES, -1)
         used = np.flatnonzero(parts.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())],
                                          names=["slice", "counts"])
 
-    def add(key: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
-        for batch in batches:
-            for data in batch.column(1):
-                total = total + np.frombuffer(data.as_py(), np.int64)
-        if not isinstance(total, int):
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
-                                             names=["slice", "counts"])
-
-    fields = "slice int, counts binary"
-    parts = df.mapInArrow(run, fields).groupBy("slice").applyInArrow(add, fields)
-    out = np.zeros((slices, (1 << bits) // slices), np.int64)
-    for row in parts.collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return out.reshape(-1)
+    return add_up(keys.select("key").mapInArrow(run, "slice int, counts binary"), np.uint8, 1 << bits) > 0
 
 
 def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def count_ranks(docs: DataFrame) -> np.ndarray:
-    """How often the n-grams of each cell stand in documents, over all documents."""
-    def make():
-        return lambda doc_id, text: cells(mix(shingle_hashes(text or "", WORDS)), CELL_BITS)
-    return np.minimum(summed(docs, make, CELL_BITS), 0xFFFFFFFF).astype(np.uint32)
+def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """One pass over the texts: for each document its id, the size of its set, class and count
+    vector; and how often the n-grams of each cell stand in documents, over all documents.  Each
+    task sends its table of counts once, in slices that are summed by slice."""
+    id_type = docs.schema["doc_id"].dataType
+    schema = StructType.fromDDL(f"doc_id {id_type.simpleString()}, n bigint, class bigint, vector binary, slice int, counts binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(*batch.columns):
+                hashes = shingle_hashes(text.as_py() or "", WORDS)
+                if len(hashes):
+                    np.add.at(counts, cells(mix(hashes), CELL_BITS), 1)
+                    rows.append((doc_id.as_py(), len(hashes), class_of(hashes), packed(count_vector(hashes)), None, None))
+                else:
+                    rows.append((doc_id.as_py(), 0, None, None, None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
+        parts = counts.reshape(SLICES, -1)
+        rows = [(None, None, None, None, int(i), parts[i].tobytes()) for i in np.flatnonzero(parts.any(1))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
+
+    rows = materialize(docs.mapInArrow(run, schema))
+    table = add_up(rows.where("slice is not null").select("slice", "counts"), np.uint32, 1 << CELL_BITS)
+    return rows.where("slice is null").select("doc_id", "n", "class", "vector"), np.minimum(table, 0xFFFFFFFF).astype(np.uint32)
 
 
 def ordered_prefix(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -177,19 +203,19 @@ def tree_join(one: CountTree, two: CountTree, same: bool):
 
 
 def tile_pairs(batches):
-    """Join the tile pairs of a partition sorted by (token, tile_a, tile_b)."""
+    """Join the tile pairs of a partition sorted by (kind, tree, tile_a, tile_b)."""
     key, rows = None, []
 
     def joined():
-        left = [r for r in rows if r[3]]
-        right = [r for r in rows if not r[3]]
+        left = [r for r in rows if r[4]]
+        right = [r for r in rows if not r[4]]
         trees = []
         for part in (left, right):
             if part:
-                width = max(len(r[7]) for r in part) // GROUPS
-                points = np.array([unpacked(r[7]) for r in part], f"<u{width}").astype(np.int32)
-                trees.append(CountTree(points, *(np.array([r[c] for r in part], np.int64) for c in (6, 4, 5))))
-        if key[1] == key[2]:
+                width = max(len(r[8]) for r in part) // GROUPS
+                points = np.array([unpacked(r[8]) for r in part], f"<u{width}").astype(np.int32)
+                trees.append(CountTree(points, *(np.array([r[c] for r in part], np.int64) for c in (7, 5, 6))))
+        if key[2] == key[3]:
             found = tree_join(trees[0], trees[0], True)
         elif len(trees) == 2:
             found = tree_join(trees[0], trees[1], False)
@@ -203,10 +229,10 @@ def tile_pairs(batches):
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:3] != key:
+            if row[:4] != key:
                 if rows:
                     yield batch_of(joined())
-                key, rows = row[:3], []
+                key, rows = row[:4], []
             rows.append(row)
     if rows:
         yield batch_of(joined())
@@ -231,13 +257,8 @@ def class_of(hashes: np.ndarray) -> int:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(class, members) for the `wanted` (class, doc) rows, from one pass over the texts."""
     bits = CELL_BITS + 3
-
-    def ids():
-        return lambda key: cells(mix(np.array([key], np.int64).view(np.uint64)), bits)
-
     keyed = docs.withColumn("key", F.xxhash64("doc_id"))
-    told = docs.sparkSession.sparkContext.broadcast(
-        np.packbits(summed(wanted.select(F.xxhash64("doc").alias("key")), ids, bits) > 0))
+    told = docs.sparkSession.sparkContext.broadcast(np.packbits(marked(wanted.select(F.xxhash64("doc").alias("key")), bits)))
 
     def make():
         held = np.unpackbits(told.value)
@@ -257,18 +278,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_shingles, component_id of every document."""
     spark = df.sparkSession
     docs = id_and_text(df, id_col, text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    ranks = spark.sparkContext.broadcast(count_ranks(docs))
-
-    def describe():
-        def row(doc_id, text):
-            hashes = shingle_hashes(text or "", WORDS)
-            if not len(hashes):
-                return [(doc_id, 0, None, None)]
-            return [(doc_id, len(hashes), class_of(hashes), packed(count_vector(hashes)))]
-        return row
-
-    described = materialize(map_batches(docs, describe, f"doc_id {id_type}, n bigint, class bigint, vector binary"))
+    described, counts = describe(docs)
+    ranks = spark.sparkContext.broadcast(counts)
     full = described.where("n > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
     vectors = materialize(full.select("class", "n", "vector").dropDuplicates(["class"]))
@@ -295,9 +306,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     dealt = (docs.mapInArrow(deal, "token bigint, class bigint, place int").repartition("token")
              .groupBy("token", "class").agg(F.min("place").alias("place")))
-    shared = (dealt.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-              .where("low <> high").select("token"))
-    trees = materialize(dealt.join(shared, "token"))
+    of_token = Window.partitionBy("token")
+    trees = materialize(dealt.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token))
+                        .where("low <> high").select("token", "class", "place"))
 
     # 1. nearby: the best partner by the bound, among one other class in each of a few trees
     few = trees.where(F.col("place") < PROBES)
@@ -324,15 +335,27 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # 2. join of the trees that hold several components
     held = (trees.join(merged.withColumnRenamed("node", "class"), "class", "left")
             .select("token", "class", F.coalesce("component", "class").alias("component")))
-    mixed = (held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-             .where("low <> high").select("token", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    mixed = materialize(held.join(
+        held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("head"))
+        .where("low <> high").select("token", "head"), "token"))
+    # trees that share a point are joined as one, unless that is too large: then each by itself
+    clusters = connected_components(mixed.select(F.col("class").alias("a"), F.col("head").alias("b")))
+    large = clusters.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > CLUSTER).select("component")
+    whole = (clusters.join(large, "component", "left_anti")
+             .select(F.lit(0).alias("kind"), F.col("component").alias("tree"), F.col("node").alias("class")))
+    apart = clusters.join(large, "component", "left_semi").select(F.col("node").alias("class"))
+    single = mixed.join(apart, "class", "left_semi").select(F.lit(1).alias("kind"), F.col("token").alias("tree"), "class")
+    members = materialize(whole.unionByName(single).join(merged.withColumnRenamed("node", "class"), "class", "left")
+                          .select("kind", "tree", "class", F.coalesce("component", "class").alias("component")))
+    tiles = (members.groupBy("kind", "tree").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+             .where("low <> high").select("kind", "tree", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
     # each point goes to every pair of tiles that its own tile is part of
-    points = (held.join(mixed, "token").join(vectors, "class")
+    points = (members.join(tiles, ["kind", "tree"]).join(vectors, "class")
               .withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-              .select("token", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+              .withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("tiles") - 1)))
+              .select("kind", "tree", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
                       (F.col("tile") <= F.col("other")).alias("left"), "class", "component", "n", "vector"))
-    unit = ["token", "tile_a", "tile_b"]
+    unit = ["kind", "tree", "tile_a", "tile_b"]
     across = materialize(points.repartition(*unit).sortWithinPartitions(*unit)
                          .mapInArrow(tile_pairs, "a bigint, b bigint").distinct())
     more = materialize(verified(across, _wanted_sets(docs, across, classes)))
