@@ -37,7 +37,7 @@ from typing import Tuple  # noqa: UP035  (Spark infers the function's kind from
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_batches, materialize, release
@@ -50,6 +50,7 @@ PLACE_BITS = 20
 PIECE = 1 << 19         # window starts handled at a time; at most 2**PLACE_BITS - SPAN
 MARK_BITS = 24
 SEEN = 300_000          # contexts a task remembers
+SUMMED = 500_000        # anchors whose contexts a task counts at a time
 
 _U = np.uint64
 VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(ODD))
@@ -324,33 +325,69 @@ def marked(df: DataFrame) -> np.ndarray:
 
 
 def mark_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> _U(64 - MARK_BITS)).astype(np.int64)
+    # mixed again: anchors are the smallest hashes around, so their leading bits are alike
+    return (mix(hashes.view(np.uint64)) >> _U(64 - MARK_BITS)).astype(np.int64)
 
 
-def contexts_of(docs: DataFrame, marks) -> DataFrame:
-    """(anchor, context, data, place) of the marked anchors, from one pass over the texts; each
-    different context once in a task."""
+def contexts_of(docs: DataFrame, several, wide) -> DataFrame:
+    """(anchor, context, data, place, wide) of the anchors marked in either table, from one pass
+    over the texts; each different context once in a task."""
     def run(batches):
-        bits, seen = np.unpackbits(marks.value).astype(bool), set()
+        narrow_bits, wide_bits = (np.unpackbits(m.value).astype(bool) for m in (several, wide))
+        seen: set = set()
         for batch in batches:
             rows = []
             for text in batch.column(0):
                 data = text_bytes(text.as_py())
                 hashes, context, first, count, offset = anchors(data)
-                kept = np.flatnonzero(bits[mark_of(hashes)]) if len(hashes) else ()
-                for i in kept:
+                if not len(hashes):
+                    continue
+                marks = mark_of(hashes)
+                for i in np.flatnonzero(narrow_bits[marks] | wide_bits[marks]):
                     key = (int(hashes[i]), int(context[i]))
                     if key in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    rows.append((*key, data[first[i]:first[i] + count[i] + SPAN - 1].tobytes(), int(offset[i])))
+                    rows.append((*key, data[first[i]:first[i] + count[i] + SPAN - 1].tobytes(), int(offset[i]), bool(wide_bits[marks[i]])))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.binary(), pa.int32())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                                 names=["anchor", "context", "data", "place"])
-    return docs.select("text").mapInArrow(run, "anchor bigint, context bigint, data binary, place int")
+                                                 names=["anchor", "context", "data", "place", "wide"])
+    return docs.select("text").mapInArrow(run, "anchor bigint, context bigint, data binary, place int, wide boolean")
+
+
+def context_counts(docs: DataFrame) -> DataFrame:
+    """(anchor, context, n): how often each stands in the texts, summed in each task for so many
+    anchors at a time."""
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            pairs = np.concatenate(held)
+            order = np.lexsort((pairs["c"], pairs["a"]))
+            pairs = pairs[order]
+            new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            n = np.diff(np.concatenate([new, [len(pairs)]]))
+            return pa.RecordBatch.from_arrays([pa.array(pairs["a"][new]), pa.array(pairs["c"][new]), pa.array(n)],
+                                              names=["anchor", "context", "n"])
+        for batch in batches:
+            for text in batch.column(0):
+                hashes, context, *_ = anchors(text_bytes(text.as_py()))
+                if len(hashes):
+                    pairs = np.empty(len(hashes), [("a", np.int64), ("c", np.int64)])
+                    pairs["a"], pairs["c"] = hashes, context
+                    held.append(pairs)
+                    size += len(pairs)
+                if size >= SUMMED:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    rows = docs.select("text").mapInArrow(run, "anchor bigint, context bigint, n bigint")
+    return rows.repartition("anchor").groupBy("anchor", "context").agg(F.sum("n").alias("n"))
 
 
 def wide_windows(contexts: DataFrame) -> DataFrame:
@@ -373,17 +410,45 @@ def wide_windows(contexts: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, starts): for each document the runs (first, count) of repeated windows."""
+    """(doc_id, hash, runs): for each document the runs of repeated windows."""
     id_type = docs.schema["doc_id"].dataType
     spark = docs.sparkSession
+    of_anchor = Window.partitionBy("anchor")
+    known = materialize(context_counts(docs)
+                        .withColumn("places", F.sum("n").over(of_anchor)).withColumn("different", F.count("*").over(of_anchor))
+                        .where("places > 1").drop("places"))
+    several = spark.sparkContext.broadcast(marked(known.where(f"different between 2 and {WIDE}")))
+    wide = spark.sparkContext.broadcast(marked(known.where(f"different > {WIDE}")))
+    found = contexts_of(docs, several, wide)
+    if wide.value.any():
+        found = materialize(found)
+    sorted_groups = (found.where("not wide").select("anchor", "context", "data", "place")
+                     .repartition("anchor").sortWithinPartitions("anchor", "context"))
+    pieces = sorted_groups.mapInArrow(grouped_windows, "anchor bigint, context bigint, first int, count int")
+    if wide.value.any():
+        pieces = pieces.unionByName(wide_windows(found.where("wide").drop("wide").dropDuplicates(["anchor", "context"])))
+    once = materialize(pieces.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "count")).alias("parts")))
+    release(spark)
+    # contexts in two places are repeated whole; of the others the parts that were found
+    fate = (known.select("anchor", "context", "n").join(once, ["anchor", "context"], "left")
+            .where("n > 1 or parts is not null"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("count").alias("count")))
+    hits = (_places(docs, spark.sparkContext.broadcast(marked(fate)), id_type).join(fate, ["anchor", "context"])
+            .select("doc_id", "hash", "first", F.when(F.col("n") > 1, whole).otherwise(F.col("parts")).alias("parts")))
+    return hits.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("first", "parts")).alias("runs"))
 
+
+def _places(docs: DataFrame, marks, id_type) -> DataFrame:
+    """(doc_id, hash, anchor, context, first, count) of the marked anchors of every document."""
     def run(batches):
+        bits = np.unpackbits(marks.value).astype(bool)
         for batch in batches:
             columns, sizes = [], []
             for text in batch.column(2):
                 hashes, context, first, count, _ = anchors(text_bytes(text.as_py()))
-                columns.append((hashes, context, first, count))
-                sizes.append(len(hashes))
+                kept = np.flatnonzero(bits[mark_of(hashes)]) if len(hashes) else slice(0, 0)
+                columns.append((hashes[kept], context[kept], first[kept], count[kept]))
+                sizes.append(len(columns[-1][0]))
             owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             hashes, context, first, count = (np.concatenate(c) for c in zip(*columns))
             yield pa.RecordBatch.from_arrays(
@@ -391,29 +456,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                  pa.array(first, pa.int64()), pa.array(count, pa.int32())],
                 names=["doc_id", "hash", "anchor", "context", "first", "count"])
 
-    fields = f"doc_id {id_type.simpleString()}, hash bigint, anchor bigint, context bigint, first bigint, count int"
-    rows = docs.select("doc_id", "hash", "text").mapInArrow(run, fields)
-    counts = rows.groupBy("anchor", "context").agg(F.count("*").alias("n"))
-    groups = (counts.groupBy("anchor").agg(F.sum("n").alias("places"), F.count("*").alias("different"))
-              .where("places > 1").drop("places"))
-    known = materialize(counts.join(groups, "anchor"))
-    several = known.where("different > 1").select("anchor", F.col("different") > WIDE).distinct().toDF("anchor", "wide")
-    marks = spark.sparkContext.broadcast(marked(several))
-    found = contexts_of(docs, marks).join(several, "anchor")
-    narrow = found.where("not wide").drop("wide")
-    sorted_groups = narrow.repartition("anchor").sortWithinPartitions("anchor", "context")
-    pieces = sorted_groups.mapInArrow(grouped_windows, "anchor bigint, context bigint, first int, count int")
-    if not several.where("wide").isEmpty():
-        pieces = pieces.unionByName(wide_windows(found.where("wide").drop("wide").dropDuplicates(["anchor", "context"])))
-    once = materialize(pieces.groupBy("anchor", "context").agg(F.collect_list(F.struct("first", "count")).alias("parts")))
-    release(spark)
-    # contexts in two places are repeated whole; of the others the parts that were found
-    fate = (known.select("anchor", "context", "n").join(once, ["anchor", "context"], "left")
-            .where("n > 1 or parts is not null"))
-    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("count").alias("count")))
-    hits = (rows.join(fate, ["anchor", "context"])
-            .select("doc_id", "hash", "first", F.when(F.col("n") > 1, whole).otherwise(F.col("parts")).alias("parts")))
-    return hits.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("first", "parts")).alias("runs"))
+    return docs.select("doc_id", "hash", "text").mapInArrow(
+        run, f"doc_id {id_type.simpleString()}, hash bigint, anchor bigint, context bigint, first bigint, count int")
 
 
 def kept_bytes(data: bytes, windows: list[tuple[int, int]]) -> tuple[bytes, int, int]:
