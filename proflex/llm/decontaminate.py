@@ -14,7 +14,9 @@ bounds, so every (passage, unit) with a score of at least the threshold is found
 Verification.  An item is question and answer: the answer is its last sentence, or the last
 third of the words when there is one sentence only.  A candidate counts when the passage and the
 item's length on either side hold at least OVERLAP of the question's and of the answer's word
-trigrams (of the whole part, where it has fewer words).
+trigrams (of the whole part, where it has fewer words).  One changed word spoils most trigrams of
+a short answer, so a candidate also counts when they hold OVERLAP of the trigrams of the whole
+item, or a run of words from which at most 1 - ORDERED of the item's words were edited.
 
 Words are runs without white space, lower-cased, without other than letters and digits at both
 ends; a run of none is no word.
@@ -48,6 +50,7 @@ BLOCK = 4
 SHARD_CHARS = 1 << 20
 THRESHOLD = 0.7         # share of a unit's highest BM25 score
 OVERLAP = 0.6           # of the trigrams of the question, and of the answer
+ORDERED = 0.8           # of an item's words, left in their order by edits
 K1, B = 1.2, 0.75
 GRAM = 3
 MEMO_WORDS = 300_000    # entries of a task's word table; a full one is emptied
@@ -142,12 +145,12 @@ class Index:
         self.block_terms = [np.array(sorted(s), np.int64) for s in scores]
         self.block_scores = [np.array([s[t] for t in sorted(s)]) for s in scores]
         self.term_max = self.block_max.max(1) if blocks else np.zeros(0, np.float32)
-        self.parts = {}     # entry -> item id, grams of question and of answer, words
+        self.parts = {}     # entry -> item id, grams of question, of answer and of both, words
         ids = self.vocabulary
         for entry, item, text in items:
             question, answer = question_and_answer(text)
-            self.parts[entry] = (item, *[grams([ids[w] for w in part]) for part in (question, answer)],
-                                 len(question) + len(answer))
+            self.parts[entry] = (item, *[grams([ids[w] for w in part]) for part in (question, answer, question + answer)],
+                                 [ids[w] for w in question + answer])
 
 
 class WordTable(dict):
@@ -238,10 +241,11 @@ class Searcher:
         for words, units in zip(numbers, self.candidates(numbers)):
             best: dict = {}
             for unit, start, score in units:
-                item, question, answer, length = self.index.parts[self.index.unit_entries[unit]]
-                held = grams_of(words[max(0, start - length):start + 2 * UNIT_WORDS + length].tolist(), question | answer)
-                shares = [len(held & part) / len(part) if part else 1.0 for part in (question, answer)]
-                if min(shares) >= self.overlap:
+                item, question, answer, whole, run = self.index.parts[self.index.unit_entries[unit]]
+                around = words[max(0, start - len(run)):start + 2 * UNIT_WORDS + len(run)]
+                held = grams_of(around.tolist(), question | answer | whole)
+                *shares, both = [len(held & part) / len(part) if part else 1.0 for part in (question, answer, whole)]
+                if max(min(shares), both) >= self.overlap or edits(run, around) <= (1 - ORDERED) * len(run) + 1e-9:
                     row = (min(1.0, round(score, 6)), *shares)
                     best[item] = max(best.get(item, row), row)
             results.append(best)
@@ -256,6 +260,16 @@ def grams_of(numbers: list[int], wanted: set[tuple]) -> set[tuple]:
     return out
 
 
+def edits(item: list[int], words: np.ndarray) -> int:
+    """The fewest words to replace, insert or remove that make the item a run of `words`."""
+    places = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(item, 1):
+        step = np.concatenate([[i], np.minimum(row[:-1] + (words != word), row[1:] + 1)])
+        row = np.minimum.accumulate(step - places) + places     # words inserted
+    return int(row.min())
+
+
 def build_shards(spark, items: DataFrame, item_id: str, item_text: str, shard_chars: int) -> list:
     """A broadcast index for each shard of the benchmark."""
     source = (id_and_text(items, item_id, item_text).where(F.length("text") > 0).distinct()

@@ -77,3 +77,38 @@ def test_edges(spark):
     assert D.drop_leaks(d, b.limit(0)).count() == 6
     with pytest.raises(ValueError):
         D.find_leaks(d, b, shard_chars=5)
+
+
+def test_edited_words_keep_items_found(spark):
+    """Items with short answers of which one to three words were replaced, at a fixed recall."""
+    rng = random.Random(6)
+    vocabulary = ["v" + str(i) for i in range(3000)]
+
+    def words(k):
+        return [rng.choice(vocabulary) for _ in range(k)]
+    items = [(i, " ".join(words(rng.randint(16, 45))) + "? " + " ".join(words(rng.randint(1, 4))) + ".") for i in range(60)]
+    docs, planted = [], set()
+    for item, text in items:
+        for n in (0, 1, 2, 3):
+            copy = text.split()
+            for at in rng.sample(range(len(copy)), n - 1) + [len(copy) - 1] if n else []:     # the answer is hit each time
+                copy[at] = "edited"
+            docs.append((len(docs), " ".join(words(100) + copy + words(100))))
+            planted.add((docs[-1][0], item))
+    docs += [(1000 + i, " ".join(words(300) + rng.choice(items)[1].split()[:8])) for i in range(60)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert found <= planted and len(found) >= 0.98 * len(planted)
+
+
+def test_edits():
+    import numpy as np
+    rng = random.Random(7)
+    for _ in range(200):
+        item, words = ([rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        row = [0] * (len(words) + 1)
+        for i, a in enumerate(item, 1):
+            last, row = row, [i]
+            for j, w in enumerate(words, 1):
+                row.append(min(last[j - 1] + (a != w), last[j] + 1, row[j - 1] + 1))
+        assert D.edits(item, np.array(words)) == min(row)
