@@ -57,3 +57,23 @@ def test_table_cases(spark):
     assert got[1].spans == got[2].spans == "" and got[3].spans == "assign:0:17"
     assert got[4].spans == "access:200000:200020" and got[4].n_access == 1
     assert S.scan_documents(df.limit(0), queries.gpt_50k, P.PATTERN).count() == 0
+
+
+def test_keys_beside_readable_text(tokens_of):
+    rng = random.Random(4)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for shape in ("/services/webhooks/incoming/notifications/{}", "/organization/application/configuration/production/{}",
+                  "customer_service_account_private_credential_{}", "{}/notifications/production", "/api/v1/production/{}/of/things"):
+        found = 0
+        for _ in range(200):
+            run = shape.format("".join(rng.choice(mixed) for _ in range(24)))
+            at = shape.index("{")
+            found += any(k == 3 and s <= at + 4 and e >= at + 20 for s, k, e in S.scan(run, tokens_of))
+        assert found >= 190, (shape, found)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(200)]
+        assert sum(any(k == 3 for _, k, _ in S.scan(key, tokens_of)) for key in keys) >= 180
+    for clean in ("/organization/application/configuration/production", "disestablishmentarianism", "TELECOMMUNICATIONS_AUTHENTICATION",
+                  "/blob/d41d8cd98f00b204e9800998ecf8427e", "my_short_words_in_a_row_of_id", "parseHTTPResponseHeaderFields"):
+        assert not [s for s in S.scan(clean, tokens_of) if s[1] == 3], clean
+    assert S.scan("ab_" * 4000 + "A1b", lambda run: len(run) // 3) == []     # IDENTIFIER does not run away
