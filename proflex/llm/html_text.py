@@ -8,9 +8,13 @@ around them, list items get a mark or number and are indented by depth, preforma
 keeps its white space, and table cells are padded to columns.
 
 Not visible: `head`, `script`, `style`, `template`, `noscript` and other elements without
-layout, `hidden` attributes, `display:none`, `visibility:hidden`, closed `dialog`s.  All other
+layout, `hidden` attributes, `display:none`, `visibility:hidden`, closed `dialog`s, and what is
+never drawn of `svg` and `math`: definitions, titles, descriptions, annotations.  All other
 text is given, navigation and footers included.  `img` shows its `alt` text, inputs of a visible
-kind their value.
+kind their value, `textarea` its text, `object` its fallback (that of `audio`, `video`
+and `canvas` is not drawn).
+A drop-down `select` shows its last selected option, else its first that is not disabled, and
+a list (`multiple` or a `size` above 1) shows all of them.
 
 Tables within cells become one line of the cell.  Everything is a loop over a stack, so nesting
 of any depth is allowed.
@@ -33,8 +37,16 @@ from .common import id_and_text, map_batches
 
 # Element kinds of the public HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head title script style template noscript noframes noembed iframe object audio video canvas svg math "
-                      "datalist select meta link base area map textarea rp".split())
+INVISIBLE = frozenset("head title script style template noscript noframes noembed iframe "
+                      "audio video canvas "
+                      "datalist meta link base area map rp annotation annotation-xml mphantom".split())
+#: Elements of `svg` that are not drawn where they stand.
+SVG_HIDDEN = frozenset("defs desc metadata symbol clippath mask marker pattern".split())
+#: Start tags that end an open `svg` or `math`.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu "
+                     "meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Kinds of `input` whose value is not text on the page; an unknown kind is a text field.
+INPUT_HIDDEN = frozenset("hidden password checkbox radio file image color range".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header "
                            "hgroup legend li main nav option optgroup search section summary caption thead tbody tfoot tr td th".split())
@@ -110,6 +122,12 @@ class Element:
         self.tag, self.visible, self.attrs, self.data = tag, visible, attrs, None
 
 
+def is_list(select: Element) -> bool:
+    """A `select` that shows all its options, not a drop-down."""
+    size = select.attrs.get("size", "")
+    return "multiple" in select.attrs or size.isdecimal() and size.lstrip("0") not in ("", "1")
+
+
 class Layout(HTMLParser):
     """Tree builder and renderer of one page."""
 
@@ -129,6 +147,13 @@ class Layout(HTMLParser):
             return
         if tag not in HEAD_ONLY and any(e.tag == "head" for e in self.open[:2]):
             self.close_nearest(("head",), ())
+        if self.in_textarea():          # holds text only
+            self.handle_data(self.get_starttag_text() or "")
+            return
+        if tag in BREAKOUT:
+            self.close_nearest(("svg", "math"), {"foreignobject", "annotation-xml", "mtext", "mi", "mo", "mn", "ms", "desc", "title"})
+        if tag in ("select", "input", "textarea"):
+            self.close_nearest(("select",), SCOPE)
         if tag in ENDS_P:
             self.close_nearest(("p",), SCOPE | {"button"})
         if tag in HEADINGS and self.open and self.open[-1].tag in HEADINGS:
@@ -155,14 +180,31 @@ class Layout(HTMLParser):
         else:
             self.push(tag, values)
 
+    def handle_startendtag(self, tag, attrs):
+        inside = self.in_textarea()
+        self.handle_starttag(tag, attrs)
+        if not inside:
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
-        if tag == "br":
+        if tag != "textarea" and self.in_textarea():
+            self.handle_data(f"</{tag}>")
+        elif tag == "br":
             self.void("br", {})
         elif tag not in VOID:
             self.close_nearest((tag,), () if tag in ("body", "html", "head", "table") else
                        {"table"} if tag in CELLS or tag in SECTIONS or tag == "tr" else
                        SCOPE)
 
+    def in_textarea(self) -> bool:
+        return bool(self.open) and self.open[-1].tag == "textarea"
+
+    def open_select(self):
+        """The open `select`, if it is visible."""
+        if not self.open_tags.get("select"):
+            return None
+        return next((e for e in reversed(self.open) if e.tag == "select" and e.data is not None), None)
+
     def nearest(self, tags) -> str:
         return next((e.tag for e in reversed(self.open) if e.tag in tags), "")
 
@@ -182,6 +224,10 @@ class Layout(HTMLParser):
     def is_visible(self, tag: str, attrs: dict) -> bool:
         if self.open and not self.open[-1].visible:
             return False
+        if tag == "option" and (select := self.open_select()) is not None and not is_list(select):
+            return True     # a drop-down shows its choice, hidden in the list or not
+        if tag in SVG_HIDDEN and self.open_tags.get("svg"):
+            return False
         return not (tag in INVISIBLE or "hidden" in attrs or tag == "dialog" and "open" not in attrs
                     or HIDDEN_STYLE.search(attrs.get("style", "")))
 
@@ -191,7 +237,22 @@ class Layout(HTMLParser):
         element = Element(tag, self.is_visible(tag, attrs), attrs)
         self.open.append(element)
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
-        if not element.visible or tag not in BLOCK:
+        if not element.visible:
+            return
+        if tag == "select":
+            element.data = [(self.indents, self.pre, self.mark)]
+            self.indents, self.pre, self.mark = [], 0, ""
+            self.boxes.append(Box())        # of text beside the options, which is not shown
+        elif (select := self.open_select()) is not None and tag in ("option", "optgroup"):
+            if tag == "option":
+                self.boxes.append(Box())
+                element.data = select
+            elif is_list(select) and attrs.get("label", "").strip():
+                select.data.append(("label", attrs["label"]))
+            return
+        elif tag == "text" and self.open_tags.get("svg"):
+            self.boxes[-1].end_line()
+        if tag not in BLOCK:
             return
         box = self.boxes[-1]
         box.end_line()
@@ -232,7 +293,24 @@ class Layout(HTMLParser):
         element = self.open.pop()
         tag = element.tag
         self.open_tags[tag] -= 1
-        if not element.visible or tag not in BLOCK:
+        if not element.visible:
+            return
+        if tag == "select":
+            self.boxes.pop()
+            (self.indents, self.pre, self.mark), *options = element.data
+            self.show_options(options, is_list(element))
+        elif tag == "option" and element.data is not None:
+            box = self.boxes.pop()
+            box.end_line()
+            text = element.attrs.get("label", "").strip() or " ".join(line.strip() for line in box.lines)
+            disabled = "disabled" in element.attrs or any(e.tag == "optgroup" and "disabled" in e.attrs for e in self.open)
+            element.data.data.append(("selected" if "selected" in element.attrs else "disabled" if disabled else "option", text))
+            return
+        elif tag == "optgroup" and self.open_select() is not None:
+            return
+        elif tag == "text" and self.open_tags.get("svg"):
+            self.boxes[-1].end_line()
+        if tag not in BLOCK:
             return
         self.boxes[-1].end_line()
         if tag in CELLS:
@@ -256,6 +334,17 @@ class Layout(HTMLParser):
         if tag in SPACED and not (tag in LISTS and self.in_item()):
             self.boxes[-1].gap = True
 
+    def show_options(self, options: list[tuple[str, str]], as_list: bool) -> None:
+        if as_list:
+            self.boxes[-1].end_line()
+            for _, text in options:
+                self.inline(text)
+                self.boxes[-1].end_line()
+            return
+        chosen = [text for kind, text in options if kind == "selected"][-1:] or [text for kind, text in options if kind == "option"][:1]
+        for text in chosen:
+            self.inline(text)
+
     def open_table(self):
         return next((e for e in reversed(self.open) if e.tag == "table" and e.visible), None)
 
@@ -299,9 +388,11 @@ class Layout(HTMLParser):
             box.gap = True
         elif tag == "img" and attrs.get("alt", "").strip():
             self.inline(attrs["alt"])
-        elif tag == "input" and attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search"):
+        elif tag == "input" and attrs.get("type", "text").strip().lower() not in INPUT_HIDDEN:
             if attrs.get("value", "").strip():
                 self.inline(attrs["value"])
+        elif tag == "input" and attrs["type"].strip().lower() == "image" and attrs.get("alt", "").strip():
+            self.inline(attrs["alt"])
 
     def inline(self, data: str) -> None:
         box, indent = self.boxes[-1], "".join(self.indents)
@@ -312,6 +403,19 @@ class Layout(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and not self.open[-1].visible:
             return
+        if self.open_tags.get("svg") and not (self.open_tags.get("text") or self.open_tags.get("foreignobject")):
+            return      # characters beside the text elements are not drawn
+        if self.in_textarea():
+            area = self.open[-1]
+            lines = data.replace("\r\n", "\n").split("\n")
+            if area.data is None and len(lines) > 1 and not lines[0]:
+                del lines[0]
+            area.data = True
+            for i, line in enumerate(lines):
+                if i:
+                    self.boxes[-1].end_line()
+                self.inline(line)
+            return
         if not self.pre:
             self.inline(data)
             return

@@ -76,3 +76,31 @@ def test_table_cases(spark):
     got = sorted((r.page_id, r.text, r.n_lines) for r in extract_pages(df).collect())
     assert got == [(1, "", 0), (2, "", 0), (3, "a", 1), (3, "a", 1)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+SHOWN = [
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then", "if x=1 then"),
+    ("a<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><text>q<tspan>r</tspan></text><text>s</text></svg>b", "a\nqr\ns\nb"),
+    ("<svg>x<g>y</g></svg>z", "z"),
+    ("note <textarea rows=2>\nfirst <b>\nsecond</textarea><p>z", "note first <b>\nsecond\n\nz"),
+    ("size <select><option>S<option selected>M<option>L</select> now", "size M now"),
+    ("<select><option disabled>choose<option>one<option>two</select>", "one"),
+    ("<select><option selected hidden>choose<option>one</select>", "choose"),
+    ("<select><optgroup label=g disabled><option>a</optgroup><option label=B>b</select>", "B"),
+    ("x<select multiple><optgroup label=g><option>a<option>b</select>y", "x\ng\na\nb\ny"),
+    ("<li>i <select><option>a<option>b</select><li>k", "- i a\n- k"),
+    ("<li><select><option>a</select><li>k", "- a\n- k"),
+    ("<table><tr><td><select><option>a<option>b</select><td>c</table>", "a  c"),
+    ("<select hidden><option>a</select><select><option>b<select><option>c", "bc"),
+    ("<object data=f><param name=n>fallback</object>", "fallback"),
+    ("<input type=email value=a@b.c> <input type=number value=7> <input type=url value=u> <input type=tel value=1>", "a@b.c 7 u 1"),
+    ("<input type=password value=p><input type=checkbox value=c><input type=image alt=go>", "go"),
+    ("<svg><text>a</text><p>b", "a\n\nb"),
+    ("<svg><foreignObject><p>b</p></foreignObject></svg>c", "b\n\nc"),
+    ("<audio>no audio</audio><video>no video</video>x", "x"),
+]
+
+
+@pytest.mark.parametrize("html,text", SHOWN)
+def test_shown_elements(html, text):
+    assert extract(html) == text
