@@ -24,7 +24,9 @@ and each pair of tiles is a task of its own.
    or size rules out every pair are skipped, points of one component also; the pairs left are
    verified on the exact sets.  Union-find over all links gives the components.
 
-Links between different texts are found whole; copies are never expanded into pairs.  Sets are
+The result is components, not links: points already in one component are never compared, so
+most links inside a component are not found, while no two components with a link between them
+stay apart.  Copies are never expanded into pairs.  Sets are
 recomputed from the text only for classes with a candidate; which documents these are is told to
 the tasks by a table of bits of fixed size, whose errors a join corrects.
 
