@@ -66,13 +66,13 @@ SLICES = 64
 CELL_BITS = 18      # cells of the table of counts; of bits, eight times as many
 
 
-def least_overlap(total):
+def least_overlap(total, percent: int = PERCENT):
     """The smallest overlap with which sets of `total` members together still link."""
-    return -(-PERCENT * total // (100 + PERCENT))
+    return -(-percent * total // (100 + percent))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n - -(-percent * n // 100) + 1
 
 
 def count_vector(hashes: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def describe(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     """One pass over the texts: for each document its id, the size of its set, class and count
     vector; and how often the n-grams of each cell stand in documents, over all documents.  Each
     task sends its table of counts once, in slices that are summed by slice."""
@@ -139,7 +139,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             rows = []
             for doc_id, text in zip(*batch.columns):
-                hashes = shingle_hashes(text.as_py() or "", WORDS)
+                hashes = shingle_hashes(text.as_py() or "", words)
                 if len(hashes):
                     np.add.at(counts, cells(mix(hashes), CELL_BITS), 1)
                     rows.append((doc_id.as_py(), len(hashes), class_of(hashes), packed(count_vector(hashes)), None, None))
@@ -157,11 +157,11 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return rows.where("slice is null").select("doc_id", "n", "class", "vector"), np.minimum(table, 0xFFFFFFFF).astype(np.uint32)
 
 
-def ordered_prefix(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+def ordered_prefix(hashes: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The prefix of a set in the common order: by the count of the cell, then by hash."""
     mixed = mix(hashes)
     order = np.lexsort((mixed, ranks[cells(mixed, CELL_BITS)]))
-    return hashes[order[:prefix_length(len(hashes))]]
+    return hashes[order[:prefix_length(len(hashes), percent)]]
 
 
 # -- the R-tree ---------------------------------------------------------------------------------
@@ -183,11 +183,11 @@ class CountTree:
         self.only = np.where(low == np.maximum.reduceat(self.components, self.starts), low, -1)
 
 
-def tree_join(one: CountTree, two: CountTree, same: bool):
+def tree_join(one: CountTree, two: CountTree, same: bool, percent: int = PERCENT):
     """(class, class) of the points of different components that the bound cannot rule out."""
     for i, start in enumerate(one.starts):
-        fits = (100 * one.large[i] >= PERCENT * two.small) & (100 * two.large >= PERCENT * one.small[i])
-        fits &= np.minimum(one.upper[i], two.upper).sum(1) >= least_overlap(one.small[i] + two.small)
+        fits = (100 * one.large[i] >= percent * two.small) & (100 * two.large >= percent * one.small[i])
+        fits &= np.minimum(one.upper[i], two.upper).sum(1) >= least_overlap(one.small[i] + two.small, percent)
         if one.only[i] >= 0:
             fits &= two.only != one.only[i]
         if same:
@@ -196,7 +196,7 @@ def tree_join(one: CountTree, two: CountTree, same: bool):
         for j in np.flatnonzero(fits):
             there = slice(two.starts[j], two.starts[j] + LEAF)
             bound = np.minimum(one.points[here, None], two.points[None, there]).sum(2)
-            close = bound >= least_overlap(one.sizes[here, None] + two.sizes[None, there])
+            close = bound >= least_overlap(one.sizes[here, None] + two.sizes[None, there], percent)
             close &= one.components[here, None] != two.components[None, there]
             if same and i == j:
                 close = np.triu(close, 1)
@@ -204,7 +204,7 @@ def tree_join(one: CountTree, two: CountTree, same: bool):
                 yield one.classes[start + a], two.classes[two.starts[j] + b]
 
 
-def tile_pairs(batches):
+def tile_pairs(batches, percent: int = PERCENT):
     """Join the tile pairs of a partition sorted by (kind, tree, tile_a, tile_b)."""
     key, rows = None, []
 
@@ -218,9 +218,9 @@ def tile_pairs(batches):
                 points = np.array([unpacked(r[8]) for r in part], f"<u{width}").astype(np.int32)
                 trees.append(CountTree(points, *(np.array([r[c] for r in part], np.int64) for c in (7, 5, 6))))
         if key[2] == key[3]:
-            found = tree_join(trees[0], trees[0], True)
+            found = tree_join(trees[0], trees[0], True, percent)
         elif len(trees) == 2:
-            found = tree_join(trees[0], trees[1], False)
+            found = tree_join(trees[0], trees[1], False, percent)
         else:
             return [], []
         pairs = sorted({(int(min(p)), int(max(p))) for p in found})
@@ -243,20 +243,20 @@ def tile_pairs(batches):
 # -- the join -------------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose exact sets link."""
     of_a = sets.select(F.col("class").alias("a"), F.col("members").alias("set_a"))
     of_b = sets.select(F.col("class").alias("b"), F.col("members").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (pairs.join(of_a, "a").join(of_b, "b")
-            .where((100 + PERCENT) * both >= PERCENT * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
+            .where((100 + percent) * both >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
 
 
 def class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
     """(class, members) for the `wanted` (class, doc) rows, from one pass over the texts."""
     bits = CELL_BITS + 3
     keyed = docs.withColumn("key", F.xxhash64("doc_id"))
@@ -268,7 +268,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         def row(key, text):
             if not held[cells(mix(np.array([key], np.int64).view(np.uint64)), bits)[0]]:
                 return ()
-            hashes = shingle_hashes(text or "", WORDS)
+            hashes = shingle_hashes(text or "", words)
             return [(class_of(hashes), hashes.view(np.int64).tolist())] if len(hashes) else ()
         return row
 
@@ -276,11 +276,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]))
 
 
-def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                     percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; sets of `words`-grams link when
+    `percent` of their union is in both."""
     spark = df.sparkSession
     docs = id_and_text(df, id_col, text_col)
-    described, counts = describe(docs)
+    described, counts = describe(docs, words)
     ranks = spark.sparkContext.broadcast(counts)
     full = described.where("n > 0")
     classes = full.groupBy("class").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
@@ -291,14 +293,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             tokens, numbers, sizes = [], [], []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py() or "", WORDS)
+                hashes = shingle_hashes(text.as_py() or "", words)
                 number = class_of(hashes)
                 if not len(hashes) or number in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(number)
-                tokens.append(ordered_prefix(hashes, ranks.value).view(np.int64))
+                tokens.append(ordered_prefix(hashes, ranks.value, percent).view(np.int64))
                 numbers.append(number)
                 sizes.append(len(tokens[-1]))
             if tokens:
@@ -323,14 +325,14 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def bounds():
         def row(a, b, n_a, vector_a, n_b, vector_b):
             bound = int(np.minimum(unpacked(vector_a), unpacked(vector_b)).sum())
-            return [(a, b, bound / (n_a + n_b))] if bound >= least_overlap(n_a + n_b) else ()
+            return [(a, b, bound / (n_a + n_b))] if bound >= least_overlap(n_a + n_b, percent) else ()
         return row
 
     bounded = map_batches(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "vector_a", "n_b", "vector_b"),
                           bounds, "a bigint, b bigint, share double")
     best = materialize(bounded.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"))
                        .select("a", F.col("best.b").alias("b")))
-    links = materialize(verified(best, _wanted_sets(docs, best, classes)))
+    links = materialize(verified(best, _wanted_sets(docs, best, classes, words), percent))
     merged = connected_components(links)
     release(spark)
 
@@ -359,8 +361,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                       (F.col("tile") <= F.col("other")).alias("left"), "class", "component", "n", "vector"))
     unit = ["kind", "tree", "tile_a", "tile_b"]
     across = materialize(points.repartition(*unit).sortWithinPartitions(*unit)
-                         .mapInArrow(tile_pairs, "a bigint, b bigint").distinct())
-    more = materialize(verified(across, _wanted_sets(docs, across, classes)))
+                         .mapInArrow(lambda batches: tile_pairs(batches, percent), "a bigint, b bigint").distinct())
+    more = materialize(verified(across, _wanted_sets(docs, across, classes, words), percent))
     final = connected_components(links.union(more))
     release(spark)
 
@@ -373,14 +375,15 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
 
 
-def _wanted_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _wanted_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    return sets_of(docs, materialize(classes.join(ends, "class").select("class", "doc")))
+    return sets_of(docs, materialize(classes.join(ends, "class").select("class", "doc")), words)
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, without those whose component has a smaller id.
     Rows that repeat an id share its fate; null ids stay."""
-    gone = (ngram_components(df, id_col, text_col).where("component_id < doc_id")
+    gone = (ngram_components(df, id_col, text_col, words, percent).where("component_id < doc_id")
             .select(F.col("doc_id").alias("_gone")).distinct())
     return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -34,3 +34,14 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for name, stage in C.STAGES[:4]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
+
+
+def test_near_links_five_words_at_80(spark):
+    """Two documents whose 5-grams have Jaccard 0.81 and whose 4-grams have less than 0.85."""
+    words = [f"w{i}" for i in range(52)]
+    edited = words[:20] + ["other"] + words[21:]
+    grams = [{tuple(w[i:i + 5]) for i in range(48)} for w in (words, edited)]
+    assert 0.8 <= len(grams[0] & grams[1]) / len(grams[0] | grams[1]) < 0.85
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate((words, edited, words[::-1]))],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.near(spark, docs, "").collect()} == {0, 2}
