@@ -16,6 +16,7 @@ from ..session import ensure_checkpoint_dir, table_path, tune_session
 
 #: Rows of an Arrow batch handed to Python: long texts must fit in a worker many at a time.
 BATCH_ROWS = 512
+BATCH_CHARS = 1 << 23
 
 
 def prepare(spark: SparkSession) -> None:
@@ -74,6 +75,38 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def map_stream(df: DataFrame, make: Callable[[], Callable[[Iterator[tuple]], Iterator[tuple]]],
+               fields: str) -> DataFrame:
+    """Run a generator over the rows of each partition, in their order.
+
+    `make()` is called once in each task; what it returns takes an iterator of row tuples and yields
+    output tuples of the DDL `fields`.  Rows pass by, so a generator that holds little works for
+    partitions of any length; batches end early when their texts get long."""
+    schema = T.StructType.fromDDL(fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns))
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+
+        out, size = [], 0
+        for row in make()(rows()):
+            out.append(row)
+            size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+            if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+                yield batch_of(out)
+                out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    return df.mapInArrow(run, schema)
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads; every other column stays behind, whatever its name."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

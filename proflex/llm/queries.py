@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, ngram_join, order_minhash, secret_scan, suffix_dedup, unigram
+from . import (
+    bpe,
+    chat_format,
+    conversation_repair,
+    decontaminate,
+    html_text,
+    langid,
+    line_dedup,
+    merkle,
+    ngram_join,
+    order_minhash,
+    secret_scan,
+    suffix_dedup,
+    unigram,
+)
 from .common import prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +117,18 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), multi_50k, split_pattern())
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@register("op12_chat_format")
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
+
+
+@register("op13_merkle_manifest")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
