@@ -1,10 +1,13 @@
-"""Word and shingle hashes of whole texts, computed with numpy on their UTF-8 bytes."""
+"""Word and shingle hashes of whole texts."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-PIECE = 1 << 20     # bytes hashed at a time; pieces end between words
+SHORT = 48              # bytes of a word that is remembered
+MEMO_WORDS = 500_000
 
 _U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -19,14 +22,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: A random value for each byte, and whether it separates words (space, tab to carriage return).
-VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(ODD))[LOWER]
-SPACE = np.zeros(256, bool)
-SPACE[[32, *range(9, 14)]] = True
-
-
 class Powers:
     """Powers of BASE and of its inverse modulo 2**64, as far as asked."""
 
@@ -44,36 +39,27 @@ class Powers:
 POWERS = Powers()
 
 
-def _pieces(data: np.ndarray):
-    at = 0
-    while at < len(data):
-        end = at + PIECE
-        if end < len(data):
-            while end < len(data):
-                gap = np.flatnonzero(SPACE[data[end:end + PIECE]])
-                if len(gap):
-                    end += int(gap[0]) + 1
-                    break
-                end += PIECE
-        yield data[at:end]
-        at = end
+class WordHashes(dict):
+    """Lower-cased word, as bytes -> 64 bits of its BLAKE2 digest; short words are remembered, and a
+    full table is emptied, which costs time only."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= SHORT:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = value
+        return value
+
+
+HASHES = WordHashes()
 
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word, in order: runs without white space, A-Z lower-cased."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    out = []
-    for piece in _pieces(data):
-        n = len(piece)
-        POWERS.upto(n)
-        edges = np.diff(np.concatenate([[0], (~SPACE[piece]).view(np.int8), [0]]))
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        if not len(starts):
-            continue
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(VALUE[piece] * POWERS.up[:n], out=total[1:])
-        out.append(mix((total[ends] - total[starts]) * POWERS.down[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    # bytes.lower() and bytes.split() know ASCII only: A-Z, and space and tab to carriage return
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:

@@ -58,14 +58,21 @@ def corpus(seed, groups=8, copies=12):
 
 def test_hashes_equal_sets():
     rng = random.Random(2)
-    word_hash.PIECE, before = 64, word_hash.PIECE
-    try:
-        for d, text in corpus(5) + [(0, ""), (0, " \n"), (0, "x"), (0, "x" * 500 + " y"), (0, "a b c\x1cd")]:
-            assert len(word_hash.shingle_hashes(text, 4)) == len(gram_set(text))
-            mixed = "\t" + text.replace(" ", rng.choice(["  ", "\n"])) + " "
-            assert np.array_equal(word_hash.shingle_hashes(mixed, 4), word_hash.shingle_hashes(text, 4))
-    finally:
-        word_hash.PIECE = before
+    for d, text in corpus(5) + [(0, ""), (0, " \n"), (0, "x"), (0, "x" * 500 + " y"), (0, "a b c\x1cd")]:
+        assert len(word_hash.shingle_hashes(text, 4)) == len(gram_set(text))
+        mixed = "\t" + text.replace(" ", rng.choice(["  ", "\n"])) + " "
+        assert np.array_equal(word_hash.shingle_hashes(mixed, 4), word_hash.shingle_hashes(text, 4))
+
+
+def test_long_words_of_two_letters(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    docs = []
+    for bits in (10, 11, 14):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        docs += [(len(docs), word), (len(docs) + 1, word.translate(str.maketrans("ab", "ba")))]
+    docs.append((9, docs[0][1].upper()))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r) for r in N.ngram_components(df).collect()) == [*[(i, 1, i) for i in range(6)], (9, 1, 0)]
 
 
 def test_tree_bound_loses_nothing():
