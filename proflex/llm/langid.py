@@ -11,7 +11,7 @@ For each row the posterior over the languages and `und` (no language) is the pro
 
 The last three are estimated on all rows by grouped sums of a first decision by text alone; a
 row's own first decision is taken out of them.  The text model is fitted on a bounded sample of
-labelled texts: SAMPLE for each language, those with the smallest hash of id and text.
+labelled texts: about SAMPLE for each language, those with the smallest hashes of id and text.
 
 Edge cases: a row without letters is `und`, whatever else is known; null texts count as empty;
 null or odd addresses have an empty host; a declared language is cut to its primary code, null
@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
@@ -71,6 +71,9 @@ class TextModel:
         weights = counts + SMOOTH
         self.table = (np.log(weights / weights.sum(1, keepdims=True)) + BUCKET_BITS * np.log(2)).T.astype(np.float32).copy()
 
+    def of(self, part: int) -> TextModel:
+        return self
+
     def score(self, text: str) -> tuple[list[float], int]:
         buckets = letter_trigrams(text)
         total = np.zeros(len(self.languages))
@@ -79,29 +82,58 @@ class TextModel:
         return (total / TEMPER).round(6).tolist(), len(buckets)
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE):
-    """A broadcast TextModel from the bounded sample."""
+class CrossModel:
+    """Two models of the same languages; texts of a part are judged by the model of the other."""
+
+    def __init__(self, halves: list[TextModel]):
+        self.halves, self.languages = halves, halves[0].languages
+
+    def of(self, part: int) -> TextModel:
+        return self.halves[1 - part]
+
+
+def fit_parts(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, parts: int) -> list[TextModel]:
+    """`parts` models; the rows of a text are for one of them, by a hash of the text.  Each is fitted on
+    about `sample` texts of each language: those whose hash is below a bound that the number of rows
+    gives, so no task meets the texts of a language."""
     rows = labelled.select(F.lower(lang_col).alias("lang"), F.col(text_col).alias("text"),
-                           F.xxhash64(id_col, text_col).alias("order")).where("lang is not null and text <> '' and lang <> 'und'")
-    by_lang = Window.partitionBy("lang").orderBy("order")
-    chosen = rows.withColumn("n", F.row_number().over(by_lang)).where(F.col("n") <= sample).select("lang", "text")
+                           F.xxhash64(id_col, text_col).alias("order"), F.pmod(F.xxhash64(text_col), F.lit(parts)).cast("int").alias("part"))
+    known = rows.where("lang is not null and lang <> 'und'")
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    languages = sorted(sizes)
+    bounds = [min((parts * sample << 64) // sizes[lang], (1 << 64) - 1) - (1 << 63) for lang in languages]
+    if not languages:
+        return [TextModel([], np.zeros((0, 1 << BUCKET_BITS)))] * parts
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in zip(languages, bounds) for x in pair]), F.col("lang"))
+    chosen = known.where("text <> ''").where(F.col("order") <= bound).select("lang", "part", "text")
 
     def make():
-        def row(lang, text):
+        def row(lang, part, text):
             found, times = np.unique(letter_trigrams(text), return_counts=True)
-            return list(zip([lang] * len(found), found.tolist(), times.tolist()))
+            return list(zip([lang] * len(found), [part] * len(found), found.tolist(), times.tolist()))
         return row
 
-    sums = (map_batches(chosen, make, "lang string, bucket int, times bigint").groupBy("lang", "bucket")
-            .agg(F.sum("times").alias("times")).groupBy("lang")
-            .agg(F.collect_list(F.struct("bucket", "times")).alias("counts")).limit(MOST_LANGUAGES + 1).collect())
-    if len(sums) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
-    sums.sort(key=lambda r: r.lang)
-    counts = np.zeros((len(sums), 1 << BUCKET_BITS))
-    for i, r in enumerate(sums):
-        counts[i, [c["bucket"] for c in r.counts]] = [c["times"] for c in r.counts]
-    return labelled.sparkSession.sparkContext.broadcast(TextModel([r.lang for r in sums], counts))
+    # at most languages x buckets sums, whatever the number of rows
+    sums = (map_batches(chosen, make, "lang string, part int, bucket int, times bigint").groupBy("lang", "part", "bucket")
+            .agg(F.sum("times").alias("times")).groupBy("lang", "part")
+            .agg(F.collect_list(F.struct("bucket", "times")).alias("counts")).collect())
+    counts = np.zeros((parts, len(languages), 1 << BUCKET_BITS))
+    for r in sums:
+        counts[r.part, languages.index(r.lang), [c["bucket"] for c in r.counts]] = [c["times"] for c in r.counts]
+    return [TextModel(languages, c) for c in counts]
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE):
+    """A broadcast TextModel from the bounded sample."""
+    model, = fit_parts(labelled, id_col, text_col, lang_col, sample, 1)
+    return labelled.sparkSession.sparkContext.broadcast(model)
+
+
+def fit_halves(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE):
+    """A broadcast CrossModel: two models, each for the texts that the other was fitted on."""
+    return labelled.sparkSession.sparkContext.broadcast(CrossModel(fit_parts(labelled, id_col, text_col, lang_col, sample, 2)))
 
 
 def visible(html: str) -> str:
@@ -183,12 +215,12 @@ def evidence_of(df: DataFrame, model, is_html: bool) -> DataFrame:
     id_type = df.schema["id"].dataType.simpleString()
 
     def make():
-        def row(key, text, host, declared):
-            scores, letters = model.value.score(visible(text or "") if is_html else text or "")
+        def row(key, text, host, declared, part):
+            scores, letters = model.value.of(part).score(visible(text or "") if is_html else text or "")
             return [(key, host, declared, scores, letters)]
         return row
 
-    found = map_batches(df.select("id", "text", "host", "declared"), make,
+    found = map_batches(df.select("id", "text", "host", "declared", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("part")), make,
                         f"id {id_type}, host string, declared string, scores array<double>, letters bigint")
     return (materialize(found).withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
 
@@ -218,10 +250,11 @@ def identify_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col:
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                     lang_col: str = "lang") -> DataFrame:
-    """The documents, with all their columns, that have a language.  Rows of an id that is `und`
-    in one of its rows are told apart by a hash of the text."""
+    """The documents, with all their columns, that have a language.  No text is judged by a model that
+    it was fitted on.  Rows of an id that is `und` in one of its rows are told apart by a hash of the
+    text."""
     keyed = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")))
-    model = fit(docs, id_col, text_col, lang_col)
+    model = fit_halves(docs, id_col, text_col, lang_col)
     found = identify_documents(keyed, model, "_key", text_col, host_col, lang_col)
     rejected = found.where(F.col("lang") == UND).select(F.col("_key").alias("_rejected")).distinct()
     return keyed.join(rejected, F.col("_key").eqNullSafe(F.col("_rejected")), "left_anti").drop("_key")
