@@ -38,12 +38,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import id_and_text, map_batches
+from .common import id_and_text, map_batches, materialize
 
 UNIT_WORDS = 64
 BLOCK = 4
@@ -107,17 +107,24 @@ def unit_terms(items: DataFrame) -> DataFrame:
 
 
 def shards_of(items: DataFrame, limit: int) -> list[DataFrame]:
-    """The items, dealt into shards whose text was checked to be within `limit` characters."""
-    total = items.agg(F.sum(F.length("text")), F.count("*")).first()
-    n = 1
-    while True:
-        dealt = items.withColumn("shard", F.pmod(F.col("entry"), F.lit(n)).cast("int"))
-        most = dealt.groupBy("shard").agg(F.sum(F.length("text")).alias("c")).agg(F.max("c")).first()[0] or 0
-        if most <= limit:
-            return [dealt.where(F.col("shard") == i) for i in range(n)]
-        if n > 2 * (total[1] or 0):
-            raise ValueError(f"a benchmark item is longer than a shard of {limit} characters")
-        n *= 2
+    """The items, packed into shards of at most `limit` characters of text: one that is longer than
+    half of that has a shard of its own, the others follow each other."""
+    lengths = items.select("entry", F.length("text").cast("long").alias("chars"))
+    long = F.col("chars") * 2 > limit
+    short_before = F.sum(F.when(long, 0).otherwise(F.col("chars"))).over(Window.orderBy("entry")) - F.when(long, 0).otherwise(F.col("chars"))
+    own = F.sum(F.when(long, 1).otherwise(0)).over(Window.orderBy("entry"))
+    # even numbers for the short ones, odd ones for the long
+    dealt = lengths.select("entry", F.when(long, 2 * own - 1).otherwise(2 * F.floor(short_before * 2 / limit)).cast("int").alias("shard"))
+    dealt = items.join(dealt, "entry")
+    held = dealt.groupBy("shard").agg(F.sum(F.length("text")).alias("chars")).orderBy("shard").collect()
+    if any(r.chars > limit for r in held):
+        raise ValueError(f"a benchmark item is longer than a shard of {limit} characters")
+    if not held:
+        return [dealt]
+    number = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(held) for x in (r.shard, i)]), F.col("shard"))
+    dealt = dealt.withColumn("shard", number)
+    dealt = materialize(dealt)
+    return [dealt.where(F.col("shard") == i) for i in range(len(held))]
 
 
 class Index:
@@ -279,7 +286,7 @@ def build_shards(spark, items: DataFrame, item_id: str, item_text: str, shard_ch
     dealt = shards[0]
     for shard in shards[1:]:
         dealt = dealt.unionByName(shard)
-    terms = unit_terms(dealt)
+    terms = materialize(unit_terms(dealt))
     for i, shard in enumerate(shards):
         rows = terms.where(F.col("shard") == i).collect()       # within shard_chars of text
         parts = [(r.entry, r.doc_id, r.text) for r in shard.collect()]

@@ -8,6 +8,16 @@ import pytest
 from proflex.llm import decontaminate as D
 
 
+def fewest_edits(item, words):
+    """The fewest words replaced, inserted or removed that make the item a run of `words`."""
+    row = [0] * (len(words) + 1)
+    for i, a in enumerate(item, 1):
+        last, row = row, [i]
+        for j, w in enumerate(words, 1):
+            row.append(min(last[j - 1] + (a != w), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
 def brute(docs, items, threshold, overlap):
     units = [(i, w[s:s + D.UNIT_WORDS]) for i, t in items for w in [D.words_of(t or "")] for s in range(0, len(w), D.UNIT_WORDS)]
     df = Counter(t for _, u in units for t in set(u))
@@ -29,7 +39,8 @@ def brute(docs, items, threshold, overlap):
                 q, a = D.question_and_answer(texts[item])
                 around = words[max(0, s - len(q) - len(a)):s + 2 * D.UNIT_WORDS + len(q) + len(a)]
                 joined = {tuple(around[i:i + n]) for n in (1, 2, 3) for i in range(len(around))}
-                if all(not D.grams(p) or len(D.grams(p) & joined) / len(D.grams(p)) >= overlap for p in (q, a)):
+                in_q, in_a, in_both = [len(D.grams(p) & joined) / len(D.grams(p)) if D.grams(p) else 1.0 for p in (q, a, q + a)]
+                if max(min(in_q, in_a), in_both) >= overlap or fewest_edits(q + a, around) <= (1 - D.ORDERED) * len(q + a) + 1e-9:
                     out.add((doc, item))
     return out
 
@@ -106,9 +117,16 @@ def test_edits():
     rng = random.Random(7)
     for _ in range(200):
         item, words = ([rng.randrange(4) for _ in range(rng.randint(1, 9))] for _ in range(2))
-        row = [0] * (len(words) + 1)
-        for i, a in enumerate(item, 1):
-            last, row = row, [i]
-            for j, w in enumerate(words, 1):
-                row.append(min(last[j - 1] + (a != w), last[j] + 1, row[j - 1] + 1))
-        assert D.edits(item, np.array(words)) == min(row)
+        assert D.edits(item, np.array(words)) == fewest_edits(item, words)
+
+
+def test_shards_take_all_items_that_fit(spark):
+    """200 items of up to 589 characters in shards of 800."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"u{rng.randrange(900)}" for _ in range(rng.randint(5, 117)))[:589]) for i in range(200)]
+    source = spark.createDataFrame(items, "entry long, text string")
+    shards = [s.collect() for s in D.shards_of(source, 800)]
+    assert sorted(r.entry for s in shards for r in s) == list(range(200))
+    assert max(sum(len(r.text) for r in s) for s in shards) <= 800
+    with pytest.raises(ValueError, match="longer than a shard"):
+        D.shards_of(source, 500)
