@@ -99,10 +99,21 @@ def correction_dictionaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     return build_correction_list(counts=counts), build_truecase_model(counts=counts)
 
 
+def speller_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates of the corpus words and its n-gram counts, both written once."""
+    from ..operators.speller import candidates, ngram_counts, word_counts
+    from ..operators.tagging import tokenize
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
+    return (candidates(word_counts(words).checkpoint(eager=True)).checkpoint(eager=True),
+            ngram_counts(sentences(spark, sf_dir)).checkpoint(eager=True))
+
+
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.errors import sentence_error_stats
     cl, tm = correction_dictionaries(spark, sf_dir)
-    return sentence_error_stats(sentences(spark, sf_dir), "doc_id", cl, tm)
+    return sentence_error_stats(sentences(spark, sf_dir), "doc_id", cl, tm, speller_model(spark, sf_dir))
 
 
 def document_error_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,8 +320,110 @@ corrected AS (
     FROM outs GROUP BY doc_id, sent_id) o ON s.doc_id = o.doc_id AND s.sent_id = o.sent_id)"""
 
 
+# The speller (T10).  Fixed values: ratio 20, backoff 0.4, a change costs ln 100, order 3.
+PAIRS_CTE = r"""
+spelt AS (SELECT unnest(regexp_extract_all(text, '""" + _TOK + r"""')) AS word FROM documents),
+spelt_counts AS (SELECT lower(word) AS w, count(*) AS n FROM spelt WHERE regexp_matches(word, '^\p{L}+$') GROUP BY 1),
+variants AS (
+  SELECT w, n, unnest(list_distinct(list_concat([w],
+           list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1))))) AS key
+  FROM spelt_counts),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT r.w AS wrong, t.w AS "right", t.n AS right_count
+  FROM variants r JOIN variants t ON r.key = t.key
+  WHERE t.n >= 20 * r.n AND r.w <> t.w
+    AND (length(r.w) <> length(t.w)
+         OR len(list_filter(range(1, length(r.w) + 1), lambda i: substr(r.w, i, 1) <> substr(t.w, i, 1))) = 1))"""
+
+GRAMS_CTE = r"""
+sequences AS (
+  SELECT doc_id, sent_id, list_concat(list_concat(['<s>', '<s>'], list_transform(list_filter(regexp_extract_all(sentence, '""" + _TOK + r"""'),
+           lambda t: regexp_matches(t, '[\p{L}\p{N}]')), lambda t: lower(t))), ['</s>']) AS seq FROM sents),
+gram_rows AS (
+  SELECT doc_id, sent_id, unnest(list_concat(list_concat(seq,
+           list_transform(range(1, len(seq)), lambda i: seq[i] || ' ' || seq[i + 1])),
+           list_transform(range(1, len(seq) - 1), lambda i: seq[i] || ' ' || seq[i + 1] || ' ' || seq[i + 2]))) AS gram
+  FROM sequences),
+grams AS MATERIALIZED (SELECT gram, count(*) AS n FROM gram_rows GROUP BY 1)"""
+
+
+def _micro(x: str) -> str:
+    return f"CAST(round(ln({x}) * 1000000) AS BIGINT)"
+
+
+def _seen(alias: str) -> str:
+    return f"(coalesce({alias}.n, 0) - coalesce(own_{alias}.n, 0))"
+
+
+def _gram_join(alias: str, gram: str) -> str:
+    return (f"LEFT JOIN grams {alias} ON {alias}.gram = {gram} "
+            f"LEFT JOIN own own_{alias} ON own_{alias}.doc_id = w.doc_id AND own_{alias}.sent_id = w.sent_id AND own_{alias}.gram = {gram}\n  ")
+
+
+CHAINED_CTE = CORRECTED_CTE[:CORRECTED_CTE.index("corrected AS (")].replace("outs AS (", "listed AS (") + r"""
+own AS (SELECT doc_id, sent_id, gram, count(*) AS n FROM gram_rows GROUP BY ALL),
+context AS (
+  SELECT doc_id, sent_id, pos, fixed, tok, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS sub
+  FROM (SELECT doc_id, sent_id, pos, tok, spell IS NOT NULL AND spell <> tok AS fixed,
+          CASE WHEN spell IS NOT NULL AND spell <> tok THEN list_transform(regexp_extract_all(spell, '[\p{L}\p{N}]+'), lambda t: lower(t))
+               WHEN is_word THEN [lower(tok)] ELSE [] END AS ws FROM listed)),
+numbered AS MATERIALIZED (
+  SELECT *, 2 + row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos, sub) AS j FROM context
+  UNION ALL SELECT doc_id, sent_id, 0, true, NULL, '<s>', 1, unnest([1, 2]) FROM sents
+  UNION ALL SELECT s.doc_id, s.sent_id, 0, true, NULL, '</s>', 1, 3 + (SELECT count(*) FROM context c WHERE c.doc_id = s.doc_id AND c.sent_id = s.sent_id) FROM sents s),
+choices AS MATERIALIZED (
+  SELECT doc_id, sent_id, j, word, 0 AS changed FROM numbered
+  UNION ALL SELECT doc_id, sent_id, j, p."right", 1 FROM numbered JOIN pairs p ON p.wrong = word WHERE NOT fixed),
+hit_places AS (SELECT DISTINCT doc_id, sent_id, j FROM choices WHERE changed = 1),
+isles AS (
+  SELECT doc_id, sent_id, isle, min(j) AS first, max(j) AS last
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, sent_id ORDER BY j) AS isle
+        FROM (SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY doc_id, sent_id ORDER BY j) <= 2 THEN 0 ELSE 1 END AS fresh FROM hit_places))
+  GROUP BY ALL),
+window_ends AS (SELECT doc_id, sent_id, isle, first, unnest(range(first, last + 3)) AS j FROM isles),
+windows AS (
+  SELECT e.doc_id, e.sent_id, e.isle, e.j, a.word AS a, b.word AS b, c.word AS c, c.changed
+  FROM window_ends e
+  JOIN choices a ON a.doc_id = e.doc_id AND a.sent_id = e.sent_id AND a.j = e.j - 2
+  JOIN choices b ON b.doc_id = e.doc_id AND b.sent_id = e.sent_id AND b.j = e.j - 1
+  JOIN choices c ON c.doc_id = e.doc_id AND c.sent_id = e.sent_id AND c.j = e.j),
+scored AS MATERIALIZED (
+  SELECT w.*, CASE
+      WHEN """ + _seen("abc") + " > 0 THEN " + _micro(_seen("abc")) + " - " + _micro(_seen("ab")) + r"""
+      WHEN """ + _seen("bc") + " > 0 THEN " + _micro("0.4") + " + " + _micro(_seen("bc")) + " - " + _micro(_seen("b")) + r"""
+      ELSE 2 * """ + _micro("0.4") + " + " + _micro("greatest(" + _seen("c") + ", 1)") + " - " + _micro("(SELECT sum(n) FROM grams WHERE NOT contains(gram, ' '))") + r"""
+    END - changed * """ + _micro("100") + r""" AS score
+  FROM windows w
+  """ + _gram_join("abc", "w.a || ' ' || w.b || ' ' || w.c") + _gram_join("ab", "w.a || ' ' || w.b") + _gram_join("bc", "w.b || ' ' || w.c") \
+    + _gram_join("b", "w.b") + _gram_join("c", "w.c").rstrip() + r"""),
+paths AS (
+  SELECT i.doc_id, i.sent_id, i.isle, i.first - 1 AS j, a.word AS a, b.word AS b, CAST(0 AS BIGINT) AS score, 0 AS changes, CAST([] AS VARCHAR[]) AS picks
+  FROM isles i JOIN choices a ON a.doc_id = i.doc_id AND a.sent_id = i.sent_id AND a.j = i.first - 2
+  JOIN choices b ON b.doc_id = i.doc_id AND b.sent_id = i.sent_id AND b.j = i.first - 1
+  UNION ALL
+  SELECT doc_id, sent_id, isle, j, a, b, score, changes, picks FROM (
+    SELECT p.doc_id, p.sent_id, p.isle, s.j, s.b AS a, s.c AS b, p.score + s.score AS score, p.changes + s.changed AS changes,
+      list_append(p.picks, s.c) AS picks,
+      row_number() OVER (PARTITION BY p.doc_id, p.sent_id, p.isle, s.b, s.c
+                         ORDER BY p.score + s.score DESC, p.changes + s.changed, list_append(p.picks, s.c)) AS rn
+    FROM paths p JOIN scored s ON s.doc_id = p.doc_id AND s.sent_id = p.sent_id AND s.isle = p.isle AND s.j = p.j + 1 AND s.a = p.a AND s.b = p.b)
+  WHERE rn = 1),
+best_paths AS (
+  SELECT * FROM paths QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, isle ORDER BY j DESC, score DESC, changes, picks) = 1),
+picked AS (
+  SELECT doc_id, sent_id, unnest(picks) AS word, j - len(picks) + unnest(generate_series(1, len(picks))) AS j FROM best_paths),
+respelt AS (
+  SELECT n.doc_id, n.sent_id, n.pos, CASE WHEN substr(n.tok, 1, 1) = lower(substr(n.tok, 1, 1)) THEN k.word
+           ELSE upper(substr(k.word, 1, 1)) || substr(k.word, 2) END AS respell
+  FROM picked k JOIN numbered n ON n.doc_id = k.doc_id AND n.sent_id = k.sent_id AND n.j = k.j WHERE k.word <> n.word),
+outs AS (
+  SELECT l.* REPLACE (coalesce(r.respell, l.spell_out) AS spell_out)
+  FROM listed l LEFT JOIN respelt r ON r.doc_id = l.doc_id AND r.sent_id = l.sent_id AND r.pos = l.pos),
+""" + CORRECTED_CTE[CORRECTED_CTE.index("corrected AS ("):]
+
+
 # Spans as gaps and islands over one row for each white-space-kept token (`place`).
-SPANS_CTE = CORRECTED_CTE + r""",
+ISLANDS_CTE = r""",
 placed AS (
   SELECT *, 1 + 2 * coalesce(sum(CASE WHEN length(gap) > 0 THEN 1 ELSE 0 END)
            OVER (PARTITION BY doc_id, sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
@@ -357,7 +459,10 @@ spans AS (
   FROM wide w JOIN both_kinds k ON k.doc_id = w.doc_id AND k.sent_id = w.sent_id AND k.kind = w.kind
   GROUP BY w.doc_id, w.sent_id, w.kind, w.island)"""
 
-ERROR_STATS_CTE = SPANS_CTE + r""",
+SPANS_CTE = CORRECTED_CTE + ISLANDS_CTE
+
+# spelling spans are those of the chain
+ERROR_STATS_CTE = "," + PAIRS_CTE + "," + GRAMS_CTE + CHAINED_CTE + ISLANDS_CTE + r""",
 counted AS (
   SELECT doc_id, sent_id, count(*) FILTER (WHERE kind = 'spell') AS spell_n, count(*) FILTER (WHERE kind = 'case') AS grammar_n,
          coalesce(sum(len(regexp_extract_all("value", '[^""" + WS + r"""]+'))) FILTER (WHERE kind = 'case'), 0) AS grammar_words
@@ -373,7 +478,7 @@ sratio AS (
 
 
 def error_sql() -> str:
-    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
+    return f"""WITH RECURSIVE {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
 SELECT doc_id,
   round(sum(spell_n) / nullif(CAST(sum(words) AS DOUBLE), 0), 6) AS spell_word_ratio,
   round(count(*) FILTER (WHERE spell_n > 0) / CAST(count(*) AS DOUBLE), 6) AS spell_sent_ratio,
@@ -388,7 +493,7 @@ FROM sratio GROUP BY doc_id"""
 
 
 def sentence_stats_sql() -> str:
-    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
+    return f"""WITH RECURSIVE {SENTENCES_CTE}{DICT_CTE}{ERROR_STATS_CTE}
 SELECT doc_id, sent_id, CAST(words AS BIGINT) AS words, CAST(spell_n AS INTEGER) AS spell_n,
        CAST(grammar_n AS INTEGER) AS grammar_n, CAST(grammar_words AS INTEGER) AS grammar_words,
        round(spell_ratio, 6) AS spell_ratio, round(error_ratio, 6) AS error_ratio
@@ -411,19 +516,9 @@ SELECT doc_id, feats, count(*) AS n FROM tok WHERE xpos IS DISTINCT FROM 'Z' AND
 
 
 def chain_sql() -> str:
-    """J4, then the speller's suggestions, on the stripped result of the first."""
-    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{CORRECTED_CTE},
-once AS (
-  SELECT doc_id, sent_id, regexp_replace(spell_target, '^[{WS}]+|[{WS}]+$', '', 'g') AS sentence FROM corrected),
-again AS (
-  SELECT doc_id, sent_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS pos, gaps
-  FROM (SELECT *, regexp_extract_all(sentence, '{TOKEN}') AS toks, regexp_split_to_array(sentence, '{TOKEN}') AS gaps FROM once)),
-suggested AS ({speller_sql()})
-SELECT o.doc_id, o.sent_id, coalesce(t.target, '') AS target
-FROM once o LEFT JOIN (
-  SELECT doc_id, sent_id, string_agg(coalesce(g."right", tok) || repeat(' ', length(gaps[pos + 1])), '' ORDER BY pos) AS target
-  FROM again a LEFT JOIN suggested g ON a.tok = g.wrong GROUP BY doc_id, sent_id) t
-  ON o.doc_id = t.doc_id AND o.sent_id = t.sent_id"""
+    """The spelling column of the chain; nothing to strip, as the sentences are stripped."""
+    return f"""WITH RECURSIVE {SENTENCES_CTE}{DICT_CTE},{PAIRS_CTE},{GRAMS_CTE}{CHAINED_CTE}
+SELECT doc_id, sent_id, spell_target AS target FROM corrected"""
 
 
 def metadata_sql() -> str:
@@ -523,24 +618,17 @@ SELECT doc_id, sent_id, sentence, CAST(
     + length(piece) - length(sentence) AS INTEGER) AS start FROM sents"""
 
 
-def speller_sql(rare_max: int = 1, min_count: int = 5) -> str:
-    return rf"""WITH
-words AS (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents),
-counts AS (SELECT lower(word) AS w, count(*) AS n FROM words WHERE regexp_matches(word, '^\p{{L}}+$') GROUP BY 1),
-variants AS (
-  SELECT w, n, unnest(list_distinct(list_concat([w],
-           list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1))))) AS key
-  FROM counts),
-pairs AS (
-  SELECT DISTINCT r.w AS wrong, t.w AS "right", t.n AS right_count
-  FROM variants r JOIN variants t ON r.key = t.key
-  WHERE r.n <= {rare_max} AND t.n >= {min_count} AND r.w <> t.w
-    AND (length(r.w) <> length(t.w)
-         OR len(list_filter(range(1, length(r.w) + 1), lambda i: substr(r.w, i, 1) <> substr(t.w, i, 1))) = 1))
+def speller_sql() -> str:
+    return f"""WITH {PAIRS_CTE}
 SELECT wrong, "right", right_count FROM (
   SELECT *, row_number() OVER (PARTITION BY wrong ORDER BY right_count DESC, "right") AS rn FROM pairs)
 WHERE rn = 1"""
 
 
+def ngrams_sql() -> str:
+    return f"""WITH {SENTENCES_CTE},{GRAMS_CTE}
+SELECT CAST(1 + length(gram) - length(replace(gram, ' ', '')) AS INTEGER) AS words, gram, n AS times FROM grams"""
+
+
 def reassembled_sql() -> str:
     return "SELECT doc_id, coalesce(text, '') AS text FROM documents"

@@ -80,7 +80,7 @@ for _name, _cols in FEATURE_FAMILIES.items():
 
 # ---- segmentation, correction, error features -------------------------------------------------
 
-from .corpus import (correction_dictionaries, document_error_features, merged_features,  # noqa: E402
+from .corpus import (correction_dictionaries, document_error_features, speller_model, merged_features,  # noqa: E402
                      sentence_stats, sentences)
 
 
@@ -382,11 +382,18 @@ def t4_sentence_offsets(spark, sf_dir):
 
 @register("t10_speller_suggestions", oracle.speller_sql())
 def t10_speller_suggestions(spark, sf_dir):
-    """Best frequent word at edit distance 1 for every rare corpus word."""
-    from ..operators.speller import suggestions, word_counts
+    """T10 without context: for every word the most frequent of its candidates."""
+    from ..operators.speller import candidates, suggestions, word_counts
     from ..operators.tagging import drop_empty, tokenize
     words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
-    return suggestions(word_counts(words))
+    return suggestions(candidates(word_counts(words)))
+
+
+@register("t10_ngram_counts", oracle.ngrams_sql())
+def t10_ngram_counts(spark, sf_dir):
+    """Counts of the runs of one to three words within sentences."""
+    from ..operators.speller import ngram_counts
+    return ngram_counts(sentences(spark, sf_dir))
 
 
 @register("t5_reassembled_text", oracle.reassembled_sql())
@@ -422,19 +429,11 @@ def t11_batch_infer(spark, sf_dir):
 
 @register("t8_chain", oracle.chain_sql())
 def t8_chain(spark, sf_dir):
-    """The correction list, then the speller's suggestions (T10) as a second list."""
-    from ..operators.correction import chain, dictionary_correct
-    from ..operators.speller import suggestions, word_counts
-    from ..operators.tagging import drop_empty, tokenize
-    words = drop_empty(tokenize(documents(spark, sf_dir).select("doc_id", "text"))).select("word")
-    keys = ["doc_id", "sent_id"]
-
-    def step(entries):
-        return lambda df: dictionary_correct(df, keys, "sentence", correction_list=entries).select(
-            *keys, seg.strip_ws("spell_target").alias("sentence"), "spell_target")
-
-    both = chain(step(correction_dictionaries(spark, sf_dir)[0]), step(suggestions(word_counts(words)).select("wrong", "right")))
-    return both(sentences(spark, sf_dir)).select(*keys, F.col("spell_target").alias("target"))
+    """The correction list, then the speller (T10) in the context of each sentence."""
+    from ..operators.correction import dictionary_correct
+    fixed = dictionary_correct(sentences(spark, sf_dir), ["doc_id", "sent_id"], "sentence",
+                               correction_list=correction_dictionaries(spark, sf_dir)[0], speller=speller_model(spark, sf_dir))
+    return fixed.select("doc_id", "sent_id", F.col("spell_target").alias("target"))
 
 
 @register("p1_p2_metadata", oracle.metadata_sql())
