@@ -257,6 +257,47 @@ def tokens_sql() -> str:
 SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, idx, word, lemma, upos, xpos, feats FROM tok"""
 
 
+def lexicon_tagger_sql() -> str:
+    """Endings of up to 5 letters, 2 words for a rule."""
+    taught = TOKENS_CTE.replace("FROM documents)", "FROM (SELECT conv_id AS doc_id, text, '0' AS source FROM conversations))")
+    raw = TOKENS_CTE[:TOKENS_CTE.index("dig_tok AS (")].rstrip().rstrip(",")
+    return rf"""WITH taught AS (WITH {taught} SELECT word, lemma, upos, xpos, feats FROM tok),
+lex AS MATERIALIZED (
+  SELECT form, lemma, upos, xpos, feats FROM (
+    SELECT lower(word) AS form, lemma, upos, xpos, feats, count(*) AS n FROM taught
+    WHERE regexp_matches(word, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(word, '^[0-9]+$') GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY form ORDER BY n DESC, lemma NULLS FIRST, upos NULLS FIRST, xpos NULLS FIRST, feats NULLS FIRST) = 1),
+shared AS (
+  SELECT *, len(list_filter(range(1, least(length(form), length(lemma)) + 1), lambda i: substr(form, 1, i) = substr(lemma, 1, i))) AS p
+  FROM lex WHERE regexp_full_match(form, '\p{{L}}+') AND lemma IS NOT NULL),
+votes AS (
+  SELECT ending, upos, xpos, feats, cut, added, count(*) AS words FROM (
+    SELECT upos, xpos, feats, length(form) - p AS cut, substr(lemma, p + 1) AS added,
+           right(form, unnest(range(1, least(5, length(form) - 1) + 1))) AS ending FROM shared)
+  WHERE cut <= length(ending) GROUP BY ALL HAVING count(*) >= 2),
+rules AS MATERIALIZED (
+  SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY ending
+    ORDER BY words DESC, upos NULLS FIRST, xpos NULLS FIRST, feats NULLS FIRST, cut, added) = 1),
+spoken AS MATERIALIZED (WITH {raw} SELECT doc_id, sent_id, idx, word FROM idx_tok),
+new_forms AS (
+  SELECT DISTINCT lower(word) AS form FROM spoken
+  WHERE regexp_full_match(word, '\p{{L}}+') AND lower(word) NOT IN (SELECT form FROM lex)),
+guessed AS (
+  SELECT e.form, substr(e.form, 1, length(e.form) - r.cut) || r.added AS lemma, r.upos, r.xpos, r.feats
+  FROM (SELECT form, right(form, unnest(range(1, least(5, length(form) - 1) + 1))) AS ending FROM new_forms) e
+  JOIN rules r ON r.ending = e.ending
+  QUALIFY row_number() OVER (PARTITION BY e.form ORDER BY length(e.ending) DESC) = 1),
+known AS (SELECT * FROM lex UNION ALL SELECT form, lemma, upos, xpos, feats FROM guessed),
+kinds AS (
+  SELECT *, NOT regexp_matches(word, '[\p{{L}}\p{{N}}]') AS punct, regexp_matches(word, '^[0-9]+$') AS number FROM spoken)
+SELECT k.doc_id, CAST(k.sent_id AS INTEGER) AS sent_id, k.idx, k.word,
+  CASE WHEN punct OR number THEN word WHEN w.form IS NULL THEN lower(word) ELSE w.lemma END AS lemma,
+  CASE WHEN punct THEN 'PUNCT' WHEN number THEN 'NUM' WHEN w.form IS NULL THEN 'NOUN' ELSE w.upos END AS upos,
+  CASE WHEN punct THEN 'Z' WHEN number THEN 'N' WHEN w.form IS NULL THEN 'S' ELSE w.xpos END AS xpos,
+  CASE WHEN punct THEN NULL WHEN number THEN 'NumForm=Digit|NumType=Card' ELSE w.feats END AS feats
+FROM kinds k LEFT JOIN known w ON w.form = lower(k.word) AND NOT punct AND NOT number"""
+
+
 # ---- error features (E1-E11) -----------------------------------------------------------------
 
 _TOK = TOKEN

@@ -68,6 +68,19 @@ def t1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(spark, sf_dir)
 
 
+@register("t1_lexicon_tagger", oracle.lexicon_tagger_sql())
+def t1_lexicon_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 with a learnt tagger: lexicon and suffix rules from the tagged conversations, applied to
+    all documents, of whose words the conversations hold some."""
+    from ..operators import lexicon_tagger as lt
+    from ..operators.tagging import drop_empty, tag_text
+    from .corpus import documents, read_table
+    taught = drop_empty(tag_text(read_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")))
+    lexicon = lt.build_lexicon(taught).checkpoint(eager=True)
+    rules = lt.suffix_rules(lexicon).checkpoint(eager=True)
+    return drop_empty(lt.tag_with_lexicon(documents(spark, sf_dir), lexicon, rules))
+
+
 @register("a31_feature_table", oracle.feature_sql())
 def a31_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full per-document feature table (flagship)."""
