@@ -1,7 +1,7 @@
 """M19 fast path for moment-based models (nearest centroid, LDA): fit once, score once.
 
-For k-fold CV every training set is "all rows minus one fold".  One aggregate per
-(fold, class) of n, Σx and Σxxᵀ therefore gives, by subtraction, the exact training
+For k-fold CV every training set is "all rows minus one fold".  One pass of
+mergeable co-moments per (fold, class) therefore gives, by merging all folds but one, the training
 statistics of every fold: scaling parameters, ANOVA F ranking, class means and the pooled
 covariance.  The per-fold models are tiny (folds x sizes x classes coefficient rows, a bounded
 table that is broadcast); every held-out row is scored against its own fold's models in one
@@ -13,48 +13,50 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .comoments import grouped_moments, merge
+from .logistic_grid import Problem, fit_logistic
 
 
 def fold_moments(folded: DataFrame, features: list[str], label: str = "prof_level",
                  fold: str = "fold") -> dict:
-    """{(fold, class): (n, Σx, Σxxᵀ)} from ONE aggregate (partial aggregation map-side)."""
-    d = len(features)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)]
-    for i in range(d):
-        for j in range(i, d):
-            aggs.append(F.sum(F.col(features[i]) * F.col(features[j])).alias(f"q{i}_{j}"))
-    out = {}
-    for r in folded.groupBy(fold, label).agg(*aggs).collect():
-        q = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-        out[(r[fold], r[label])] = (float(r["n"]), np.array([r[f"s{i}"] for i in range(d)], float), q)
-    return out
+    """{(fold, class): (n, mean, scatter)} from one pass (mergeable co-moments)."""
+    return grouped_moments(folded, features, label, fold)
 
 
 def _train_stats(mom: dict, k) -> dict:
-    classes = sorted({c for (_, c) in mom})
-    stats = {}
-    for c in classes:
-        parts = [v for (f, cc), v in mom.items() if cc == c and f != k]
-        if not parts:
-            continue
-        stats[c] = (sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts))
+    """{class: (n, mean, scatter)} of all folds but k."""
+    stats: dict = {}
+    for (f, c) in sorted(mom):
+        if f != k:
+            stats[c] = merge(stats.get(c), mom[f, c])
     return stats
 
 
-def _anova_rank(stats: dict, features: list[str]) -> list[int]:
+def _spread(stats: dict) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """n, mean, and the sums of squares between and within the classes, for each feature."""
     n = sum(v[0] for v in stats.values())
-    kcls = len(stats)
-    s = sum(v[1] for v in stats.values())
-    q = np.diag(sum(v[2] for v in stats.values()))
-    between = sum(v[1] ** 2 / v[0] for v in stats.values())
+    mean = sum(v[0] * v[1] for v in stats.values()) / n
+    between = sum(v[0] * (v[1] - mean) ** 2 for v in stats.values())
+    return n, mean, between, np.diag(sum(v[2] for v in stats.values()))
+
+
+def _scaling(stats: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation of each feature; a constant one is divided by 1."""
+    n, mean, between, within = _spread(stats)
+    sd = np.sqrt((between + within) / n)
+    return mean, np.where(sd > 0, sd, 1.0)
+
+
+def _anova_rank(stats: dict, features: list[str]) -> list[int]:
+    n, _, between, within = _spread(stats)
     with np.errstate(divide="ignore", invalid="ignore"):
-        f = ((between - s ** 2 / n) / (kcls - 1)) / ((q - between) / (n - kcls))
+        f = (between / (len(stats) - 1)) / (within / (n - len(stats)))
     f = np.where(np.isfinite(f), f, -np.inf)
     return sorted(range(len(features)), key=lambda i: (-f[i], features[i]))
 
@@ -64,16 +66,13 @@ def cv_models(mom: dict, features: list[str], models: list[str], sizes: list[int
     nearest centroid: Σ w (x - mu)² (w = 1 / sd² of the training folds, min wins);
     LDA: -(x·w + b) (min wins).  Unselected features get weight 0."""
     d = len(features)
-    folds = sorted({f for (f, _) in mom})
     rows = []
-    for k in folds:
+    for k in sorted({f for (f, _) in mom}):
         st = _train_stats(mom, k)
         n = sum(v[0] for v in st.values())
-        mean = sum(v[1] for v in st.values()) / n
-        var = np.diag(sum(v[2] for v in st.values())) / n - mean ** 2
-        sd = np.where(var > 0, np.sqrt(np.maximum(var, 0)), 1.0)
+        _, sd = _scaling(st)
         order = _anova_rank(st, features)
-        means = {c: v[1] / v[0] for c, v in st.items()}
+        means = {c: v[1] for c, v in st.items()}
         for size in sizes:
             sel = sorted(order[:size])
             mask = np.zeros(d)
@@ -84,21 +83,50 @@ def cv_models(mom: dict, features: list[str], models: list[str], sizes: list[int
                     for c in sorted(st):
                         rows.append((model, size, k, c, means[c].tolist(), w.tolist(), 0.0))
                 elif model == "lda":
-                    scatter = sum(v[2] - v[0] * np.outer(means[c], means[c]) for c, v in st.items())
-                    cov = scatter[np.ix_(sel, sel)] / max(n - len(st), 1)
-                    inv = np.linalg.pinv(cov)
+                    # in units of the deviations, so no feature's scale decides what counts as zero
+                    scatter = sum(v[2] for v in st.values()) / np.outer(sd, sd)
+                    inv = np.linalg.pinv(scatter[np.ix_(sel, sel)] / max(n - len(st), 1), hermitian=True)
                     for c in sorted(st):
-                        mu = means[c][sel]
+                        mu = means[c][sel] / sd[sel]
                         wsel = inv @ mu
                         w = np.zeros(d)
-                        w[sel] = wsel
-                        b = -0.5 * mu @ inv @ mu + math.log(st[c][0] / n)
+                        w[sel] = wsel / sd[sel]
+                        b = -0.5 * mu @ wsel + math.log(st[c][0] / n)
                         rows.append((model, size, k, c, [0.0] * d, w.tolist(), float(b)))
                 else:
                     raise ValueError(f"{model} has no moment form")
     return rows
 
 
+def logistic_problems(mom: dict, features: list[str], sizes: list[int], c: float = 1.0) -> list[tuple[int, Problem]]:
+    """(size, problem) for every fold and number of features, chosen and scaled without the fold."""
+    out = []
+    for k in sorted({f for (f, _) in mom}):
+        st = _train_stats(mom, k)
+        mean, sd = _scaling(st)
+        order = _anova_rank(st, features)
+        for size in sizes:
+            mask = np.zeros(len(features))
+            mask[order[:size]] = 1.0
+            out.append((size, Problem(k, mask, mean, sd, sum(v[0] for v in st.values()), c)))
+    return out
+
+
+def logistic_rows(folded: DataFrame, mom: dict, features: list[str], sizes: list[int], label: str = "prof_level",
+                  fold: str = "fold") -> list[tuple]:
+    """Model rows, as of `cv_models`, of the logistic regressions of all folds and sizes, fitted together."""
+    classes = sorted({c for (_, c) in mom})
+    sized = logistic_problems(mom, features, sizes)
+    fitted = fit_logistic(folded, features, classes, [p for _, p in sized], label, fold)
+    rows = []
+    for (size, _), p in zip(sized, fitted):
+        if not p.converged:
+            raise ValueError(f"logistic regression without convergence: fold {p.fold}, {size} features, {p.passes} passes")
+        w, b = p.raw()
+        rows += [("logistic_regression", size, p.fold, c, [0.0] * len(features), w[i].tolist(), float(b[i])) for i, c in enumerate(classes)]
+    return rows
+
+
 MODEL_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("n_features", T.IntegerType()),
     T.StructField("fold", T.IntegerType()), T.StructField("cls", T.StringType()),
@@ -110,7 +138,10 @@ def cv_predictions(folded: DataFrame, features: list[str], models: list[str], si
                    key: str = "doc_id", label: str = "prof_level", fold: str = "fold") -> DataFrame:
     """Out-of-fold predictions (key, fold, label, prediction, model, n_features) of every
     (model, size) with one aggregate, one bounded broadcast table and one scoring pass."""
-    rows = cv_models(fold_moments(folded, features, label, fold), features, models, sizes)
+    mom = fold_moments(folded, features, label, fold)
+    rows = cv_models(mom, features, [m for m in models if m != "logistic_regression"], sizes)
+    if "logistic_regression" in models:
+        rows += logistic_rows(folded, mom, features, sizes, label, fold)
     return score_models(folded, features, rows, key, label, fold)
 
 
@@ -123,7 +154,7 @@ def centroid_rows(mom: dict, features: list[str], subsets: list[list[str]]) -> l
         for i, sub in enumerate(subsets):
             w = [1.0 if f in sub else 0.0 for f in features]
             for c in sorted(st):
-                rows.append(("nearest_centroid", i, k, c, (st[c][1] / st[c][0]).tolist(), w, 0.0))
+                rows.append(("nearest_centroid", i, k, c, st[c][1].tolist(), w, 0.0))
     return rows
 
 
@@ -132,8 +163,8 @@ def score_models(folded: DataFrame, features: list[str], rows: list[tuple], key:
     """Score every held-out row with each model row of its own fold (broadcast join of a
     table bounded by folds x models x classes; no shuffle of the rows)."""
     spark: SparkSession = folded.sparkSession
-    from .lookups import literal_table
-    table = literal_table(spark, rows, ["model", "n_features", "fold", "cls", "mu", "w", "b"])
+    # folds x models x classes rows, however many rows are scored
+    table = spark.createDataFrame(pa.Table.from_pylist([dict(zip(MODEL_SCHEMA.names, r)) for r in rows], to_arrow_schema(MODEL_SCHEMA)))
     grouped = table.groupBy("model", "n_features", F.col("fold").alias("_mfold")).agg(
         F.collect_list(F.struct("cls", "mu", "w", "b")).alias("_cls"))
     x = F.array(*[F.col(f).cast("double") for f in features])

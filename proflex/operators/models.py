@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import LEVELS
+from .comoments import grouped_moments
 
 # ---- H1: nearest centroid ------------------------------------------------------------------
 
@@ -162,22 +163,8 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, features: list[str
 # ---- M15 / M16: discriminant analysis from class moments ---------------------------------------
 
 def class_moments(df: DataFrame, features: list[str], label: str = "prof_level") -> dict:
-    """n, Σx and Σxxᵀ per class in ONE aggregate (partial aggregation; d(d+1)/2 sums)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)]
-    for i, fi in enumerate(features):
-        for j in range(i, len(features)):
-            aggs.append(F.sum(F.col(fi) * F.col(features[j])).alias(f"q{i}_{j}"))
-    out = {}
-    d = len(features)
-    for r in df.groupBy(label).agg(*aggs).collect():
-        s = np.array([r[f"s{i}"] for i in range(d)], dtype=float)
-        q = np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                q[i, j] = q[j, i] = r[f"q{i}_{j}"]
-        out[r[label]] = (r["n"], s, q)
-    return out
+    """{class: (n, mean, scatter)} in one pass (mergeable co-moments)."""
+    return {c: m for (_, c), m in grouped_moments(df, features, label).items()}
 
 
 def fit_discriminant(train: DataFrame, features: list[str], label: str = "prof_level",
@@ -188,8 +175,8 @@ def fit_discriminant(train: DataFrame, features: list[str], label: str = "prof_l
     mom = class_moments(train, features, label)
     n = sum(v[0] for v in mom.values())
     k = len(mom)
-    means = {c: s / m for c, (m, s, _) in mom.items()}
-    scatter = {c: q - m * np.outer(means[c], means[c]) for c, (m, s, q) in mom.items()}
+    means = {c: mean for c, (_, mean, _) in mom.items()}
+    scatter = {c: q for c, (_, _, q) in mom.items()}
     x = [F.col(f) for f in features]
     cands = []
     if not quadratic:

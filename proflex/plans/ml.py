@@ -96,7 +96,7 @@ def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int
     fold, five metrics from the same out-of-fold predictions."""
     train, _ = splits(spark, sf_dir)
     folded = stratified_folds(train, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
-    moment_models = [m for m in models if fast and m in ("nearest_centroid", "lda")]
+    moment_models = [m for m in models if fast and m in ("nearest_centroid", "lda", "logistic_regression")]
     rows: list[DataFrame] = []
     if moment_models:
         from ..operators.cvmoments import cv_predictions
@@ -139,6 +139,14 @@ def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int
     return scores.join(macro, ["model", "n_features"])
 
 
+def one_feature_discriminants(spark: SparkSession, sf_dir: str, feature: str = "lemma_count") -> DataFrame:
+    """M15 and M16 on one feature: doc_id, label and both predictions for the test rows."""
+    from ..operators.models import fit_discriminant
+    tr, te = scaled_splits(spark, sf_dir)
+    return te.select("doc_id", F.col("prof_level").alias("label"), fit_discriminant(tr, [feature]).alias("lda"),
+                     fit_discriminant(tr, [feature], quadratic=True).alias("qda"))
+
+
 def importance(spark: SparkSession, sf_dir: str, balanced: bool = False) -> DataFrame:
     """M28 + M29 + P6 with the nearest-centroid model on all model features."""
     tr, te = scaled_splits(spark, sf_dir)

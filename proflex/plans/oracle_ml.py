@@ -246,3 +246,52 @@ SELECT feature, round(m, 6) AS importance_mean, round(sd, 6) AS importance_sd,
        CAST(row_number() OVER (ORDER BY m, feature) AS INTEGER) AS rank,
        CASE feature {names} ELSE feature END AS display_name
 FROM imp"""
+
+
+def discriminants_sql(feature: str = "lemma_count") -> str:
+    return f"""WITH {_scaled()},
+st AS (SELECT prof_level AS cls, count(*) AS n, avg("{feature}") AS mu, var_pop("{feature}") * count(*) AS ss FROM train_s GROUP BY 1),
+alln AS (SELECT sum(n) AS total, sum(ss) / (sum(n) - count(*)) AS v FROM st),
+scores AS (
+  SELECT t.doc_id, t.prof_level, s.cls, t."{feature}" * s.mu / v - s.mu * s.mu / (2 * v) + ln(s.n / total) AS lin,
+         -0.5 * (t."{feature}" - s.mu) * (t."{feature}" - s.mu) / (s.ss / (s.n - 1)) - 0.5 * ln(s.ss / (s.n - 1)) + ln(s.n / total) AS quad
+  FROM test_s t, st s, alln)
+SELECT doc_id, prof_level AS label,
+  (SELECT cls FROM scores x WHERE x.doc_id = t.doc_id ORDER BY lin DESC, cls LIMIT 1) AS lda,
+  (SELECT cls FROM scores x WHERE x.doc_id = t.doc_id ORDER BY quad DESC, cls LIMIT 1) AS qda
+FROM test_s t"""
+
+
+def grid_sql(sizes: list[int]) -> str:
+    """Scaling, ANOVA ranking and class means of all rows but those of a fold, for each fold."""
+    long = " UNION ALL ".join(f"""SELECT doc_id, prof_level, fold, '{f}' AS feature, CAST("{f}" AS DOUBLE) AS x FROM folded""" for f in F)
+    return f"""WITH {_splits()},
+folded AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY prof_level
+           ORDER BY md5('{SEED}:fold:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % {FOLDS} AS INTEGER) AS fold FROM train),
+long AS MATERIALIZED ({long}),
+left_out AS (SELECT unnest(range({FOLDS})) AS k),
+cls AS MATERIALIZED (
+  SELECT k, feature, prof_level AS cls, count(*) AS n, avg(x) AS mu, var_pop(x) * count(*) AS ss FROM long JOIN left_out ON fold <> k GROUP BY ALL),
+whole AS (SELECT k, feature, sum(n) AS total, count(*) AS classes, sum(n * mu) / sum(n) AS m FROM cls GROUP BY ALL),
+spread AS (
+  SELECT c.k, c.feature, any_value(total) AS total, any_value(classes) AS classes, sum(c.n * (c.mu - m) * (c.mu - m)) AS between_ss, sum(c.ss) AS within_ss
+  FROM cls c JOIN whole w ON w.k = c.k AND w.feature = c.feature GROUP BY ALL),
+ranked AS (
+  SELECT k, feature, coalesce(nullif((between_ss + within_ss) / total, 0), 1.0) AS variance,
+         row_number() OVER (PARTITION BY k ORDER BY (between_ss / (classes - 1)) / nullif(within_ss / (total - classes), 0) DESC NULLS LAST, feature) AS r
+  FROM spread),
+sizes AS (SELECT unnest({sizes}) AS n_features),
+far AS (
+  SELECT l.doc_id, l.prof_level, l.fold, n_features, c.cls, sum((l.x - c.mu) * (l.x - c.mu) / variance) AS distance
+  FROM long l JOIN ranked k ON k.k = l.fold AND k.feature = l.feature JOIN sizes ON r <= n_features
+  JOIN cls c ON c.k = l.fold AND c.feature = l.feature GROUP BY ALL),
+oof AS (
+  SELECT prof_level, fold * 1000 + n_features AS cell, cls AS prediction FROM far
+  QUALIFY row_number() OVER (PARTITION BY doc_id, n_features ORDER BY distance, cls) = 1){_prf_cte("oof", "cell")},
+acc AS (SELECT cell, avg(CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END) AS a FROM oof GROUP BY 1),
+macro AS (SELECT cell, avg(f1) AS f, avg(precision) AS p, avg(recall) AS r FROM prf GROUP BY 1)
+SELECT 'nearest_centroid' AS model, CAST(cell % 1000 AS INTEGER) AS n_features, round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS sd_accuracy,
+  round(avg(f), 6) AS f1_mean, round(stddev_pop(f), 6) AS f1_sd, round(avg(p), 6) AS precision_mean, round(stddev_pop(p), 6) AS precision_sd,
+  round(avg(r), 6) AS recall_mean, round(stddev_pop(r), 6) AS recall_sd
+FROM acc JOIN macro USING (cell) GROUP BY cell % 1000"""

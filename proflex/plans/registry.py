@@ -311,11 +311,31 @@ for _rid, _model in (("m10_logistic_regression", "logistic_regression"),
     register(_rid)(_model_query(_model))
 
 
+@register("m15_m16_one_feature", oracle_ml.discriminants_sql())
+def m15_m16_one_feature(spark, sf_dir):
+    """M15 + M16 with one feature, where both have a short closed form."""
+    return ml.one_feature_discriminants(spark, sf_dir)
+
+
+GRID_SIZES = list(range(5, len(ml.MODEL_FEATURES) + 1))
+
+
 @register("m19_cv_grid")
 def m19_cv_grid(spark, sf_dir):
     """M19 + M18: CV grid (scaling, top-k and model refitted per fold) for two models."""
-    return round_doubles(ml.cv_grid(spark, sf_dir, ["nearest_centroid", "lda"],
-                                    list(range(5, len(ml.MODEL_FEATURES) + 1))))
+    return round_doubles(ml.cv_grid(spark, sf_dir, ["nearest_centroid", "lda"], GRID_SIZES))
+
+
+@register("m19_logistic_grid")
+def m19_logistic_grid(spark, sf_dir):
+    """M19 + M18 + M10: the same grid of logistic regressions, all fitted together to convergence."""
+    return round_doubles(ml.cv_grid(spark, sf_dir, ["logistic_regression"], GRID_SIZES))
+
+
+@register("m19_h1_grid", oracle_ml.grid_sql(GRID_SIZES))
+def m19_h1_grid(spark, sf_dir):
+    """M19 + M18 with H1 alone, whose scores SQL can give."""
+    return round_doubles(ml.cv_grid(spark, sf_dir, ["nearest_centroid"], GRID_SIZES))
 
 
 @register("m9_forward_selection")

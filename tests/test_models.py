@@ -2,6 +2,9 @@
 import numpy as np
 import pytest
 
+from proflex.operators.comoments import merge
+from proflex.operators.cvmoments import fold_moments, logistic_problems
+from proflex.operators.logistic_grid import fit_logistic
 from proflex.operators.models import class_moments, fit_centroids, fit_discriminant, nearest_centroid
 from proflex.operators.selection import anova_f, fit_standardizer, standardize
 
@@ -49,8 +52,9 @@ def test_lda_one_feature(spark):
     expect = [max(cls, key=lambda c: (x * means[c] / var - means[c] ** 2 / (2 * var) + np.log(prior[c]), -ord(c[0])))
               for x in xs]
     assert got == expect
-    n, s, q = class_moments(df, ["x"])["A2"]
-    assert n == 100 and s[0] == pytest.approx(xs[labels == "A2"].sum())
+    n, mean, scatter = class_moments(df, ["x"])["A2"]
+    own = xs[labels == "A2"]
+    assert n == 100 and mean[0] == pytest.approx(own.mean()) and scatter[0, 0] == pytest.approx(((own - own.mean()) ** 2).sum())
 
 
 def test_nearest_centroid_ties_to_smaller_label(spark):
@@ -60,3 +64,50 @@ def test_nearest_centroid_ties_to_smaller_label(spark):
     got = [r[0] for r in df.orderBy("doc_id").select(nearest_centroid(cents, ["x"])).collect()]
     assert got == ["B1", "A2", "A2"]
     assert set(fit_centroids(df, ["x"])) == {"A2", "B1"}
+
+
+def test_comoments_with_large_means(spark):
+    """51 features whose means are 10^8 times their deviations, which raw sums of squares lose."""
+    rng = np.random.default_rng(5)
+    x = 1e8 + rng.normal(size=(400, 51)) @ rng.normal(size=(51, 51))
+    names = [f"f{i}" for i in range(51)]
+    rows = spark.createDataFrame([("ab"[i % 2], i % 3, *map(float, r)) for i, r in enumerate(x)],
+                                 "prof_level string, fold int, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    got = fold_moments(rows, names)
+    assert len(got) == 6
+    for (fold, c), (n, mean, scatter) in got.items():
+        own = x[[i for i in range(400) if i % 3 == fold and "ab"[i % 2] == c]]
+        assert n == len(own)
+        np.testing.assert_allclose(mean, own.mean(0), rtol=1e-14)
+        np.testing.assert_allclose(scatter, (own - own.mean(0)).T @ (own - own.mean(0)), atol=1e-3)
+        assert merge(None, (n, mean, scatter))[0] == n
+
+
+def test_logistic_grid_equals_single_fits(spark):
+    """All folds and sizes together against Newton steps on each training set."""
+    rng = np.random.default_rng(3)
+    names, classes = ["a", "b", "c", "d"], ["A2", "B1", "C1"]
+    y = rng.integers(0, 3, 240)
+    x = rng.normal(size=(240, 4)) * [1, 50, 0.01, 3] + np.outer(y, [1.0, 20, 0.001, 0]) + [0, 1000, 0, 5]
+    fold = np.arange(240) % 3
+    df = spark.createDataFrame([(classes[c], int(f), *map(float, r)) for c, f, r in zip(y, fold, x)],
+                               "prof_level string, fold int, a double, b double, c double, d double").repartition(5)
+    mom = fold_moments(df, names)
+    sized = logistic_problems(mom, names, [2, 4], c=0.7)
+    fitted = fit_logistic(df, names, classes, [p for _, p in sized], fold="fold")
+    assert len(fitted) == 6 and all(p.converged for p in fitted)
+    for p in fitted:
+        mine = fold != p.fold
+        z = np.column_stack([((x[mine] - x[mine].mean(0)) / x[mine].std(0)) * p.mask, np.ones(mine.sum())])
+        hot, w = np.eye(3)[y[mine]], np.zeros((3, 5))
+        ridge = np.diag(np.tile([1.0] * 4 + [0.0], 3)) / 0.7
+        for _ in range(50):
+            s = np.exp(z @ w.T - (z @ w.T).max(1, keepdims=True))
+            s /= s.sum(1, keepdims=True)
+            g = ((s - hot).T @ z).ravel() + ridge @ w.ravel()
+            h = ridge + np.block([[(z.T * (s[:, i] * ((i == j) - s[:, j]))) @ z for j in range(3)] for i in range(3)])
+            w -= (np.linalg.pinv(h) @ g).reshape(3, 5)
+        raw, b = p.raw()
+        centred = w - w.mean(0)        # shares do not change when all classes move alike
+        np.testing.assert_allclose(p.weights - p.weights.mean(0), centred, atol=2e-4)
+        np.testing.assert_allclose(x @ raw.T + b, np.column_stack([(x - p.mean) / p.sd, np.ones(240)]) @ p.weights.T, atol=1e-8)
