@@ -673,3 +673,74 @@ SELECT CAST(1 + length(gram) - length(replace(gram, ' ', '')) AS INTEGER) AS wor
 
 def reassembled_sql() -> str:
     return "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+
+def chunk_delimiters_sql(max_pos: int) -> str:
+    """From the sentences: the first piece of a sentence has the white space before it, others nothing;
+    sentences without a character are no pieces, but their white space counts for the next."""
+    return f"""WITH {SENTENCES_CTE},
+full_text AS (
+  SELECT doc_id, sent_id, sentence, piece, tail, coalesce(sum(CASE WHEN sentence <> '' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(CASE WHEN sentence <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS n FROM sents),
+chunks AS (
+  SELECT doc_id, sent_id, tail, unnest(range(1, CAST(ceil(length(sentence) / {max_pos}) AS BIGINT) + 1)) AS k, sentence,
+         substr(piece, 1, length(piece) - length(sentence)) AS lead FROM full_text WHERE sentence <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, k) AS INTEGER) AS piece_no,
+  substr(sentence, (k - 1) * {max_pos} + 1, {max_pos}) AS piece, CASE WHEN k = 1 THEN lead ELSE '' END AS delim, tail FROM chunks
+UNION ALL
+SELECT doc_id, 1, '', '', coalesce(text, '') FROM documents WHERE doc_id IN (SELECT doc_id FROM full_text WHERE n = 0)"""
+
+
+_REQUEST_CTE = SPANS_CTE + r""",
+starts AS (
+  SELECT doc_id, sent_id, sentence, piece, tail, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY sent_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(piece) - length(sentence) AS INTEGER) AS at FROM sents),
+accepted AS (SELECT doc_id FROM documents WHERE coalesce(length(text), 0) <= 10000)"""
+
+
+def request_corrections_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{_REQUEST_CTE}
+SELECT s.doc_id, s."start" + t.at AS "start", s."end" + t.at AS "end", s."value", s.replacement
+FROM spans s JOIN starts t ON t.doc_id = s.doc_id AND t.sent_id = s.sent_id
+WHERE s.kind = 'spell' AND s.doc_id IN (SELECT doc_id FROM accepted)"""
+
+
+def request_texts_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}{DICT_CTE}{_REQUEST_CTE},
+counted AS (SELECT doc_id, count(*) AS n FROM spans WHERE kind = 'spell' GROUP BY 1)
+SELECT c.doc_id, coalesce(any_value(d.text), '') AS original_text,
+  string_agg(substr(t.piece, 1, length(t.piece) - length(t.sentence)) || regexp_replace(c.spell_target, '^[{WS}]+|[{WS}]+$', '', 'g'), ''
+             ORDER BY c.sent_id) || any_value(t.tail) AS corrected_text,
+  CAST(coalesce(any_value(n.n), 0) AS INTEGER) AS n_corrections
+FROM corrected c JOIN starts t ON t.doc_id = c.doc_id AND t.sent_id = c.sent_id JOIN documents d ON d.doc_id = c.doc_id
+LEFT JOIN counted n ON n.doc_id = c.doc_id WHERE c.doc_id IN (SELECT doc_id FROM accepted) GROUP BY c.doc_id"""
+
+
+def rejected_sql() -> str:
+    return "SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, 422 AS status_code FROM documents WHERE length(text) > 10000"
+
+
+_LINES = "SELECT doc_id, words, unnest(words) AS word, unnest(range(len(words))) AS line FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE text IS NOT NULL)"
+
+
+def correction_list_sql() -> str:
+    return f"""WITH lines AS ({_LINES}),
+fields AS (
+  SELECT doc_id, line, string_split(word || CASE WHEN line + 1 < len(words) THEN ';' || words[line + 2] ELSE '' END, ';') AS p
+  FROM lines WHERE line > 0)
+SELECT p[1] AS wrong, regexp_replace(p[2], '^[{WS}]+|[{WS}]+$', '', 'g') AS "right" FROM fields WHERE len(p) >= 2
+QUALIFY row_number() OVER (PARTITION BY p[1] ORDER BY doc_id DESC, line DESC) = 1"""
+
+
+def truecase_list_sql() -> str:
+    return f"""WITH lines AS ({_LINES}),
+stripped AS (
+  SELECT doc_id, line, regexp_replace(CASE WHEN line % 3 = 0 THEN word ELSE word || chr(9) || line END, '^[{WS}]+|[{WS}]+$', '', 'g') AS s
+  FROM lines WHERE word <> ''),
+fields AS (SELECT doc_id, line, s, string_split(s, chr(9)) AS p FROM stripped),
+entries AS (
+  SELECT doc_id, line, CASE WHEN len(p) = 2 THEN p[1] ELSE s END AS word,
+         CASE WHEN len(p) = 2 THEN coalesce(TRY_CAST(p[2] AS INTEGER), 5) ELSE 5 END AS freq FROM fields)
+SELECT lower(word) AS key, word, freq FROM entries
+QUALIFY row_number() OVER (PARTITION BY lower(word) ORDER BY doc_id DESC, line DESC) = 1"""

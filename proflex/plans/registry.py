@@ -437,6 +437,65 @@ def t5_reassembled_text(spark, sf_dir):
     return seg.reassemble(seg.delimiters(d), ["doc_id"], "sent_id", "sentence", "delim", "tail")
 
 
+PIECE_CHARS = 40
+
+
+@register("t4_chunk_delimiters", oracle.chunk_delimiters_sql(PIECE_CHARS))
+def t4_chunk_delimiters(spark, sf_dir):
+    """T2 + T3 + T4: pieces of at most 40 characters with the text between them, found by search."""
+    from ..operators.requests import piece_array, piece_delimiters
+    return piece_delimiters(documents(spark, sf_dir), piece_array(F.col("text"), PIECE_CHARS))
+
+
+def _requests(spark, sf_dir):
+    from ..operators.requests import process_requests
+    return process_requests(documents(spark, sf_dir).select("doc_id", "text"),
+                            correction_list=correction_dictionaries(spark, sf_dir)[0])
+
+
+@register("t9_request_corrections", oracle.request_corrections_sql())
+def t9_request_corrections(spark, sf_dir):
+    """The corrections of every accepted request, at places of its full text."""
+    return _requests(spark, sf_dir)[0].select("doc_id", F.inline("corrections"))
+
+
+@register("t9_corrected_texts", oracle.request_texts_sql())
+def t9_corrected_texts(spark, sf_dir):
+    """T9 + T5: original and corrected text of every accepted request."""
+    return _requests(spark, sf_dir)[0].select("doc_id", "original_text", "corrected_text", F.size("corrections").alias("n_corrections"))
+
+
+@register("p8_rejected_requests", oracle.rejected_sql())
+def p8_rejected_requests(spark, sf_dir):
+    """The requests that are too long."""
+    return _requests(spark, sf_dir)[1].select("doc_id", "chars", "status_code")
+
+
+def _list_lines(spark, sf_dir):
+    """Lines derived from the documents, each document a file."""
+    words = F.split("text", " ")
+    return (documents(spark, sf_dir).where("text IS NOT NULL")
+            .select("doc_id", F.posexplode(words).alias("line", "word"), words.alias("words")))
+
+
+@register("s10_correction_list", oracle.correction_list_sql())
+def s10_correction_list(spark, sf_dir):
+    """Correction list of lines `word;next word`, a header in each document."""
+    from ..sources.files import parse_correction_lines
+    lines = _list_lines(spark, sf_dir)
+    value = F.concat_ws(";", "word", F.get("words", F.col("line") + 1))
+    return parse_correction_lines(lines.select(F.col("doc_id").alias("file"), "line", value.alias("value")))
+
+
+@register("s11_truecase_list", oracle.truecase_list_sql())
+def s11_truecase_list(spark, sf_dir):
+    """Truecase list of lines `word<TAB>place`, every third without a frequency."""
+    from ..sources.files import parse_truecase_lines
+    lines = _list_lines(spark, sf_dir).where("word <> ''")
+    value = F.when(F.col("line") % 3 == 0, F.col("word")).otherwise(F.concat_ws("\t", "word", "line"))
+    return parse_truecase_lines(lines.select(F.col("doc_id").alias("file"), "line", value.alias("value")))
+
+
 @register("t9_s12_responses")
 def t9_s12_responses(spark, sf_dir):
     """T9 + S12: the correction-list response of every sentence as JSON (rows-only)."""

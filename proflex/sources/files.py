@@ -1,6 +1,6 @@
 """Sources and sinks.
 
-All readers use explicit schemas (no inference) and Spark's own file sources, so they split
+Readers use explicit schemas (CSV features without a given schema are inferred) and Spark's own file sources, so they split
 and scale like any other scan.  Text-like formats keep the reference conventions (`None` as
 the null token, quote-free TSV for tagged tokens) but the default sink is Parquet.
 """
@@ -90,24 +90,31 @@ def read_stopwords(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select("Stoplemma").distinct()
 
 
-def read_correction_list(spark: SparkSession, path: str) -> DataFrame:
-    """`;`-separated lines after a header; field 0 -> stripped field 1; for duplicate
-    keys the last line wins (line order = position in the file)."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
-    first = lines.agg(F.min("_line")).first()[0]
-    body = lines.where(F.col("_line") != F.lit(first))
-    parts = body.select(F.split("value", ";").alias("p"), "_line")
+def scan_lines(spark: SparkSession, path: list[str] | str) -> DataFrame:
+    """(file, line, value) of text files; `line` orders the lines of a file: the place of the block
+    that was read, and the row's number in its task, where the rows of a block follow each other."""
+    lines = spark.read.text(path if isinstance(path, list) else [path])
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("line"), "value")
+
+
+def parse_correction_lines(lines: DataFrame) -> DataFrame:
+    """(wrong, right) from (file, line, value): the first line of each file is its header, of the others
+    field 0 is corrected to the stripped field 1; lines of one field are none; of equal keys the
+    last wins, in order of file and line."""
+    heads = lines.groupBy(F.col("file").alias("_file")).agg(F.min("line").alias("_head"))
+    body = lines.join(heads, (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_head")), "left_anti")
+    parts = body.select(F.split("value", ";").alias("p"), F.struct("file", "line").alias("_line"))
     rows = parts.where(F.size("p") >= 2).select(
         F.col("p")[0].alias("wrong"), strip_ws(F.col("p")[1]).alias("right"), "_line")
     return keep_last(rows, "wrong", "_line").drop("_line")
 
 
-def read_truecase_list(spark: SparkSession, path: str) -> DataFrame:
-    """`word<TAB>freq` lines; a line without a frequency gets 5; key = lower(word);
-    last line wins."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+def parse_truecase_lines(lines: DataFrame) -> DataFrame:
+    """(key, word, freq) from (file, line, value): `word<TAB>freq`; a line without a frequency gets 5;
+    key = lower(word); of equal keys the last wins, in order of file and line."""
     stripped = strip_ws(F.col("value"))
-    parts = lines.select(F.split(stripped, "\t").alias("p"), stripped.alias("s"), "_line")
+    parts = lines.select(F.split(stripped, "\t").alias("p"), stripped.alias("s"), F.struct("file", "line").alias("_line"))
     two = F.size("p") == 2
     rows = parts.select(
         F.when(two, F.col("p")[0]).otherwise(F.col("s")).alias("word"),
@@ -117,6 +124,16 @@ def read_truecase_list(spark: SparkSession, path: str) -> DataFrame:
     return keep_last(keyed, "key", "_line").select("key", "word", "freq")
 
 
+def read_correction_list(spark: SparkSession, path: list[str] | str) -> DataFrame:
+    """S10 from files."""
+    return parse_correction_lines(scan_lines(spark, path))
+
+
+def read_truecase_list(spark: SparkSession, path: list[str] | str) -> DataFrame:
+    """S11 from files."""
+    return parse_truecase_lines(scan_lines(spark, path))
+
+
 def encode_response(df: DataFrame, col: str = "response", out: str = "json") -> DataFrame:
     """Nested response struct -> JSON text; null fields are written as null."""
     return df.withColumn(out, F.to_json(F.col(col), {"ignoreNullFields": "false"}))
