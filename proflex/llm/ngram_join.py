@@ -17,10 +17,10 @@ documents share seldom deal out anything.  A tree of more than TILE points is sp
 and each pair of tiles is a task of its own.
 
 1. Nearby: among the first PROBES prefix n-grams each class meets one other class of its tree;
-   the best by the count bound is verified.  Union-find merges what linked.
-2. Join: trees that still hold several components are joined with themselves; those that share
-   points are first united into one, so near copies meet once and not in every prefix n-gram,
-   unless that holds more than CLUSTER points: then they stay apart.  Boxes whose bound
+   the best by the count bound is verified, and union-find merges what linked.  STARS - 1 times
+   more, in all trees that hold several components, each class meets one class of another
+   component: so a large group of near copies becomes one component at a few verifications each.
+2. Join: trees that still hold several components are joined with themselves.  Boxes whose bound
    or size rules out every pair are skipped, points of one component also; the pairs left are
    verified on the exact sets.  Union-find over all links gives the components.
 
@@ -59,7 +59,7 @@ PERCENT = 85
 GROUPS = 256
 PROBES = 4
 TILE = 2048
-CLUSTER = 1 << 15   # points of a cluster of trees that is joined as one
+STARS = 3           # rounds in which a class meets one class of each of its trees
 LEAF = 32
 SEEN = 500_000      # classes a task remembers
 SLICES = 64
@@ -205,19 +205,19 @@ def tree_join(one: CountTree, two: CountTree, same: bool, percent: int = PERCENT
 
 
 def tile_pairs(batches, percent: int = PERCENT):
-    """Join the tile pairs of a partition sorted by (kind, tree, tile_a, tile_b)."""
+    """Join the tile pairs of a partition sorted by (tree, tile_a, tile_b)."""
     key, rows = None, []
 
     def joined():
-        left = [r for r in rows if r[4]]
-        right = [r for r in rows if not r[4]]
+        left = [r for r in rows if r[3]]
+        right = [r for r in rows if not r[3]]
         trees = []
         for part in (left, right):
             if part:
-                width = max(len(r[8]) for r in part) // GROUPS
-                points = np.array([unpacked(r[8]) for r in part], f"<u{width}").astype(np.int32)
-                trees.append(CountTree(points, *(np.array([r[c] for r in part], np.int64) for c in (7, 5, 6))))
-        if key[2] == key[3]:
+                width = max(len(r[7]) for r in part) // GROUPS
+                points = np.array([unpacked(r[7]) for r in part], f"<u{width}").astype(np.int32)
+                trees.append(CountTree(points, *(np.array([r[c] for r in part], np.int64) for c in (6, 4, 5))))
+        if key[1] == key[2]:
             found = tree_join(trees[0], trees[0], True, percent)
         elif len(trees) == 2:
             found = tree_join(trees[0], trees[1], False, percent)
@@ -231,10 +231,10 @@ def tile_pairs(batches, percent: int = PERCENT):
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[:4] != key:
+            if row[:3] != key:
                 if rows:
                     yield batch_of(joined())
-                key, rows = row[:4], []
+                key, rows = row[:3], []
             rows.append(row)
     if rows:
         yield batch_of(joined())
@@ -314,11 +314,6 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     trees = materialize(dealt.withColumn("low", F.min("class").over(of_token)).withColumn("high", F.max("class").over(of_token))
                         .where("low <> high").select("token", "class", "place"))
 
-    # 1. nearby: the best partner by the bound, among one other class in each of a few trees
-    few = trees.where(F.col("place") < PROBES)
-    heads = (few.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", "token"), "class")).alias("head"))
-             .select("token", F.col("head.class").alias("b")))
-    pairs = few.join(heads, "token").select(F.col("class").alias("a"), "b").where("a <> b").distinct()
     of_a = vectors.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("vector").alias("vector_a"))
     of_b = vectors.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("vector").alias("vector_b"))
 
@@ -328,38 +323,44 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return [(a, b, bound / (n_a + n_b))] if bound >= least_overlap(n_a + n_b, percent) else ()
         return row
 
-    bounded = map_batches(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "vector_a", "n_b", "vector_b"),
-                          bounds, "a bigint, b bigint, share double")
-    best = materialize(bounded.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"))
-                       .select("a", F.col("best.b").alias("b")))
-    links = materialize(verified(best, _wanted_sets(docs, best, classes, words), percent))
-    merged = connected_components(links)
+    def star(points: DataFrame, salt: int) -> DataFrame:
+        """Links of each class with the best by the bound among one class of another component in each
+        of its trees; `points` has token, class and component."""
+        heads = (points.groupBy("token").agg(F.min_by(F.struct("class", "component"), F.xxhash64("class", "token", F.lit(salt))).alias("head")))
+        pairs = (points.join(heads, "token").where("component <> head.component")
+                 .select(F.col("class").alias("a"), F.col("head.class").alias("b")).distinct())
+        bounded = map_batches(pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "vector_a", "n_b", "vector_b"),
+                              bounds, "a bigint, b bigint, share double")
+        best = materialize(bounded.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best"))
+                           .select("a", F.col("best.b").alias("b")))
+        return materialize(verified(best, _wanted_sets(docs, best, classes, words), percent))
+
+    def mixed_trees(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The components that the links give, and the points of the trees that hold several."""
+        merged = connected_components(links).withColumnRenamed("node", "class")
+        held = trees.join(merged, "class", "left").select("token", "class", F.coalesce("component", "class").alias("component"))
+        several = (held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+                   .where("low <> high").select("token", "m"))
+        return merged, materialize(held.join(several, "token"))
+
+    # 1. nearby: a few rounds in which each class meets the best of one class from each tree
+    links = star(trees.where(F.col("place") < PROBES).withColumn("component", F.col("class")), 0)
+    _, mixed = mixed_trees(links)
     release(spark)
+    for salt in range(1, STARS):
+        links = materialize(links.union(star(mixed, salt)))
+        _, mixed = mixed_trees(links)
+        release(spark)
 
-    # 2. join of the trees that hold several components
-    held = (trees.join(merged.withColumnRenamed("node", "class"), "class", "left")
-            .select("token", "class", F.coalesce("component", "class").alias("component")))
-    mixed = materialize(held.join(
-        held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("class").alias("head"))
-        .where("low <> high").select("token", "head"), "token"))
-    # trees that share a point are joined as one, unless that is too large: then each by itself
-    clusters = connected_components(mixed.select(F.col("class").alias("a"), F.col("head").alias("b")))
-    large = clusters.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > CLUSTER).select("component")
-    whole = (clusters.join(large, "component", "left_anti")
-             .select(F.lit(0).alias("kind"), F.col("component").alias("tree"), F.col("node").alias("class")))
-    apart = clusters.join(large, "component", "left_semi").select(F.col("node").alias("class"))
-    single = mixed.join(apart, "class", "left_semi").select(F.lit(1).alias("kind"), F.col("token").alias("tree"), "class")
-    members = materialize(whole.unionByName(single).join(merged.withColumnRenamed("node", "class"), "class", "left")
-                          .select("kind", "tree", "class", F.coalesce("component", "class").alias("component")))
-    tiles = (members.groupBy("kind", "tree").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
-             .where("low <> high").select("kind", "tree", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+    # 2. join of the trees that still hold several components, each by itself
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
     # each point goes to every pair of tiles that its own tile is part of
-    points = (members.join(tiles, ["kind", "tree"]).join(vectors, "class")
+    points = (mixed.withColumn("tiles", tiles).join(vectors, "class")
               .withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
               .withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("tiles") - 1)))
-              .select("kind", "tree", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
+              .select(F.col("token").alias("tree"), F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
                       (F.col("tile") <= F.col("other")).alias("left"), "class", "component", "n", "vector"))
-    unit = ["kind", "tree", "tile_a", "tile_b"]
+    unit = ["tree", "tile_a", "tile_b"]
     across = materialize(points.repartition(*unit).sortWithinPartitions(*unit)
                          .mapInArrow(lambda batches: tile_pairs(batches, percent), "a bigint, b bigint").distinct())
     more = materialize(verified(across, _wanted_sets(docs, across, classes, words), percent))
