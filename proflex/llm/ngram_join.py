@@ -18,7 +18,7 @@ and each pair of tiles is a task of its own.
 
 1. Nearby: among the first PROBES prefix n-grams each class meets one other class of its tree;
    the best by the count bound is verified, and union-find merges what linked.  STARS - 1 times
-   more, in all trees that hold several components, each class meets one class of another
+   more, in those of these trees that hold several components, each class meets one class of another
    component: so a large group of near copies becomes one component at a few verifications each.
 2. Join: trees that still hold several components are joined with themselves.  Boxes whose bound
    or size rules out every pair are skipped, points of one component also; the pairs left are
@@ -59,7 +59,7 @@ PERCENT = 85
 GROUPS = 256
 PROBES = 4
 TILE = 2048
-STARS = 3           # rounds in which a class meets one class of each of its trees
+STARS = 2           # rounds in which a class meets one class in each of its first trees
 LEAF = 32
 SEEN = 500_000      # classes a task remembers
 SLICES = 64
@@ -335,21 +335,22 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            .select("a", F.col("best.b").alias("b")))
         return materialize(verified(best, _wanted_sets(docs, best, classes, words), percent))
 
-    def mixed_trees(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The components that the links give, and the points of the trees that hold several."""
+    def still_mixed(points: DataFrame, links: DataFrame) -> DataFrame:
+        """The points of the trees that hold several components; a tree of one keeps to one."""
         merged = connected_components(links).withColumnRenamed("node", "class")
-        held = trees.join(merged, "class", "left").select("token", "class", F.coalesce("component", "class").alias("component"))
+        held = (points.select("token", "class", "place").join(merged, "class", "left")
+                .select("token", "class", "place", F.coalesce("component", "class").alias("component")))
         several = (held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
                    .where("low <> high").select("token", "m"))
-        return merged, materialize(held.join(several, "token"))
+        return materialize(held.join(several, "token"))
 
-    # 1. nearby: a few rounds in which each class meets the best of one class from each tree
+    # 1. nearby: a few rounds in which each class meets the best of one class from a few trees
     links = star(trees.where(F.col("place") < PROBES).withColumn("component", F.col("class")), 0)
-    _, mixed = mixed_trees(links)
+    mixed = still_mixed(trees, links)
     release(spark)
     for salt in range(1, STARS):
-        links = materialize(links.union(star(mixed, salt)))
-        _, mixed = mixed_trees(links)
+        links = materialize(links.union(star(mixed.where(F.col("place") < PROBES), salt)))
+        mixed = still_mixed(mixed, links)
         release(spark)
 
     # 2. join of the trees that still hold several components, each by itself
