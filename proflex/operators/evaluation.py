@@ -111,6 +111,7 @@ def rename_labels(df: DataFrame, col: str, mapping: dict[str, str] | None = None
 
 def rank_importances(imp: DataFrame) -> DataFrame:
     """Features in ascending order of mean importance (rank 1 = least important).
+    Means that agree to 12 digits are ties, which go by name, as sums of shares differ in the last bits.
     The table has one row per feature, so the global window is tiny."""
-    w = Window.orderBy(F.col("importance_mean"), F.col("feature"))
+    w = Window.orderBy(F.round("importance_mean", 12), F.col("feature"))
     return imp.withColumn("rank", F.row_number().over(w))

@@ -5,10 +5,11 @@ aggregate for the moment-based models) and scoring is a column expression or a S
 transform, so prediction never moves data to the driver.
 
 Estimators (reference defaults -> Spark):
-  M10 logistic regression, L2, C = 1       -> LogisticRegression(regParam = 1 / (C n))
-  M11 logistic regression with 5-fold CV   -> CrossValidator over C = 10^linspace(-4, 4, 10)
-  M12 RBF support vector classifier        -> random Fourier features (gamma = 1/d) + one-vs-rest
-                                              LinearSVC (an approximation; Spark has no kernel SVM)
+  M10 logistic regression, L2, C = 1       -> logistic_grid, one problem run to convergence
+  M11 logistic regression with 5-fold CV   -> logistic_grid, C = 10^linspace(-4, 4, 10) on 5 class-balanced folds,
+                                              all fits together, the best C fitted again on all rows
+  M12 RBF support vector classifier        -> pairwise_svm, one machine for each pair of classes over
+                                              random Fourier features (gamma = 1/d; an approximation)
   M13 random forest, seed 0                -> RandomForestClassifier(numTrees=100, seed=0)
   M14 one-hidden-layer perceptron, seed 0  -> MultilayerPerceptronClassifier([d, 100, k])
   M15 / M16 LDA / QDA                      -> class moments in one aggregate, scoring as columns
@@ -18,21 +19,20 @@ Estimators (reference defaults -> Spark):
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import LEVELS
 from .comoments import grouped_moments
+from .logistic_grid import Problem, fit_logistic
+from .pairwise_svm import fit_pairwise, known_rows
+from .sampling import range_rank, salted_rank, stratified_folds
 
 # ---- H1: nearest centroid ------------------------------------------------------------------
 
@@ -70,55 +70,68 @@ def _indexer(label: str) -> StringIndexer:
                          handleInvalid="keep")
 
 
-def estimator(name: str, n_train: int, n_features: int, n_classes: int = len(LEVELS)):
-    """The Spark estimator standing in for each reference classifier."""
-    if name == "logistic_regression":
-        return LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
-                                  regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, maxIter=200, tol=1e-4)
-    if name == "logistic_regression_cv":
-        lr = LogisticRegression(featuresCol="features", labelCol="label_idx", family="multinomial",
-                                elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-4)
-        cs = [10 ** x for x in np.linspace(-4, 4, 10)]
-        grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in cs]).build()
-        return CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=5, parallelism=4, seed=0,
-                              evaluator=MulticlassClassificationEvaluator(labelCol="label_idx",
-                                                                          metricName="accuracy"))
+def estimator(name: str, n_features: int, n_classes: int = len(LEVELS)):
+    """The Spark ML estimator of the two models that Spark has; iterations end at 10,000 or convergence."""
     if name == "random_forest":
         return RandomForestClassifier(featuresCol="features", labelCol="label_idx", numTrees=100,
                                       featureSubsetStrategy="sqrt", maxDepth=30, seed=0)
     if name == "mlp":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label_idx",
-                                              layers=[n_features, 100, n_classes], seed=0, maxIter=200,
+                                              layers=[n_features, 100, n_classes], seed=0, maxIter=10_000,
                                               tol=1e-4)
-    if name == "svc_rbf":
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=100, tol=1e-3),
-                         featuresCol="rff", labelCol="label_idx")
     raise ValueError(name)
 
 
-def random_fourier(df: DataFrame, features: list[str], dim: int = 200, gamma: float | None = None,
-                   seed: int = 0, out: str = "rff") -> DataFrame:
-    """Random Fourier features for the RBF kernel exp(-gamma |x - y|^2) (Rahimi & Recht 2007):
-    z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
-
-    A matrix product per Arrow batch (numpy): 200 cosine columns as one column expression
-    would exceed the 64 KB generated-method limit and fall back to interpretation."""
-    from pyspark.ml.functions import array_to_vector
-    d = len(features)
-    gamma = gamma if gamma is not None else 1.0 / d
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), size=(dim, d))
-    b = rng.uniform(0, 2 * math.pi, size=dim)
-    scale = math.sqrt(2.0 / dim)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(x: pd.Series) -> pd.Series:
-        m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, d))
-        z = scale * np.cos(m @ w.T + b)
-        return pd.Series(list(z))
-
-    return df.withColumn(out, array_to_vector(project(F.array(*[F.col(f).cast("double") for f in features]))))
+CV_PENALTIES = [10.0 ** x for x in np.linspace(-4, 4, 10)]
+CV_FOLDS = 5
+
+
+def _whole(d: int, n: float, c: float, fold: int | None = None) -> Problem:
+    """All features, which are standardised already."""
+    return Problem(fold, np.ones(d), np.zeros(d), np.ones(d), n, c)
+
+
+def _linear_label(problem: Problem, classes: list[str], features: list[str]) -> Column:
+    """The class of the largest score, the smaller label among equals."""
+    w, b = problem.raw()
+    score = [F.struct((-sum((F.col(f) * float(v) for f, v in zip(features, w[i])), F.lit(float(b[i])))).alias("s"), F.lit(c).alias("c"))
+             for i, c in enumerate(classes)]
+    return F.when(known_rows(features), F.array_min(F.array(*score))["c"])
+
+
+def fit_logistic_model(train: DataFrame, features: list[str], label: str = "prof_level", c: float = 1.0) -> Column:
+    """Multinomial logistic regression as a column."""
+    known = train.where(known_rows(features) & F.col(label).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    classes = sorted(sizes)
+    fitted, = fit_logistic(known, features, classes, [_whole(len(features), sum(sizes.values()), c)], label)
+    return _linear_label(fitted, classes, features)
+
+
+def choose_penalty(train: DataFrame, features: list[str], label: str = "prof_level", key: str = "doc_id",
+                   penalties: list[float] = CV_PENALTIES, folds: int = CV_FOLDS, seed: int = 0) -> tuple[float, list[float]]:
+    """The C of the best mean accuracy over class-balanced folds (the smallest of equals) and
+    the accuracies; the fits of all folds and penalties share every pass over the rows."""
+    from .cvmoments import score_models
+    known = train.where(known_rows(features) & F.col(label).isNotNull())
+    folded = stratified_folds(known, folds, key, label, seed).checkpoint(eager=True)
+    sizes = {(r[0], r[1]): r[2] for r in folded.groupBy("fold", label).count().collect()}
+    classes, n = sorted({k for _, k in sizes}), sum(sizes.values())
+    held = {k: sum(v for (f, _), v in sizes.items() if f == k) for k in sorted({f for f, _ in sizes})}
+    asked = [(i, _whole(len(features), n - held[k], c, k)) for k in held for i, c in enumerate(penalties) if held[k] < n]
+    fitted = fit_logistic(folded, features, classes, [p for _, p in asked], label, "fold")
+    rows = []
+    for (i, _), p in zip(asked, fitted):
+        w, b = p.raw()
+        rows += [("logistic_regression", i, p.fold, k, [0.0] * len(features), w[j].tolist(), float(b[j])) for j, k in enumerate(classes)]
+    if not rows:
+        return penalties[0], []
+    hits = score_models(folded, features, rows, key, label).groupBy("n_features", "fold") \
+        .agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc")) \
+        .groupBy("n_features").agg(F.avg("acc").alias("acc"))
+    scores = {r["n_features"]: round(r["acc"], 12) for r in hits.collect()}
+    best = max(scores, key=lambda i: (scores[i], -i))
+    return penalties[best], [scores[i] for i in sorted(scores)]
 
 
 def fit(name: str, train: DataFrame, features: list[str], label: str = "prof_level"):
@@ -132,24 +145,23 @@ def fit(name: str, train: DataFrame, features: list[str], label: str = "prof_lev
         model = fit_discriminant(train, features, label, quadratic=(name == "qda"))
         return lambda df, key="doc_id", keep=(): df.select(key, F.col(label).alias("label"),
                                                            model.alias("prediction"), *keep)
-    n_train = train.count()
-    # iterative solvers run one job per iteration: size the partitions to the data (about a
-    # million rows each) so small training sets do not pay per-task overhead, then keep it
-    rows_per_part = 1_000_000
-    parts = max(1, -(-n_train // rows_per_part))
-    if parts < train.rdd.getNumPartitions():
-        train = train.coalesce(parts)
+    if name in ("logistic_regression", "logistic_regression_cv", "svc_rbf"):
+        if name == "svc_rbf":
+            guess = fit_pairwise(train, features, label).column(features)
+        else:
+            c = choose_penalty(train, features, label)[0] if name == "logistic_regression_cv" else 1.0
+            guess = fit_logistic_model(train, features, label, c)
+        return lambda df, key="doc_id", keep=(): df.where(known_rows(features)).select(
+            key, F.col(label).alias("label"), guess.alias("prediction"), *keep)
     train = train.persist()
     idx = _indexer(label).fit(train)
-    stages = [idx, _assembler(features),
-              estimator(name, n_train, len(features)),
+    stages = [idx, _assembler(features), estimator(name, len(features), len(idx.labels) + 1),
               IndexToString(inputCol="prediction", outputCol="pred_label", labels=idx.labels)]
-    prep = (lambda d: random_fourier(d, features)) if name == "svc_rbf" else (lambda d: d)
-    model: PipelineModel = Pipeline(stages=stages).fit(prep(train))
+    model: PipelineModel = Pipeline(stages=stages).fit(train)
     train.unpersist()
 
     def predict(df: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-        out = model.transform(prep(df))
+        out = model.transform(df)
         return out.select(key, F.col(label).alias("label"), F.col("pred_label").alias("prediction"), *keep)
     return predict
 
@@ -204,45 +216,61 @@ def fit_discriminant(train: DataFrame, features: list[str], label: str = "prof_l
 
 # ---- M28: permutation importance ---------------------------------------------------------------
 
-def permutation_importance(test: DataFrame, features: list[str], predict, n_repeats: int = 10,
+class AdditiveModel(NamedTuple):
+    """A model whose score is a sum over the features: class c costs
+    offset[c] + sum over f of weight[c][f] * (x_f - centre[c][f])^2 + slope[c][f] * x_f.
+    The smallest cost wins, the smaller label among equals.  Classes ascend."""
+    classes: list[str]
+    centre: list[list[float]]
+    weight: list[list[float]]
+    slope: list[list[float]]
+    offset: list[float]
+
+    @classmethod
+    def of_centroids(cls, centroids: dict) -> AdditiveModel:
+        means = [[float(v) for v in centroids[c]] for c in sorted(centroids)]
+        return cls(sorted(centroids), means, [[1.0] * len(m) for m in means], [[0.0] * len(m) for m in means], [0.0] * len(means))
+
+    def term(self, c: int, f: int | Column, x: Column) -> Column:
+        """What feature number f with value x adds to the cost of class number c."""
+        def at(table):
+            return F.lit(table[c][f]) if isinstance(f, int) else F.get(F.array(*[F.lit(v) for v in table[c]]), f)
+        apart = x - at(self.centre)
+        return at(self.weight) * (apart * apart) + at(self.slope) * x
+
+    def winner(self, costs: list[Column]) -> Column:
+        return F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(c).alias("c")) for d, c in zip(costs, self.classes)]))["c"]
+
+
+def permutation_importance(test: DataFrame, features: list[str], model: AdditiveModel, n_repeats: int = 10,
                            seed: int = 0, key: str = "doc_id", label: str = "prof_level",
                            balanced: bool = False) -> DataFrame:
     """Importance of each feature = baseline score - score after permuting that feature's
     column, mean and population sd over repeats; ONE job for all (feature, repeat) pairs.
 
-    `predict(df) -> Column` is a fitted model as a column expression.  The permutation of
-    (feature f, repeat r) pairs row j (rank by key) with row j in md5(seed:r:f:key) order.
-    Ranks are windows over the test split, which is a sample of bounded size (n per level)."""
-    from pyspark.sql import Window
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                      for f in features for r in range(n_repeats)])
-    base_rank = test.withColumn("_rn", F.row_number().over(Window.orderBy(key)))
-    grid = base_rank.select("*", F.explode(pairs).alias("_fr")) \
-                    .select("*", F.col("_fr.feature").alias("feature"), F.col("_fr.rep").alias("rep")).drop("_fr")
-    value = F.coalesce(*[F.when(F.col("feature") == f, F.col(f)) for f in features])
-    perm_key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("feature"),
-                                 F.col(key).cast("string")))
-    donors = grid.select("feature", "rep", value.alias("_v"),
-                         F.row_number().over(Window.partitionBy("feature", "rep").orderBy(perm_key, key))
-                         .alias("_prn"))
-    permuted = grid.join(donors, (grid["feature"] == donors["feature"]) & (grid["rep"] == donors["rep"])
-                         & (grid["_rn"] == donors["_prn"])) \
-                   .select(grid["*"], donors["_v"])
-    swapped = permuted.select(key, label, grid["feature"].alias("feature"), grid["rep"].alias("rep"),
-                              *[F.when(F.col("feature") == f, F.col("_v")).otherwise(F.col(f)).alias(f)
-                                for f in features])
-    scored = swapped.select("feature", "rep", F.col(label).alias("label"), predict(swapped).alias("prediction"))
-    hit = (F.col("label") == F.col("prediction")).cast("double")
-    if balanced:
-        per_cls = scored.groupBy("feature", "rep", "label").agg(F.avg(hit).alias("_r"))
-        score = per_cls.groupBy("feature", "rep").agg(F.avg("_r").alias("score"))
-        b = test.select(F.col(label).alias("label"), predict(test).alias("prediction")) \
-                .groupBy("label").agg(F.avg(hit).alias("_r")).agg(F.avg("_r").alias("base"))
-    else:
-        score = scored.groupBy("feature", "rep").agg(F.avg(hit).alias("score"))
-        b = test.select(F.col(label).alias("label"), predict(test).alias("prediction")) \
-                .agg(F.avg(hit).alias("base"))
-    base = b.first()["base"]  # one number: the baseline score of the fitted model
-    drops = score.withColumn("base", F.lit(base))
-    return drops.groupBy("feature").agg(F.avg(F.col("base") - F.col("score")).alias("importance_mean"),
-                                        F.stddev_pop(F.col("base") - F.col("score")).alias("importance_sd"))
+    The permutation of (feature f, repeat r) pairs row j (rank by key) with row j in
+    md5(seed:r:f:key) order.  Both ranks are split (`range_rank`, `salted_rank`), so no task sorts the test
+    rows.  A row travels once, with its class costs; each of its permuted values comes to it by
+    rank as a row of one number and changes the costs by the feature's own term.  Keys are distinct numbers."""
+    d = len(features)
+    x = F.array(*[F.col(f).cast("double") for f in features])
+    costs = [sum((model.term(c, f, F.col(name).cast("double")) for f, name in enumerate(features)), F.lit(model.offset[c]))
+             for c in range(len(model.classes))]
+    rows = range_rank(test.select(key, F.col(label).alias("label"), x.alias("_x"), F.array(*costs).alias("_cost")), key, "_rn")
+    pairs = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(r).alias("rep")) for f in range(d) for r in range(n_repeats)])
+    given = test.select(key, x.alias("_x"), F.explode(pairs).alias("_fr")) \
+                .select(key, "_fr._f", "_fr.rep", F.get("_x", F.col("_fr._f")).alias("_v"))
+    names = F.array(*[F.lit(f) for f in features])
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.get(names, F.col("_f")), F.col(key).cast("string")))
+    given = salted_rank(given, ["_f", "rep"], order, key, "_rn").drop(key)
+    met = rows.join(given, "_rn")
+    now = F.get("_x", F.col("_f"))
+    swapped = [F.get("_cost", F.lit(c)) - model.term(c, F.col("_f"), now) + model.term(c, F.col("_f"), F.col("_v"))
+               for c in range(len(model.classes))]
+    hits = met.groupBy("_f", "rep", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == model.winner(swapped)).alias("h"))
+    before = test.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == model.winner(costs)).alias("h"))
+    score = F.avg(F.col("h") / F.col("n")) if balanced else F.sum("h") / F.sum("n")
+    base = before.agg(score.alias("base")).first()["base"]  # one number: the baseline score of the fitted model
+    drop = F.lit(base) - F.col("score")
+    return hits.groupBy("_f", "rep").agg(score.alias("score")) \
+        .groupBy(F.get(names, F.col("_f")).alias("feature")).agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_sd"))

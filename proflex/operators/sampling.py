@@ -80,6 +80,20 @@ def salted_rank(df: DataFrame, partition: list[str], order_key: Column, tie: str
     prefix, ranked inside (partition, bucket), and shifted by the sizes of the earlier
     buckets (a tiny per-bucket count table)."""
     d = df.withColumn("_ok", order_key).withColumn("_bk", hash_bucket(F.col("_ok")))
+    return _bucket_rank(d, partition, tie, out)
+
+
+def range_rank(df: DataFrame, key: str, out: str = "rank", buckets: int = 256) -> DataFrame:
+    """Exact `row_number() over (order by key)` for a numeric key, ranked in ranges of the key.
+    The cuts between them (one row of `buckets` numbers) only set the size of the ranges; nulls come first."""
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    cuts = df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    return _bucket_rank(df.withColumn("_ok", F.col(key)).withColumn("_bk", F.when(F.col(key).isNull(), -1).otherwise(bucket)), [], key, out)
+
+
+def _bucket_rank(d: DataFrame, partition: list[str], tie: str, out: str) -> DataFrame:
+    """Rank by (_ok, tie), where _bk does not fall as _ok rises."""
     counts = d.groupBy(*partition, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     w_off = Window.partitionBy(*partition).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w_off), F.lit(0))).drop("_n")

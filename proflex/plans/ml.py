@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators.models import fit, fit_centroids, fit_predict, nearest_centroid, permutation_importance
+from ..operators.models import AdditiveModel, fit, fit_centroids, fit_predict, permutation_importance
 from ..operators.sampling import stratified_folds, test_split, train_split
 from ..operators.selection import anova_f, fit_standardizer, select_k_best, standardize
 from ..session import ensure_checkpoint_dir
@@ -69,24 +69,12 @@ def test_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_cen
 
 
 def oof_predictions(spark: SparkSession, sf_dir: str, model: str = "nearest_centroid") -> DataFrame:
-    """M22 registered form: 10 class-balanced folds of the standardised train split, top-k
-    features chosen on the train split, the nearest-centroid model refitted per fold.
-
-    All ten fits come from one per-(fold, class) moment aggregate; rows are scored against
-    their own fold's centroids in one pass."""
-    from ..operators.cvmoments import centroid_rows, fold_moments, score_models
-    tr, _ = scaled_splits(spark, sf_dir)
-    feats = selected(tr)
-    folded = stratified_folds(tr, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
-    if model != "nearest_centroid":
-        parts = [fit_predict(model, folded.where(F.col("fold") != k), folded.where(F.col("fold") == k),
-                             feats, keep=("fold",)) for k in range(FOLDS)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    rows = centroid_rows(fold_moments(folded, MODEL_FEATURES), MODEL_FEATURES, [feats])
-    return score_models(folded, MODEL_FEATURES, rows).select("doc_id", "label", "prediction", "fold")
+    """Out-of-fold predictions over 10 class-balanced folds; scaling, top-k choice and model are
+    fitted on the training folds of each fold."""
+    from ..operators.cvmoments import cv_predictions
+    train, _ = splits(spark, sf_dir)
+    folded = stratified_folds(train, FOLDS, "doc_id", "prof_level", SEED).checkpoint(eager=True)
+    return cv_predictions(folded, MODEL_FEATURES, [model], [TOP_K]).select("doc_id", "label", "prediction", "fold")
 
 
 def cv_grid(spark: SparkSession, sf_dir: str, models: list[str], sizes: list[int],
@@ -147,12 +135,26 @@ def one_feature_discriminants(spark: SparkSession, sf_dir: str, feature: str = "
                      fit_discriminant(tr, [feature], quadratic=True).alias("qda"))
 
 
-def importance(spark: SparkSession, sf_dir: str, balanced: bool = False) -> DataFrame:
-    """M28 + M29 + P6 with the nearest-centroid model on all model features."""
-    tr, te = scaled_splits(spark, sf_dir)
-    cents = fit_centroids(tr, MODEL_FEATURES)
-    imp = permutation_importance(te, MODEL_FEATURES, lambda d: nearest_centroid(cents, MODEL_FEATURES),
-                                 n_repeats=10, seed=SEED, balanced=balanced)
+#: Seed and rows per level of the second validation set.
+SECOND_SEED, SECOND_ROWS = 1, 60
+
+
+def second_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is left of the train rows, and a second validation set drawn from them whose levels differ in size:
+    two are drawn in equal parts of their text types, two are not."""
+    train, _ = splits(spark, sf_dir)
+    second = test_split(train, SECOND_ROWS, "doc_id", SECOND_SEED, ("A2", "B2"), ("B1", "C1"))
+    return train_split(train, second), second
+
+
+def importance(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    """M28 + M29 + P6 with the nearest-centroid model on all model features: accuracy on the test rows,
+    balanced accuracy on the second validation set."""
+    tr, te = second_splits(spark, sf_dir) if second else splits(spark, sf_dir)
+    params = fit_standardizer(tr, MODEL_FEATURES)
+    tr, te = standardize(tr, params), standardize(te, params)
+    model = AdditiveModel.of_centroids(fit_centroids(tr, MODEL_FEATURES))
+    imp = permutation_importance(te, MODEL_FEATURES, model, n_repeats=10, seed=SEED, balanced=second)
     ranked = ev.rank_importances(imp)
     return ev.rename_labels(ranked.withColumn("display_name", F.col("feature")), "display_name")
 

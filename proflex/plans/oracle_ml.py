@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .ml import FOLDS, MODEL_FEATURES, SEED, TOP_K
+from .ml import FOLDS, MODEL_FEATURES, SECOND_ROWS, SECOND_SEED, SEED, TOP_K
 from .oracle import feature_sql
 
 F = MODEL_FEATURES
@@ -39,14 +39,32 @@ test AS (SELECT * EXCLUDE (rn) FROM strat UNION ALL SELECT * EXCLUDE (rn) FROM s
 train AS (SELECT * FROM lab WHERE doc_id NOT IN (SELECT doc_id FROM test))"""
 
 
-def _scaled() -> str:
+def _second_splits() -> str:
+    """The second validation set as `test`, what is left of the train rows as `train`."""
+    return _splits().replace("train AS (", "train1 AS (") + f""",
+quota2 AS (
+  SELECT prof_level, CAST(floor({SECOND_ROWS} / (count(DISTINCT text_type)
+         + max(CASE WHEN text_type IS NULL THEN 1 ELSE 0 END))) AS INTEGER) AS per
+  FROM train1 GROUP BY prof_level),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY prof_level, text_type ORDER BY md5('{SECOND_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS of_type,
+         row_number() OVER (PARTITION BY prof_level ORDER BY md5('{SECOND_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS of_level
+  FROM train1),
+second AS (
+  SELECT d.* EXCLUDE (of_type, of_level) FROM drawn d JOIN quota2 q USING (prof_level)
+  WHERE (prof_level IN ('A2', 'B2') AND text_type IS NOT NULL AND of_type <= q.per)
+     OR (prof_level IN ('B1', 'C1') AND of_level <= {SECOND_ROWS})),
+rest AS (SELECT * FROM train1 WHERE doc_id NOT IN (SELECT doc_id FROM second))"""
+
+
+def _scaled(splits: str | None = None, train: str = "train", test: str = "test") -> str:
     params = ", ".join(f'avg("{f}") AS "m_{f}", coalesce(nullif(stddev_pop("{f}"), 0), 1.0) AS "s_{f}"'
                        for f in F)
     sc = ", ".join(f'("{f}" - "m_{f}") / "s_{f}" AS "{f}"' for f in F)
-    return _splits() + f""",
-params AS (SELECT {params} FROM train),
-train_s AS (SELECT doc_id, prof_level, text_type, {sc} FROM train, params),
-test_s AS (SELECT doc_id, prof_level, text_type, {sc} FROM test, params)"""
+    return (splits or _splits()) + f""",
+params AS (SELECT {params} FROM {train}),
+train_s AS (SELECT doc_id, prof_level, text_type, {sc} FROM {train}, params),
+test_s AS (SELECT doc_id, prof_level, text_type, {sc} FROM {test}, params)"""
 
 
 def _anova(src: str = "train_s") -> str:
@@ -186,15 +204,10 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
 
 
 def _oof() -> str:
-    folds = f""",
-folded AS (
-  SELECT *, CAST((row_number() OVER (PARTITION BY prof_level
-           ORDER BY md5('{SEED}:fold:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % {FOLDS} AS INTEGER) AS fold
-  FROM train_s),
-fold_ids AS (SELECT DISTINCT fold AS fid FROM folded),
-fit_rows AS (SELECT f.fid, r.* FROM fold_ids f JOIN folded r ON r.fold <> f.fid),
-held AS (SELECT fold AS fid, * FROM folded)"""
-    return _scaled() + _anova() + folds + _centroid_predict("fit_rows", "held", "oof", part="fid")
+    return f"""{_grid([TOP_K])},
+oof AS (
+  SELECT doc_id, prof_level, fold, cls AS prediction FROM far
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, cls) = 1)"""
 
 
 def oof_sql() -> str:
@@ -216,14 +229,16 @@ SELECT round(avg(f), 6) AS f1_mean, round(stddev_pop(f), 6) AS f1_sd,
 FROM (SELECT fold, avg(precision) AS p, avg(recall) AS r, avg(f1) AS f FROM prf GROUP BY fold)"""
 
 
-def importance_sql(n_repeats: int = 10) -> str:
+def importance_sql(n_repeats: int = 10, second: bool = False) -> str:
     from ..constants import DISPLAY_NAMES
     feats = ", ".join(f"('{f}')" for f in F)
     value = "CASE feature " + " ".join(f"WHEN '{f}' THEN \"{f}\"" for f in F) + " END"
     swapped = ", ".join(f"CASE WHEN g.feature = '{f}' THEN d.v ELSE g.\"{f}\" END AS \"{f}\"" for f in F)
     names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DISPLAY_NAMES.items())
-    return f"""WITH {_scaled()},
-sel AS (SELECT feature FROM (VALUES {feats}) t(feature)),
+    scaled = _scaled(_second_splits(), "rest", "second") if second else _scaled()
+    hit = "CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END"
+    by_class = ", prof_level" if second else ""
+    return f"""WITH {scaled},
 fr AS (SELECT feature, rep FROM (VALUES {feats}) t(feature), range(0, {n_repeats}) r(rep)),
 based AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM test_s),
 grid AS (SELECT b.*, fr.feature, fr.rep FROM based b, fr),
@@ -238,12 +253,11 @@ swapped AS (
 perm_rows AS (SELECT doc_id || ':' || pf || ':' || CAST(rep AS VARCHAR) AS doc_key, * FROM swapped)
 {_centroid_predict("train_s", "test_s", "pbase", selected=False)}
 {_centroid_predict("train_s", "perm_rows", "pperm", selected=False, row_key="doc_key")},
-base_score AS (SELECT avg(CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END) AS b FROM pbase),
-scores AS (SELECT pf AS feature, rep, avg(CASE WHEN prof_level = prediction THEN 1.0 ELSE 0.0 END) AS s
-           FROM pperm GROUP BY pf, rep),
+base_score AS (SELECT avg(h) AS b FROM (SELECT avg({hit}) AS h FROM pbase{" GROUP BY prof_level" if second else ""})),
+scores AS (SELECT feature, rep, avg(h) AS s FROM (SELECT pf AS feature, rep{by_class}, avg({hit}) AS h FROM pperm GROUP BY pf, rep{by_class}) GROUP BY feature, rep),
 imp AS (SELECT feature, avg(b - s) AS m, stddev_pop(b - s) AS sd FROM scores, base_score GROUP BY feature)
 SELECT feature, round(m, 6) AS importance_mean, round(sd, 6) AS importance_sd,
-       CAST(row_number() OVER (ORDER BY m, feature) AS INTEGER) AS rank,
+       CAST(row_number() OVER (ORDER BY round(m, 12), feature) AS INTEGER) AS rank,
        CASE feature {names} ELSE feature END AS display_name
 FROM imp"""
 
@@ -262,10 +276,10 @@ SELECT doc_id, prof_level AS label,
 FROM test_s t"""
 
 
-def grid_sql(sizes: list[int]) -> str:
+def _grid(sizes: list[int]) -> str:
     """Scaling, ANOVA ranking and class means of all rows but those of a fold, for each fold."""
     long = " UNION ALL ".join(f"""SELECT doc_id, prof_level, fold, '{f}' AS feature, CAST("{f}" AS DOUBLE) AS x FROM folded""" for f in F)
-    return f"""WITH {_splits()},
+    return f"""{_splits()},
 folded AS (
   SELECT *, CAST((row_number() OVER (PARTITION BY prof_level
            ORDER BY md5('{SEED}:fold:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % {FOLDS} AS INTEGER) AS fold FROM train),
@@ -285,7 +299,11 @@ sizes AS (SELECT unnest({sizes}) AS n_features),
 far AS (
   SELECT l.doc_id, l.prof_level, l.fold, n_features, c.cls, sum((l.x - c.mu) * (l.x - c.mu) / variance) AS distance
   FROM long l JOIN ranked k ON k.k = l.fold AND k.feature = l.feature JOIN sizes ON r <= n_features
-  JOIN cls c ON c.k = l.fold AND c.feature = l.feature GROUP BY ALL),
+  JOIN cls c ON c.k = l.fold AND c.feature = l.feature GROUP BY ALL)"""
+
+
+def grid_sql(sizes: list[int]) -> str:
+    return f"""WITH {_grid(sizes)},
 oof AS (
   SELECT prof_level, fold * 1000 + n_features AS cell, cls AS prediction FROM far
   QUALIFY row_number() OVER (PARTITION BY doc_id, n_features ORDER BY distance, cls) = 1){_prf_cte("oof", "cell")},

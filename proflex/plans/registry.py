@@ -273,7 +273,7 @@ def m23_classification_report(spark, sf_dir):
 
 @register("m22_oof_predictions", oracle_ml.oof_sql())
 def m22_oof_predictions(spark, sf_dir):
-    """Out-of-fold predictions of 10-fold CV (nearest centroid refitted per fold)."""
+    """Out-of-fold predictions of 10-fold CV (scaling, top-k and nearest centroid refitted per fold)."""
     return ml.oof_predictions(spark, sf_dir).select("doc_id", "label", "prediction", "fold")
 
 
@@ -297,6 +297,14 @@ def m28_m29_permutation_importance(spark, sf_dir):
                                     F.col("rank").cast("int").alias("rank"), "display_name"))
 
 
+@register("m28_balanced_second_set", oracle_ml.importance_sql(second=True))
+def m28_balanced_second_set(spark, sf_dir):
+    """M28 + M29 + P6 by balanced accuracy on a second validation set with levels of different size."""
+    out = ml.importance(spark, sf_dir, second=True)
+    return round_doubles(out.select("feature", "importance_mean", "importance_sd",
+                                    F.col("rank").cast("int").alias("rank"), "display_name"))
+
+
 def _model_query(name: str):
     def q(spark, sf_dir):
         return ml.test_predictions(spark, sf_dir, name)[0].select("doc_id", "label", "prediction")

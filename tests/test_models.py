@@ -111,3 +111,68 @@ def test_logistic_grid_equals_single_fits(spark):
         centred = w - w.mean(0)        # shares do not change when all classes move alike
         np.testing.assert_allclose(p.weights - p.weights.mean(0), centred, atol=2e-4)
         np.testing.assert_allclose(x @ raw.T + b, np.column_stack([(x - p.mean) / p.sd, np.ones(240)]) @ p.weights.T, atol=1e-8)
+
+
+def test_penalty_and_logistic_model(spark):
+    """The fitted column separates clear classes, and a tiny C loses against a usual one."""
+    from proflex.operators.models import CV_PENALTIES, choose_penalty, fit_logistic_model
+    rng = np.random.default_rng(8)
+    y = np.arange(150) % 3
+    x = np.column_stack([y - 1 + rng.normal(0, 0.25, 150), rng.normal(size=150)])
+    df = spark.createDataFrame([(i, "abc"[c], float(p), float(q)) for i, (c, (p, q)) in enumerate(zip(y, x))]
+                               + [(900, "a", None, 0.0), (901, None, 0.0, 0.0)], "doc_id long, prof_level string, x double, y double")
+    got = df.select("doc_id", "prof_level", fit_logistic_model(df, ["x", "y"]).alias("g")).collect()
+    assert np.mean([r.prof_level == r.g for r in got if r.doc_id < 900]) > 0.9
+    assert {r.doc_id: r.g for r in got}[900] is None
+    c, scores = choose_penalty(df, ["x", "y"], penalties=[CV_PENALTIES[0], 1.0], folds=3)
+    assert len(scores) == 2 and scores[1] > 0.9 and c == (1.0 if scores[1] > scores[0] else CV_PENALTIES[0])
+
+
+@pytest.mark.parametrize("balanced", [False, True])
+def test_permutation_importance(spark, balanced):
+    """Against permuting the column and scoring every row anew; ids far apart, one range crowded."""
+    import hashlib
+    from proflex.operators.models import AdditiveModel, permutation_importance
+    rng = np.random.default_rng(6)
+    ids = [*range(100, 340), 10 ** 9, 5 * 10 ** 9, -7]
+    y = rng.choice(3, len(ids), p=[0.6, 0.3, 0.1])
+    x = np.column_stack([y + rng.normal(0, 0.6, len(ids)), y * 0.3 + rng.normal(size=len(ids)), rng.normal(size=len(ids))])
+    df = spark.createDataFrame([(k, "abc"[c], *map(float, r)) for k, c, r in zip(ids, y, x)],
+                               "doc_id long, prof_level string, u double, v double, w double").repartition(4)
+    names = ["u", "v", "w"]
+    cents = fit_centroids(df, names)
+    got = {r.feature: r for r in permutation_importance(df, names, AdditiveModel.of_centroids(cents), 3, 5, balanced=balanced).collect()}
+    means = np.array([cents[c] for c in "abc"])
+
+    def score(rows):
+        hit = ((rows[:, None] - means) ** 2).sum(2).argmin(1) == y
+        return np.mean([hit[y == c].mean() for c in range(3)]) if balanced else hit.mean()
+    by_key = np.argsort(ids)
+    for f, name in enumerate(names):
+        drops = []
+        for r in range(3):
+            order = sorted(range(len(ids)), key=lambda i: (hashlib.md5(f"5:{r}:{name}:{ids[i]}".encode()).hexdigest(), ids[i]))
+            moved = x.copy()
+            moved[by_key, f] = x[order, f]
+            drops.append(score(x) - score(moved))
+        assert got[name].importance_mean == pytest.approx(np.mean(drops), abs=1e-9)
+        assert got[name].importance_sd == pytest.approx(np.std(drops), abs=1e-9)
+
+
+def test_additive_linear_model(spark):
+    from proflex.operators.models import AdditiveModel
+    from pyspark.sql import functions as F
+    m = AdditiveModel(["p", "q"], [[0.0, 0.0]] * 2, [[0.0, 0.0]] * 2, [[-1.0, 2.0], [3.0, 0.5]], [0.0, 1.0])
+    row = spark.range(1).select(*[(m.term(c, 0, F.lit(2.0)) + m.term(c, F.lit(1), F.lit(4.0)) + m.offset[c]).alias(f"c{c}") for c in range(2)])
+    assert tuple(row.first()) == (6.0, 9.0)
+    assert row.select(m.winner([F.col("c0"), F.col("c1")])).first()[0] == "p"
+
+
+def test_range_rank(spark):
+    from proflex.operators.sampling import range_rank
+    keys = [None, *range(50), *range(10 ** 6, 10 ** 6 + 1000, 7), -3]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = [(r.k, r["rank"]) for r in range_rank(df, "k", buckets=8).collect()]
+    want = sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert sorted(got, key=lambda r: r[1]) == [(k, i + 1) for i, k in enumerate(want)]
+    assert range_rank(df.limit(0), "k").count() == 0
