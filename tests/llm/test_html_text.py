@@ -1,9 +1,10 @@
 """Operator 9: layouts worked out by hand, and order of all words on random trees."""
 import random
+import time
 
 import pytest
 
-from proflex.llm.html_text import extract, extract_pages
+from proflex.llm.html_text import MAX_INDENT, extract, extract_pages
 
 CASES = [
     ("", ""),
@@ -104,3 +105,46 @@ SHOWN = [
 @pytest.mark.parametrize("html,text", SHOWN)
 def test_shown_elements(html, text):
     assert extract(html) == text
+
+
+MORE = [
+    ("<details><summary>s</summary>inner<p>x</details>y", "s\ny"),
+    ("<details open><summary>s</summary>inner</details>y", "s\ninner\ny"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("<div style='display:none'>a<b style='visibility:visible'>b</b></div>d", "d"),
+    ("<ol type=a start=26><li>x<li>y</ol>", "z. x\naa. y"),
+    ("<ol type=I><li>x<li value=9>y<li>z</ol>", "I. x\nIX. y\nX. z"),
+    ("<ol reversed><li>x<li>y<li>z</ol>", "3. x\n2. y\n1. z"),
+    ("<ol reversed start=9><li>x<li>y</ol>", "9. x\n8. y"),
+    ("say <q>a <q>b</q></q>", "say “a ‘b’”"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\n   d  e\nf  g"),
+    ("<table><tr><td colspan=500>title over all<tr><td>a<td>b</table>", "title over all\na  b"),
+    ("x<!-- a > b -- c -->y<!-->z<!--->w<!-- open", "xyzw"),
+    ("x</>y</ z>w<?p q>v</", "xywv</"),
+    ("x<a href='>'>y</a><b title=\"<i>\">z</b>", "xyz"),
+    ("<p class=a class=b hidden=x>h</p><textarea>&lt;b></i></textarea>", "<b></i>"),
+    ("<script>if (a</b) '</scripts>'</script>x<style>", "x"),
+    ("x <b unfinished='", "x"),
+    ("<div/>a<svg><text>b</text><path/></svg>c", "a\nb\nc"),
+    ("<svg><text><![CDATA[a<b]]></text></svg><![CDATA[c]]>", "a<b"),
+]
+
+
+@pytest.mark.parametrize("html,text", MORE)
+def test_more_layouts(html, text):
+    assert extract(html) == text
+
+
+@pytest.mark.parametrize("html", ["<a " * 100000, "<!--" * 100000, "</a " * 100000, "<!" * 100000, "<a b='" * 100000, "<script>" * 50000,
+                                  "<textarea>" * 50000, "</" * 100000, "&" * 300000, "<p><button>" + "<div>" * 50000,
+                                  "<select>" + "<b>" * 50000 + "<option>" * 20000, "<a b" + " " * 300000 + "c>"])
+def test_linear_time(html):
+    start = time.process_time()
+    extract(html)
+    assert time.process_time() - start < 5
+
+
+def test_nested_lists_are_bounded():
+    html = "<ul><li>x" * 4000
+    text = extract(html)
+    assert text.count("x") == 4000 and len(text) < 4000 * (MAX_INDENT + 4)
