@@ -13,6 +13,10 @@ gets the logarithm of Zipf's law, -ln(r + 1) - ln(H_n).  A character outside the
 costs one token for each of its UTF-8 bytes, at a score below that of any entry.  Of several
 best splits the one with the fewest tokens counts.
 
+The trie is SHARED characters deep.  A longer pre-token goes on below it by itself, and only the
+states that an entry can still reach back to are held, so a text of one long run without white space
+takes no more memory than its characters; the counts are the same.
+
 Pre-tokens are the maximal runs without white space, each with the word mark in front.
 
 Edge cases: null, empty and blank texts have 0 pre-tokens and 0 tokens; repeated rows give
@@ -22,6 +26,7 @@ repeated results; other columns are not read; an empty table gives an empty tabl
 from __future__ import annotations
 
 import math
+from collections import Counter, deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -31,6 +36,8 @@ from .common import id_and_text, map_batches
 MARK = "▁"
 #: Trie nodes a task holds; a full trie is begun anew, which costs time only.
 TRIE_NODES = 1_500_000
+#: Depth of the trie in characters; pre-tokens seldom share more.
+SHARED = 256
 MICRO = 1_000_000
 
 
@@ -68,27 +75,33 @@ class TrieCounter:
     def insert(self, pre: str) -> int:
         """Token count of a pre-token; only nodes that are not there yet are scored."""
         node, path = self.root, [self.root]
-        for i, char in enumerate(pre):
+        for i, char in enumerate(pre[:SHARED]):
             child = node[0].get(char)
             if child is None:
                 child = node[0][char] = [{}, *self.forward(pre, i + 1, path)]
                 self.nodes += 1
             node = child
             path.append(node)
-        return node[2]
-
-    def forward(self, pre: str, end: int, path: list) -> tuple[int, int]:
-        """Best score of the prefix that ends at `end`, and the fewest tokens that reach it."""
+        if len(pre) <= SHARED:
+            return node[2]
+        held = deque(path, self.longest)
+        for end in range(SHARED + 1, len(pre) + 1):
+            held.append((None, *self.forward(pre, end, held)))
+        return held[-1][2]
+
+    def forward(self, pre: str, end: int, path: list | deque) -> tuple[int, int]:
+        """Best score of the prefix that ends at `end`, and the fewest tokens that reach it; `path` ends
+        with the state in front of it."""
         scores, best, fewest = self.scores, None, 0
         for start in range(max(0, end - self.longest), end):
             score = scores.get(pre[start:end])
             if score is not None:
-                _, before, tokens = path[start]
+                _, before, tokens = path[start - end]
                 total = before + score
                 if best is None or total > best or total == best and tokens + 1 < fewest:
                     best, fewest = total, tokens + 1
         if pre[end - 1] not in scores:
-            _, before, tokens = path[end - 1]
+            _, before, tokens = path[-1]
             total, tokens = before + self.unknown, tokens + len(pre[end - 1].encode())
             if best is None or total > best or total == best and tokens < fewest:
                 best, fewest = total, tokens
@@ -96,12 +109,17 @@ class TrieCounter:
 
     def count(self, text: str) -> tuple[int, int]:
         """(pre-tokens, tokens) of a text."""
-        words, counts = text.split(), self.counts
-        if self.nodes > self.max_nodes:
-            self.clear()
-        for word in sorted(set(words).difference(counts)):
-            counts[word] = self.insert(MARK + word)
-        return len(words), sum([counts[word] for word in words])
+        words, counts, total = text.split(), self.counts, 0
+        for word, times in sorted(Counter(words).items()):
+            count = counts.get(word)
+            if count is None:
+                if self.nodes > self.max_nodes:
+                    self.clear()
+                count = self.insert(MARK + word)
+                if len(word) < SHARED:
+                    counts[word] = count
+            total += times * count
+        return len(words), total
 
 
 def count_tokens(df: DataFrame, load_scores: Callable[[], dict[str, int]], id_col: str = "doc_id",

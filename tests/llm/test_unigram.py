@@ -1,6 +1,7 @@
 """Operator 7 against all splits of a text and against the public tokenizer library."""
 import functools
 import random
+import tracemalloc
 
 import pytest
 
@@ -36,6 +37,26 @@ def test_all_splits():
         assert counter.count("  ".join(words)) == (40, expected)
 
 
+def test_long_pretokens(monkeypatch):
+    """Below the trie the counts are those of a trie without end, and memory is bounded."""
+    rng = random.Random(4)
+    pieces = sorted({"".join(rng.choice("▁abc") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+    scores = {p: -rng.randint(1, 9) for p in pieces}
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    whole = [unigram.TrieCounter(scores).count(w) for w in words]
+    for shared in (1, 5, 6, 30):
+        monkeypatch.setattr(unigram, "SHARED", shared)
+        counter = unigram.TrieCounter(scores, max_nodes=60)
+        assert [counter.count(w) for w in words] == whole
+        assert counter.count(" ".join(words)) == (len(words), sum(t for _, t in whole))
+    monkeypatch.undo()
+    counter = unigram.TrieCounter(scores)
+    tracemalloc.start()
+    assert counter.count("ab" * 150_000)[0] == 1 and counter.nodes <= unigram.SHARED + 1
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
 def test_library_agrees():
     tokenizers = pytest.importorskip("tokenizers")
     scores = queries.unigram_scores()
