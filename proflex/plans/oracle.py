@@ -582,6 +582,22 @@ def sentences_sql() -> str:
 SELECT doc_id, sent_id, sentence FROM sents"""
 
 
+def batch_infer_sql() -> str:
+    return f"""WITH {SENTENCES_CTE}
+SELECT doc_id, sent_id, sentence, upper(substr(sentence, 1, 1)) || substr(sentence, 2) AS target FROM sents"""
+
+
+def syllable_lookup_sql() -> str:
+    return rf"""WITH {TOKENS_CTE},
+known AS (
+  SELECT DISTINCT word, regexp_replace(lower(word), '([aeiouõäöüy]+[^aeiouõäöüy])', '\1-', 'g') AS syllabified
+  FROM tok WHERE regexp_full_match(word, '\p{{L}}+') AND md5(word) < '8')
+SELECT t.doc_id, CAST(t.sent_id AS INTEGER) AS sent_id, t.idx, t.word, CAST(CASE
+  WHEN k.word IS NOT NULL THEN length(k.syllabified) - length(replace(k.syllabified, '-', '')) + 1
+  ELSE greatest(1, len(regexp_extract_all(lower(t.word), '[aeiouõäöüy]+'))) END AS INTEGER) AS syllables
+FROM tok t LEFT JOIN known k ON t.word = k.word"""
+
+
 def corrected_sql() -> str:
     return f"""WITH {SENTENCES_CTE}{DICT_CTE}{CORRECTED_CTE}
 SELECT doc_id, sent_id, sentence, spell_target, case_target FROM corrected"""

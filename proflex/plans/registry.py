@@ -519,14 +519,25 @@ def _capitalise_batch(batch: list[str]) -> list[str]:
     return [s[:1].upper() + s[1:] for s in batch]
 
 
-@register("t11_batch_infer")
+@register("t11_batch_infer", oracle.batch_infer_sql())
 def t11_batch_infer(spark, sf_dir):
     """A per-batch sentence model (here: capitalise the first letter) run on Arrow
-    batches of <= 10 sentences / <= 1,000 tokens, outputs in input order (rows-only)."""
+    batches of <= 10 sentences / <= 1,000 tokens, outputs in input order."""
     from ..operators.correction import batch_infer
     return batch_infer(sentences(spark, sf_dir), _capitalise_batch)
 
 
+@register("j6_syllables", oracle.syllable_lookup_sql())
+def j6_syllables(spark, sf_dir):
+    """Syllables of every token from a table of hyphenated words, which holds half of the words of
+    the documents (by md5); vowel groups for the rest."""
+    from ..operators.lookups import syllable_lookup
+    t = token_table(spark, sf_dir).select("doc_id", "sent_id", "idx", "word")
+    known = t.select("word").where(F.col("word").rlike(r"^\p{L}+$") & (F.md5("word") < "8")).distinct()
+    cut = F.regexp_replace(F.lower("word"), "([aeiouõäöüy]+[^aeiouõäöüy])", "$1-")
+    return syllable_lookup(t, known.select("word", cut.alias("syllabified")))
+
+
 @register("t8_chain", oracle.chain_sql())
 def t8_chain(spark, sf_dir):
     """The correction list, then the speller (T10) in the context of each sentence."""

@@ -42,22 +42,35 @@ def scan_texts(spark: SparkSession, paths: list[str] | str, glob: str = "*.txt")
         F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"\s+$", "").alias("text"))
 
 
-def write_tagged(tokens: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Six-column TSV with header (Index, Word, Lemma, Upos, Xpos, Feats); nulls as `None`."""
-    out = tokens.select(F.col("idx").alias("Index"), F.col("word").alias("Word"),
-                        F.col("lemma").alias("Lemma"), F.col("upos").alias("Upos"),
-                        F.col("xpos").alias("Xpos"), F.col("feats").alias("Feats"),
-                        *([partition_by] if partition_by else []))
-    w = out.write.mode("overwrite").option("sep", "\t").option("header", True) \
-           .option("quote", "").option("nullValue", "None")
+def write_tagged(tokens: DataFrame, path: str, partition_by: str | None = None, fmt: str = "parquet") -> None:
+    """The token table with its keys (every column beside the six of a token) in front.
+
+    Parquet by default; `tsv` writes a header (keys, Index, Word, Lemma, Upos, Xpos, Feats) and nulls as
+    `None`, in which a token `None` cannot be told from a null."""
+    named = {name.lower() if name != "Index" else "idx": name for name in TOKENS_SCHEMA.names}
+    keys = [c for c in tokens.columns if c not in named]
+    if fmt == "parquet":
+        w = tokens.select(*keys, *named).write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        return
+    w = (tokens.select(*keys, *[F.col(c).alias(name) for c, name in named.items()]).write.mode("overwrite")
+         .option("sep", "\t").option("header", True).option("quote", "").option("nullValue", "None"))
     (w.partitionBy(partition_by) if partition_by else w).csv(path)
 
 
-def read_tagged(spark: SparkSession, path: str) -> DataFrame:
-    """S3: tagged TSV -> token table; quote-free (a lone `"` token stays a token)."""
+def read_tagged(spark: SparkSession, path: str, fmt: str = "parquet", keys: str = "", file_key: str = "") -> DataFrame:
+    """S3: tagged files -> token table with its keys.
+
+    For `tsv` the key columns in front are named by the DDL `keys`; `file_key` names a column for the
+    file's name, which is the key where each text has a file of its own.  Quote-free (a lone `"` token
+    stays a token)."""
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    front = T.StructType.fromDDL(keys) if keys else T.StructType()
     df = (spark.read.option("sep", "\t").option("header", True).option("quote", "")
-          .option("nullValue", "None").schema(TOKENS_SCHEMA).csv(path))
-    return df.select(F.col("Index").alias("idx"), F.col("Word").alias("word"),
+          .option("nullValue", "None").schema(T.StructType(front.fields + TOKENS_SCHEMA.fields)).csv(path))
+    of_file = [F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias(file_key)] if file_key else []
+    return df.select(*of_file, *front.names, F.col("Index").alias("idx"), F.col("Word").alias("word"),
                      F.col("Lemma").alias("lemma"), F.col("Upos").alias("upos"),
                      F.col("Xpos").alias("xpos"), F.col("Feats").alias("feats"))
 

@@ -27,12 +27,37 @@ def test_tagged_round_trip_with_quote_token(spark):
         [(1, '"', '"', "PUNCT", "Z", None), (2, "None", "none", "NOUN", "S", "Case=Nom|Number=Sing")],
         "idx int, word string, lemma string, upos string, xpos string, feats string")
     d = tmpdir() + "/tagged"
-    S.write_tagged(toks, d)
-    back = sorted(S.read_tagged(spark, d).collect(), key=lambda r: r.idx)
+    S.write_tagged(toks, d, fmt="tsv")
+    back = sorted(S.read_tagged(spark, d, "tsv").collect(), key=lambda r: r.idx)
     assert back[0].word == '"' and back[0].feats is None
     assert back[1].feats == "Case=Nom|Number=Sing"
 
 
+def test_tagged_keys_survive(spark):
+    toks = spark.createDataFrame(
+        [(7, 0, 1, "Tere", "tere", "INTJ", "I", None), (7, 1, 1, '"', '"', "PUNCT", "Z", None), (8, 0, 1, "koolis", "kool", "NOUN", "S", "Case=Ine")],
+        "doc_id long, sent_id int, idx int, word string, lemma string, upos string, xpos string, feats string")
+    given = sorted(map(tuple, toks.collect()))
+    for fmt, keys in (("parquet", ""), ("tsv", "doc_id long, sent_id int")):
+        d = tmpdir() + "/tagged"
+        S.write_tagged(toks, d, fmt=fmt)
+        back = S.read_tagged(spark, d, fmt, keys)
+        assert back.schema.simpleString() == toks.schema.simpleString()
+        assert sorted(map(tuple, back.collect())) == given
+    d = tmpdir() + "/parts"
+    S.write_tagged(toks, d, "doc_id")
+    assert S.read_tagged(spark, d).where("doc_id = 8").count() == 1
+
+
+def test_tagged_files_of_texts(spark):
+    d = tmpdir()
+    for name, word in (("a.tsv", "Juku"), ("b.tsv", '"')):
+        with open(f"{d}/{name}", "w") as f:
+            f.write(f"Index\tWord\tLemma\tUpos\tXpos\tFeats\n1\t{word}\tx\tX\tY\tNone\n")
+    rows = S.read_tagged(spark, d, "tsv", file_key="file_name").collect()
+    assert sorted((r.file_name, r.idx, r.word, r.feats) for r in rows) == [("a.tsv", 1, "Juku", None), ("b.tsv", 1, '"', None)]
+
+
 def test_correction_list_last_wins(spark):
     p = tmpdir() + "/cl.csv"
     with open(p, "w") as f:
