@@ -29,3 +29,24 @@ def test_tags_are_those_of_the_rule_and_computed_once(spark):
         assert (r.feats is None) == (r.xpos in "DJI")
     # a filter on the tags does not write the hash out again
     assert plan(tags.where("xpos <> 'Z' AND feats IS NOT NULL").groupBy("feats").count()).count("md5") == 1
+
+
+def test_correction_lines_do_not_carry_their_document(spark, tmp_path):
+    from proflex.plans.registry import QUERIES
+    words = [f"w{i}" for i in range(40_000)]
+    rows = [(1, "head;er a  b", "s1"), (2, " ".join(["head", *words]), "s1"), (3, None, "s1"), (4, "", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = {r.wrong: r.right for r in QUERIES["s10_correction_list"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60      # the array of the words with each word: 40,000 x 40,000
+    assert got == {"a": "", "": "b"} | {a: b for a, b in zip(words, words[1:])}
+
+
+def test_tail_is_found_once_for_a_document(spark):
+    from proflex.operators import segmentation as seg
+    text = "".join(f"Lause number {i}. " for i in range(20_000)) + "Lõpp.\n\n"
+    d = spark.createDataFrame([(1, text), (2, None), (3, " \n")], "doc_id long, text string")
+    began = time.time()
+    back = seg.reassemble(seg.delimiters(d), ["doc_id"], "sent_id", "sentence", "delim", "tail")
+    assert {r.doc_id: r.text for r in back.collect()} == {1: text, 2: "", 3: " \n"}
+    assert time.time() - began < 30      # searching the text for each sentence: 20,000 x 400,000 characters
