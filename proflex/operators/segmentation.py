@@ -34,7 +34,9 @@ def _rows(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataF
     blank = whole.rlike(rf"^[{WS}]*$")
     body = F.when(blank, F.lit("")).otherwise(F.regexp_replace(whole, TAIL_PATTERN, ""))
     tail = F.when(blank, whole).otherwise(F.regexp_extract(whole, TAIL_PATTERN, 0))
-    pieces = docs.select(key, *carry, tail.alias("_tail"), F.posexplode(F.split(body, CUT_PATTERN)).alias("_p", "_piece"))
+    # the tail is found below the generator: beside it, each piece would search the whole text again
+    cut = docs.select(key, *carry, tail.alias("_tail"), F.split(body, CUT_PATTERN).alias("_pieces"))
+    pieces = cut.select(key, *carry, "_tail", F.posexplode_outer("_pieces").alias("_p", "_piece"))
     return pieces.select(key, *carry, (F.col("_p") + 1).cast("int").alias("sent_id"), "_piece", "_tail",
                          F.regexp_replace("_piece", LEAD_PATTERN, "").alias("sentence"))
 
