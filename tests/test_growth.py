@@ -50,3 +50,29 @@ def test_tail_is_found_once_for_a_document(spark):
     back = seg.reassemble(seg.delimiters(d), ["doc_id"], "sent_id", "sentence", "delim", "tail")
     assert {r.doc_id: r.text for r in back.collect()} == {1: text, 2: "", 3: " \n"}
     assert time.time() - began < 30      # searching the text for each sentence: 20,000 x 400,000 characters
+
+
+def test_documents_move_once_for_their_features(spark, tmp_path):
+    from proflex.plans.corpus import document_features
+    rows = [(i % 40, " ".join(f"sõna{i * j % 97}" for j in range(200)) + ".", f"s{i % 40}") for i in range(45)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    f = document_features(spark, str(tmp_path), ["lemma_count", "MTLD", "rare_5000"], with_lookups=False).dropna(subset=["MTLD"])
+    # tokens and collected sets stay where the document was dealt; the fold of MTLD is planned once
+    physical = f._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
+    assert plan(f).count("aggregate(filter(sort_array(zip_with") == 1
+    assert f.count() == 40
+
+
+def test_lexicon_by_lemma_is_the_lookup_of_each_token(spark):
+    from proflex.operators.features import LEXICON_AGGREGATES, feature_table, prepare_tokens
+    from proflex.operators.lookups import build_lexicon
+    docs = [(1, "a", "kass koer kass maja puu kivi kivi."), (1, "a", "kass laud"), (None, None, "kass koer 12 ."), (2, None, ""), (3, "b", None)]
+    toks = tag_text(spark.createDataFrame(docs, "doc_id long, part string, text string"), carry=("part",))
+    lexicon = build_lexicon(toks)
+    names = ["word_count", "S_abstr", "rare_5000", "rare_1000"]
+    keys = ["doc_id", "part"]
+    by_token = feature_table(prepare_tokens(toks, lexicon=lexicon), keys, names).collect()
+    by_lemma = feature_table(prepare_tokens(toks), keys, names, lexicon=lexicon).collect()
+    assert len(by_lemma) == 4 and LEXICON_AGGREGATES
+    assert sorted(map(str, by_token)) == sorted(map(str, by_lemma))
