@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -29,7 +31,7 @@ MEMO_ENTRIES = 400_000
 
 
 class ByteBPE:
-    """Encoder and decoder for one rank file; use one object per task."""
+    """Encoder and decoder for one rank file; not shared between threads."""
 
     def __init__(self, rank_path: str, pattern: str, memo_entries: int = MEMO_ENTRIES):
         import ahocorasick
@@ -39,6 +41,7 @@ class ByteBPE:
             self.ranks = {base64.b64decode(word): int(rank)
                           for word, rank in (line.split() for line in lines if line.strip())}
         self.words = {rank: word for word, rank in self.ranks.items()}
+        self.sizes = {rank: len(word) for word, rank in self.ranks.items()}
         self.findall = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for word, rank in self.ranks.items():
@@ -89,45 +92,51 @@ class ByteBPE:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        words, fits = self.words, self.fits
-        longest = [-1] * len(data)
-        reach = [0] * len(data)
+        sizes, fits, compatible, shorter = self.sizes, self.fits, self.compatible, self.shorter
+        size = len(data)
+        longest = [-1] * size
+        reach = [0] * size
         for end, token in self.automaton.iter(data.decode("latin-1")):
-            size = len(words[token])
-            start = end + 1 - size
-            if size > reach[start]:
-                reach[start], longest[start] = size, token
-        size, pos, tokens, dead = len(data), 0, [], set()
+            length = sizes[token]
+            start = end + 1 - length
+            if length > reach[start]:
+                reach[start], longest[start] = length, token
+        pos, last, tokens, dead = 0, -1, [], set()
         token = longest[0]
         while pos < size:
             while token >= 0:
-                end = pos + len(words[token])
-                if end not in dead and (not tokens or fits(tokens[-1], token)):
-                    break
-                token = self.next_shorter(token)
+                end = pos + sizes[token]
+                if end not in dead:
+                    if last < 0:
+                        break
+                    known = compatible.get((last, token))
+                    if fits(last, token) if known is None else known:
+                        break
+                known = shorter.get(token)
+                token = self.next_shorter(token) if known is None else known
             if token >= 0:
                 tokens.append(token)
-                pos = end
+                last, pos = token, end
                 token = longest[pos] if pos < size else -1
             elif tokens:
                 dead.add(pos)
-                last = tokens.pop()
-                pos -= len(words[last])
-                token = self.next_shorter(last)
+                token = tokens.pop()
+                pos -= sizes[token]
+                last = tokens[-1] if tokens else -1
+                token = self.next_shorter(token)
             else:
                 raise ValueError("the rank file lacks a token for a single byte")
         return tokens
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
         known = self.encoded
         pieces = self.findall(text)
         if len(known) > self.memo_entries:
             known.clear()
         for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            tokens = self.encode_piece(piece.encode())
+            known[piece] = struct.pack(f"<{len(tokens)}I", *tokens)
         return b"".join([known[piece] for piece in pieces])
 
     def decode(self, ids: bytes) -> bytes:
@@ -136,6 +145,13 @@ class ByteBPE:
         return b"".join(map(self.words.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def worker_codec(rank_path: str, pattern: str) -> ByteBPE:
+    """One codec for the tasks that follow each other in a Python worker: its tables hold what is true of the
+    rank file, and stay below their fixed size."""
+    return ByteBPE(rank_path, pattern)
+
+
 def encode_documents(df: DataFrame, rank_path: Callable[[], str], pattern: str,
                      id_col: str = "doc_id", text_col: str = "text",
                      with_ids: bool = False) -> DataFrame:
@@ -152,7 +168,8 @@ def encode_documents(df: DataFrame, rank_path: Callable[[], str], pattern: str,
 
     def make():
         import numpy as np
-        codec = ByteBPE(rank_path(), pattern)
+        from proflex.llm.bpe import worker_codec
+        codec = worker_codec(rank_path(), pattern)
 
         def row(doc_id, text):
             ids = codec.encode(text or "")

@@ -59,3 +59,12 @@ def test_table_cases(spark):
     by = {r.doc_id: r for r in rows}
     assert bytes(by[3].decoded) == long.encode() and by[3].n_tokens == len(by[3].ids)
     assert bpe.encode_documents(df.limit(0), queries.multi_50k, P.PATTERN).count() == 0
+
+
+def test_codec_outlives_a_task():
+    """The automaton and what is known of pairs and pieces serve all tasks of a worker, and stay bounded."""
+    codec = bpe.worker_codec(FILE, P.PATTERN)
+    ids = codec.encode("one two threefour")
+    again = bpe.worker_codec(FILE, P.PATTERN)
+    assert again is codec and again.encoded and again.encode("one two threefour") == ids
+    assert bpe.worker_codec.cache_info().maxsize == 1
