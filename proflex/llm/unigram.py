@@ -62,6 +62,10 @@ class TrieCounter:
     def __init__(self, scores: dict[str, int], max_nodes: int = TRIE_NODES):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
+        # the longest entry by its last two characters: longer strings with that end are not looked up
+        self.reach: dict[str, int] = {}
+        for piece in scores:
+            self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
         self.unknown = min(scores.values(), default=0) - 10 * MICRO
         self.max_nodes = max_nodes
         self.counts: dict[str, int] = {}
@@ -93,7 +97,7 @@ class TrieCounter:
         """Best score of the prefix that ends at `end`, and the fewest tokens that reach it; `path` ends
         with the state in front of it."""
         scores, best, fewest = self.scores, None, 0
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach.get(pre[max(0, end - 2):end], 1)), end):
             score = scores.get(pre[start:end])
             if score is not None:
                 _, before, tokens = path[start - end]

@@ -75,3 +75,17 @@ def test_table_cases(spark):
     assert len(rows) == 5 and by[1].n_tokens == by[2].n_tokens == 0 and by[1].chars_per_token is None
     assert by[4].n_pretokens == 50000 and by[4].n_tokens % 50000 == 0
     assert unigram.count_tokens(df.limit(0), queries.unigram_scores).count() == 0
+
+
+def test_looks_up_no_longer_strings_than_entries_with_that_end():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+    scores = {"▁" + "a" * 30: -1, "b": -3, "c": -4, "bc": -5, "▁": -2}
+    counter = unigram.TrieCounter(Counted(scores))
+    word = "bc" * 100
+    assert counter.count(word) == (1, brute(scores, counter.unknown, "▁" + word))
+    assert Counted.asked < 3 * len(word)      # 31 for each character before
