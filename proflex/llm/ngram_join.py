@@ -21,8 +21,8 @@ and each pair of tiles is a task of its own.
    more, in all trees that hold several components, each class meets one class of another
    component: so a large group of near copies becomes one component at a few verifications each.
 2. Join: trees that still hold several components are joined with themselves.  Boxes whose bound
-   or size rules out every pair are skipped, points of one component also; the pairs left are
-   verified on the exact sets.  Union-find over all links gives the components.
+   or size rules out every pair are skipped, points of one component also; a pair in several trees
+   above LEAF points comes out of the smallest.  The pairs left are verified on the exact sets.  Union-find over all links gives the components.
 
 The result is components, not links: points already in one component are never compared, so
 most links inside a component are not found, while no two components with a link between them
@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from typing import Tuple  # noqa: UP035  (Spark infers the function's kind from it)
 
 import numpy as np
@@ -137,14 +138,16 @@ def describe(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in batches:
-            rows = []
+            rows, used = [], []
             for doc_id, text in zip(*batch.columns):
                 hashes = shingle_hashes(text.as_py() or "", words)
                 if len(hashes):
-                    np.add.at(counts, cells(mix(hashes), CELL_BITS), 1)
+                    used.append(cells(mix(hashes), CELL_BITS))
                     rows.append((doc_id.as_py(), len(hashes), class_of(hashes), packed(count_vector(hashes)), None, None))
                 else:
                     rows.append((doc_id.as_py(), 0, None, None, None, None))
+            if used:
+                counts += np.bincount(np.concatenate(used), minlength=len(counts)).astype(np.uint32)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), arrow)], schema=arrow)
         parts = counts.reshape(SLICES, -1)
@@ -158,10 +161,14 @@ def describe(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray
 
 
 def ordered_prefix(hashes: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The prefix of a set in the common order: by the count of the cell, then by hash."""
+    """The prefix of a set in the common order, ascending: an n-gram stands as the count of its cell
+    before the last bits of its hash.  N-grams that fall together share a tree, which adds points to
+    it and loses none: the first of the members that two sets share has one number in both."""
     mixed = mix(hashes)
-    order = np.lexsort((mixed, ranks[cells(mixed, CELL_BITS)]))
-    return hashes[order[:prefix_length(len(hashes), percent)]]
+    counts = np.minimum(ranks[cells(mixed, CELL_BITS)], 0xFFFFFF).astype(np.uint64)
+    numbers = (counts << np.uint64(40)) | (mixed & np.uint64((1 << 40) - 1))
+    m = prefix_length(len(hashes), percent)
+    return np.sort(np.partition(numbers, m - 1)[:m])
 
 
 # -- the R-tree ---------------------------------------------------------------------------------
@@ -204,11 +211,36 @@ def tree_join(one: CountTree, two: CountTree, same: bool, percent: int = PERCENT
                 yield one.classes[start + a], two.classes[two.starts[j] + b]
 
 
+@cache
+def both_ends(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(m, 1)
+
+
+def leaf_join(rows: list[tuple], percent: int = PERCENT):
+    """What `tree_join` finds in a tree of one leaf: its pairs at once, without corners."""
+    sizes, classes, components = (np.array([r[c] for r in rows], np.int64) for c in (6, 4, 5))
+    i, j = both_ends(len(rows))
+    fits = (components[i] != components[j]) & (np.minimum(sizes[i], sizes[j]) >= least_overlap(sizes[i] + sizes[j], percent))
+    i, j = i[fits], j[fits]
+    if len(i):
+        width = max(len(r[7]) for r in rows) // GROUPS
+        points = np.array([unpacked(r[7]) for r in rows], f"<u{width}")
+        close = np.minimum(points[i], points[j]).sum(1, np.int64) >= least_overlap(sizes[i] + sizes[j], percent)
+        i, j = i[close], j[close]
+    return zip(classes[i].tolist(), classes[j].tolist())
+
+
 def tile_pairs(batches, percent: int = PERCENT):
     """Join the tile pairs of a partition sorted by (tree, tile_a, tile_b)."""
     key, rows = None, []
 
+    def pairs_of(found):
+        pairs = sorted({(int(min(p)), int(max(p))) for p in found})
+        return [p[0] for p in pairs], [p[1] for p in pairs]
+
     def joined():
+        if key[1] == key[2] and len(rows) <= LEAF:
+            return pairs_of(first_met(leaf_join(rows, percent)))
         left = [r for r in rows if r[3]]
         right = [r for r in rows if not r[3]]
         trees = []
@@ -223,12 +255,16 @@ def tile_pairs(batches, percent: int = PERCENT):
             found = tree_join(trees[0], trees[1], False, percent)
         else:
             return [], []
-        pairs = sorted({(int(min(p)), int(max(p))) for p in found})
-        return [p[0] for p in pairs], [p[1] for p in pairs]
+        return pairs_of(first_met(found))
 
     def batch_of(pairs):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs], names=["a", "b"])
 
+    def first_met(found):
+        """The pairs that no smaller one of the trees with lists holds; in trees without, all."""
+        lower = {r[4]: frozenset(r[8] or ()) for r in rows}
+        return ((a, b) for a, b in found if lower[a].isdisjoint(lower[b]))
+
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:3] != key:
@@ -355,12 +391,17 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # 2. join of the trees that still hold several components, each by itself
     tiles = F.ceil(F.col("m") / TILE).cast("int")
+    # near copies share most of their trees; of the trees above LEAF points, only the smallest that
+    # holds both classes gives a pair, so their points know the smaller ones of the class
+    large = mixed.where(F.col("m") > LEAF).groupBy("class").agg(F.collect_set("token").alias("large"))
+    mixed = mixed.join(large, "class", "left").withColumn(
+        "lower", F.when(F.col("m") > LEAF, F.filter("large", lambda t: t < F.col("token"))))
     # each point goes to every pair of tiles that its own tile is part of
     points = (mixed.withColumn("tiles", tiles).join(vectors, "class")
               .withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
               .withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .select(F.col("token").alias("tree"), F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"),
-                      (F.col("tile") <= F.col("other")).alias("left"), "class", "component", "n", "vector"))
+                      (F.col("tile") <= F.col("other")).alias("left"), "class", "component", "n", "vector", "lower"))
     unit = ["tree", "tile_a", "tile_b"]
     across = materialize(points.repartition(*unit).sortWithinPartitions(*unit)
                          .mapInArrow(lambda batches: tile_pairs(batches, percent), "a bigint, b bigint").distinct())

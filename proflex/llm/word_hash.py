@@ -62,13 +62,41 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+CHUNK = 8               # bytes of a word that is a number itself
+SPACE = bytes(i in b"\t\n\v\f\r " for i in range(256))
+KEPT = np.array([(1 << 8 * i) - 1 for i in range(CHUNK + 1)], np.uint64)
+
+
+def word_keys(text: str) -> np.ndarray:
+    """64 bits of each word, in order: words as in `word_hashes`.  Up to CHUNK bytes are mixed as one
+    number, all of a text at once, which keeps different words apart; longer words, and those with a
+    zero byte, take the digests of `word_hashes`."""
+    data = text.encode("utf-8", "surrogatepass").lower()
+    padded = data + b" " * CHUNK
+    space = np.frombuffer(padded.translate(SPACE), bool, len(data) + 1)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate(([0], edges))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    here = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts]
+    keys = mix((here & KEPT[np.minimum(sizes, CHUNK)]) + _U(ODD))
+    other = sizes > CHUNK
+    if b"\0" in data:
+        other |= [b"\0" in data[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
+    long = np.flatnonzero(other)
+    keys[long] = np.fromiter((HASHES[data[i:j]] for i, j in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return keys
+
+
 def shingle_hashes(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; of the whole sequence, where it is shorter."""
-    words = word_hashes(text)
+    words = word_keys(text)
     if not len(words):
         return words
     k = min(n, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
         total = mix(total + words[j:len(words) - k + 1 + j])
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]

@@ -64,6 +64,72 @@ def test_hashes_equal_sets():
         assert np.array_equal(word_hash.shingle_hashes(mixed, 4), word_hash.shingle_hashes(text, 4))
 
 
+def test_word_keys_tell_words_apart():
+    """Words of any length, with and without zero bytes, in texts with blanks at both ends or none."""
+    rng = random.Random(4)
+    words = {"".join(rng.choice("ab\xe9\u20ac\U0001f600") for _ in range(rng.randint(1, 12))) for _ in range(3000)}
+    words |= {"", *("a" * i for i in range(1, 60)), "abcdefgh", "abcdefghi"} - {""}
+    alone = {w: word_hash.word_keys(w).tolist() for w in words}
+    assert all(len(k) == 1 for k in alone.values()) and len({k[0] for k in alone.values()}) == len(words)
+    for first, last in (("", ""), (" \n", "\t"), ("", "\x0b ")):
+        row = rng.sample(sorted(words), 200)
+        text = first + "".join(w + rng.choice([" ", "\n\t", "\x0c\r "]) for w in row[:-1]) + row[-1] + last
+        assert word_hash.word_keys(text.upper() if text.isascii() else text).tolist() == [alone[w][0] for w in row]
+    assert [len(word_hash.word_keys(t)) for t in ("", " ", "\n \t", "\0", "a\0 b")] == [0, 0, 0, 1, 2]
+
+
+def test_equal_words_behind_a_zero_byte_elsewhere():
+    plain, zero = "one two three four", "one two three four x\0"
+    assert len(np.intersect1d(word_hash.shingle_hashes(plain, 4), word_hash.shingle_hashes(zero, 4))) == 1
+
+
+def test_prefixes_of_sets_that_link_meet():
+    """In the common order of numbers, with many n-grams in few cells of the table and few hash bits apart."""
+    rng = np.random.default_rng(7)
+    ranks = rng.choice(np.array([1, 2, 0xFFFFFFFF], np.uint32), 1 << N.CELL_BITS)
+    for _ in range(300):
+        one = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 80)).astype(np.uint64))
+        two = np.unique(np.concatenate([one[rng.random(len(one)) < 0.92], rng.integers(0, 1 << 63, 2).astype(np.uint64)]))
+        both = len(np.intersect1d(one, two))
+        if 100 * both >= 85 * (len(one) + len(two) - both):
+            assert len(np.intersect1d(N.ordered_prefix(one, ranks), N.ordered_prefix(two, ranks)))
+
+
+def test_leaf_join_finds_what_the_tree_finds():
+    rng = np.random.default_rng(5)
+    for m in (1, 2, 3, 9, N.LEAF):
+        for factor in (1, 300):
+            base = rng.integers(0, 3, N.GROUPS)
+            points = [(base + (rng.random(N.GROUPS) < rng.choice([0.02, 0.2, 0.6]))) * factor for _ in range(m)]
+            rows = [(0, 0, 0, True, 100 + i, int(rng.integers(0, 4)), int(p.sum()), N.packed(p)) for i, p in enumerate(points)]
+            tree = N.CountTree(np.array(points, np.int32), *(np.array([r[c] for r in rows], np.int64) for c in (6, 4, 5)))
+            expected = {tuple(sorted(map(int, p))) for p in N.tree_join(tree, tree, True)}
+            assert {tuple(sorted(p)) for p in N.leaf_join(rows)} == expected
+
+
+def test_pairs_of_large_trees_come_once():
+    """40 points in three trees: each pair comes from the smallest tree that holds both, tiles or not."""
+    import pyarrow as pa
+    trees = {5: range(0, 38), 6: range(2, 40), 9: range(0, 40)}
+    vector = N.packed(np.ones(N.GROUPS, np.int64))
+    names = ["tree", "tile_a", "tile_b", "left", "class", "component", "n", "vector", "lower"]
+
+    def found(tiles):
+        rows = []
+        for tree, classes in trees.items():
+            for c in classes:
+                lower = [t for t, held in trees.items() if t < tree and c in held]
+                for other in range(tiles):
+                    tile = c % tiles
+                    rows.append((tree, min(tile, other), max(tile, other), tile <= other, c, c, N.GROUPS, vector, lower))
+        rows.sort(key=lambda r: r[:3])
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+        return [p for out in N.tile_pairs([batch]) for p in zip(*(c.to_pylist() for c in out.columns))]
+
+    every = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert sorted(found(1)) == sorted(found(3)) == every
+
+
 def test_long_words_of_two_letters(spark):
     """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
     docs = []
