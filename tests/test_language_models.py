@@ -1,5 +1,7 @@
 """T1 learnt tagger and T10 context speller on small corpora with known answers."""
 import random
+import re
+from collections import Counter
 
 from proflex.operators import lexicon_tagger as lt
 from proflex.operators import speller as sp
@@ -44,6 +46,20 @@ def spelt(spark, texts, extra):
     return [r.spell_target for r in out.orderBy("id").collect()][len(texts):]
 
 
+def test_ngrams_are_counted_from_rows(spark):
+    """Every run of one to ORDER words, from null, blank and short sentences too; no function on arrays makes them."""
+    texts = ["a b a b", "A", "", " ", None, "?!", "b, c.", "a b a b"]
+    found = sp.ngram_counts(spark.createDataFrame([(t,) for t in texts], "sentence string"))
+    expected = Counter()
+    for t in texts:
+        if t is not None:
+            seq = [sp.START] * (sp.ORDER - 1) + re.findall(r"[a-z]+", t.lower()) + [sp.END]
+            expected.update((n, " ".join(seq[i:i + n])) for n in range(1, sp.ORDER + 1) for i in range(len(seq) - n + 1))
+    assert {(r.words, r.gram): r.times for r in found.collect()} == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "slice(" not in plan
+
+
 def test_context_decides(spark):
     texts = ["the big cat sat"] * 300 + ["a red car ran"] * 300
     # `caz` is as near to `cat` as to `car`; its neighbours tell which; alone, the smaller is taken, and a capital stays
