@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from proflex.operators import lexicon_tagger as lt
 from proflex.operators import speller as sp
 from proflex.operators.correction import dictionary_correct
@@ -98,3 +100,41 @@ def test_neighbours_are_decided_together():
             best = min(best or (loss, changes, choice), (loss, changes, choice))
         want = {s.at[j]: w for j, w in enumerate(best[2]) if w != s.options[j][0]}
         assert got == want
+
+
+def test_hashed_ngrams_are_the_counted_ones(spark):
+    texts = ["a b a b", "A", "", None, "?! õ", "b, c.", "a b a b"]
+    sentences = spark.createDataFrame([(t,) for t in texts], "sentence string")
+    named = sp.ngram_counts(sentences).select("words", *sp.gram_key(), "times")
+    hashed = sp.ngram_counts(sentences, hashed=True).select(*named.columns)
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, hashed.collect()))
+
+
+def test_words_without_a_partner_do_not_travel(spark):
+    """The map of the dictionary words stands before the join, holds them all and few others, and is bounded."""
+    from proflex.operators.lookups import MAP_FIELDS, word_map
+    listed = spark.range(5000).selectExpr("concat('w', id) AS tok", "'x' AS new")
+    may_hold = word_map(listed, "tok")
+    assert listed.where(may_hold(F.col("tok"))).count() == 5000
+    assert spark.range(20_000).selectExpr("concat('v', id) AS tok").where(may_hold(F.col("tok"))).count() < 2000
+    assert not spark.range(9).selectExpr("concat('v', id) AS tok").where(word_map(listed.limit(0), "tok")(F.col("tok"))).count()
+    assert MAP_FIELDS * 8 <= 8 << 20
+    sentences = spark.createDataFrame([(1, "w1 v2 w3"), (2, ""), (None, "w4")], "id long, sentence string")
+    got = dictionary_correct(sentences, ["id"], "sentence", correction_list=listed.selectExpr("tok AS wrong", "new AS right"))
+    assert {r.id: r.spell_target for r in got.collect()} == {1: "x v2 x", 2: "", None: "w4"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan[:plan.index("Generate")]
+
+
+def test_ngram_counts_of_the_corpus_are_not_stored(spark, tmp_path):
+    """They are several times as large as the corpus; the chain counts them where they meet what is asked for."""
+    from proflex.plans import corpus
+    rows = [(i, "the big cat sat. " * 30 + ("The caz sat." if i == 3 else ""), "s1") for i in range(6)] + [(6, None, "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = corpus.form_counts(spark, str(tmp_path))
+    pairs, grams = corpus.speller_model(spark, str(tmp_path), counts)
+    assert "Scan parquet" in grams._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([("zzz", "zzz")], "wrong string, right string")
+    fixed = dictionary_correct(corpus.sentences(spark, str(tmp_path)), ["doc_id", "sent_id"], "sentence", correction_list=empty, speller=(pairs, grams))
+    changed = fixed.where("spell_target <> sentence").collect()
+    assert [(r.doc_id, r.sentence, r.spell_target) for r in changed] == [(3, "The caz sat.", "The cat sat.")]
