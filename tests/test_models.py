@@ -1,4 +1,6 @@
 """Moment-based models and ANOVA against NumPy; nearest centroid tie rule."""
+import random
+
 import numpy as np
 import pytest
 
@@ -176,3 +178,18 @@ def test_range_rank(spark):
     want = sorted(keys, key=lambda k: (k is not None, k or 0))
     assert sorted(got, key=lambda r: r[1]) == [(k, i + 1) for i, k in enumerate(want)]
     assert range_rank(df.limit(0), "k").count() == 0
+
+
+def test_forest_rows_keep_their_nodes(spark):
+    """Else each level of the trees sends the whole forest to every task; the forest itself is the same."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from proflex.operators.models import estimator
+    rng = random.Random(8)
+    rows = [(rng.random(), rng.random(), rng.choice("ab")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "x double, y double, label string").coalesce(2)
+    df = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(df)
+    df = StringIndexer(inputCol="label", outputCol="label_idx").fit(df).transform(df).persist()
+    forest = estimator("random_forest", 2)
+    assert forest.getCacheNodeIds() and forest.getNumTrees() == 100 and forest.getMaxDepth() == 30
+    few = forest.copy({forest.numTrees: 5})
+    assert few.fit(df).toDebugString.split("\n")[1:] == few.copy({few.cacheNodeIds: False}).fit(df).toDebugString.split("\n")[1:]
