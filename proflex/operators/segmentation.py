@@ -32,8 +32,10 @@ def _rows(docs: DataFrame, key: str, text: str, carry: tuple[str, ...]) -> DataF
     """One row for each piece: sent_id, piece, sentence, tail (of the text)."""
     whole = F.coalesce(_c(text), F.lit(""))
     blank = whole.rlike(rf"^[{WS}]*$")
-    body = F.when(blank, F.lit("")).otherwise(F.regexp_replace(whole, TAIL_PATTERN, ""))
-    tail = F.when(blank, whole).otherwise(F.regexp_extract(whole, TAIL_PATTERN, 0))
+    # the search for a tail reads the whole text, so the last character is asked first
+    ends = F.substring(whole, -1, 1).rlike(f"[{WS}]")
+    body = F.when(blank, F.lit("")).when(ends, F.regexp_replace(whole, TAIL_PATTERN, "")).otherwise(whole)
+    tail = F.when(blank, whole).when(ends, F.regexp_extract(whole, TAIL_PATTERN, 0)).otherwise(F.lit(""))
     # the tail is found below the generator: beside it, each piece would search the whole text again
     cut = docs.select(key, *carry, tail.alias("_tail"), F.split(body, CUT_PATTERN).alias("_pieces"))
     pieces = cut.select(key, *carry, "_tail", F.posexplode_outer("_pieces").alias("_p", "_piece"))

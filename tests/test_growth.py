@@ -86,3 +86,20 @@ def test_mtld_fold_carries_three_numbers(spark):
     # places are numbers, and the ratio stands in the condition of a step only
     assert "shiftleft" in plan(found) and "ttr" not in plan(found)
     assert {r.i: r.m for r in found.collect()} == {1: 2.0, 2: None, 3: 10.0, 4: -1.0}
+
+
+def test_tail_is_searched_only_where_a_text_ends_in_one(spark):
+    from proflex.operators import segmentation as seg
+    texts = ["A. B.", "A. B. ", "A. B.\n", "A.\u2003B \u3000", "", " \n", None, "A.\r\n", "x y", "õ.\x85", "A.  \U0001f600", "\tA."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = seg.delimiters(d)
+    assert plan(rows).count("substring(") >= 2
+    got = {}
+    for r in rows.orderBy("doc_id", "sent_id").collect():
+        got.setdefault(r.doc_id, []).append((r.delim, r.sentence, r.tail))
+    for i, text in enumerate(texts):
+        whole = text or ""
+        tail = whole[len(whole.rstrip()):] if whole.strip() else whole
+        assert {t for _, _, t in got[i]} == {tail}
+        assert "".join(a + b for a, b, _ in got[i]) + tail == whole
+    assert [b for _, b, _ in got[1]] == ["A.", "B."] and [b for _, b, _ in got[6]] == [""]
